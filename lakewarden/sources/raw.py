@@ -34,10 +34,8 @@ def wanted_tables(request: DataFrame, column: str, known: DataFrame) -> DataFram
         F.lower(F.trim("item")).alias("table")
     )
     items = items.filter(F.col("table") != "").distinct()
-    everything = known.select("table").distinct().join(
-        items.filter(F.col("table") == "all").select(F.lit(1).alias("one")).limit(1),
-        on=F.lit(True), how="left_semi",
-    )
+    all_asked = items.agg(F.max(F.col("table") == "all")).scalar()
+    everything = known.select("table").distinct().filter(all_asked)
     return items.filter(F.col("table") != "all").unionByName(everything).distinct()
 
 
