@@ -46,16 +46,13 @@ def lineage_by_name(columns: list[str], contract: Contract) -> Lineage:
 
 
 def sensitive_columns(contract: DataFrame) -> DataFrame:
-    """(column, phi_type, masking, type, tables) over all tables, the first definition winning."""
+    """(column, phi_type, masking, type, n_tables) over all tables, the first definition winning."""
     first = F.min_by(F.struct("phi_type", "masking", "type"), F.struct("table", "ordinal"))
     return (
         contract.filter("phi")
         .groupBy("column")
-        .agg(
-            first.alias("d"),
-            F.array_join(F.array_sort(F.collect_set("table")), ",").alias("tables"),
-        )
-        .select("column", "d.phi_type", "d.masking", "d.type", "tables")
+        .agg(first.alias("d"), F.count(F.lit(1)).alias("n_tables"))
+        .select("column", "d.phi_type", "d.masking", "d.type", "n_tables")
     )
 
 
