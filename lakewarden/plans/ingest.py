@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.casting import cast_summary, cast_to_contract, normalize_names
+from lakewarden.functions.ddl import final_status
 from lakewarden.operators import drift as drift_ops
 from lakewarden.operators import policy, reports
 from lakewarden.operators.quality import null_counts
 from lakewarden.sources import catalog, raw
-from lakewarden.sources.contract import Contract
+from lakewarden.sources.audit import first_per
+from lakewarden.sources.contract import DEFINITION, Contract, flag_missing, merge_definitions
 
 FILE = T.StructType(
     [
@@ -129,8 +131,6 @@ def preflight(
 
 def handoff(manifest: DataFrame) -> DataFrame:
     """The first blocked table of each run with its drift, for remediation."""
-    from lakewarden.sources.audit import first_per
-
     blocked = manifest.filter(F.col("status") == reports.BLOCKED)
     return first_per(blocked.select("run_id", "seq", "table", "payload"), ["run_id"], ["seq"])
 
@@ -254,9 +254,6 @@ def handle_drift(
             updated = True
             gone += [(p["table"], c, p["reasoning"]) for c in p["missing_columns"]]
         outcomes.append((p["table"], p["execution_strategy"], executed, updated, p["reasoning"]))
-    from lakewarden.functions.ddl import final_status
-    from lakewarden.sources.contract import DEFINITION, flag_missing, merge_definitions
-
     rows = spark.createDataFrame(
         outcomes, "table string, strategy string, ddl_executed boolean, schema_updated boolean, reasoning string"
     )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lakewarden.plans.ingest import drift_items, scan_table
+from lakewarden.functions.types import SPARK_TYPES
 from lakewarden.operators import drift as drift_ops
+from lakewarden.plans.ingest import drift_items, scan_table
 from lakewarden.sources import catalog, raw
 from lakewarden.sources.contract import Contract
 
@@ -47,8 +48,6 @@ def arriving_files(spark: SparkSession, raw_dir: str, per_batch: int = 1000) ->
 
 
 def target_schema(contract: Contract, table: str) -> T.StructType:
-    from lakewarden.functions.types import SPARK_TYPES
-
     return T.StructType(
         [
             T.StructField(c.column, SPARK_TYPES.get(c.type, T.StringType()))
@@ -70,11 +69,13 @@ def ingest_batch(
         table, paths = item
         if table not in contract.tables:
             return (batch_id, table, len(paths), "NONE", "NO_CONTRACT", 0)
-        # files of one batch may differ in their columns: read each header on its own
-        frames = [scan_table(spark, table, [p], contract) for p in paths]
+        # files of one batch may differ in their columns: one scan per distinct header
+        headers: dict[tuple[str, ...], list[str]] = defaultdict(list)
+        for p in paths:
+            headers[tuple(raw.scan_text(spark, p).columns)].append(p)
+        frames = [scan_table(spark, table, same, contract) for same in headers.values()]
         severities = set()
-        for schema_text in {f.schema.json() for f in frames}:
-            frame = next(f for f in frames if f.schema.json() == schema_text)
+        for frame in frames:
             found = drift_ops.drift_reports(drift_items(frame, table, contract)).first()
             severities.add(found["severity"] if found else "NONE")
         severity = max(severities, key=drift_ops.SEVERITIES.index)
