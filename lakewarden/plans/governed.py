@@ -168,6 +168,11 @@ def govern(
     )
 
 
+def fetch(df: DataFrame, limit: int | None = None):
+    """Rows for the client as an Arrow table, never more than the hard cap."""
+    return df.limit(min(DEFAULT_CAP if limit is None else limit, HARD_CAP)).toArrow()
+
+
 def governed_sql(
     spark: SparkSession,
     statement: str,

@@ -10,8 +10,8 @@ CORRUPT = "_corrupt_record"
 
 
 def table_of(path: Column) -> Column:
-    """Lower-case file name without ``.csv``."""
-    return F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.csv$", ""))
+    """Lower-case name of the ``.csv`` file, or of the ``.csv`` folder that holds its parts."""
+    return F.lower(F.regexp_extract(path, r"(?i)([^/]+?)\.csv(?:/|$)", 1))
 
 
 def discover(spark: SparkSession, raw_dir: str) -> DataFrame:

@@ -473,7 +473,7 @@ def remediation_route(spark, sf):
         WHERE o_orderkey % 12 <> 8),
       e AS (SELECT *, 'pending' AS decision FROM y WHERE o_orderkey % 12 = 8)
       SELECT o_orderkey, decision, CASE WHEN decision = 'decline' THEN 'fix_declined'
-        WHEN decision <> 'approve' THEN 'pending' WHEN NOT (ok OR sql_reason = 'never') THEN 'error'
+        WHEN decision <> 'approve' THEN 'pending' WHEN NOT ok THEN 'error'
         ELSE 'fix_applied' END AS review_status,
         decision = 'approve' AND ok AND sql_fix <> '' AS run_statement
       FROM (SELECT * FROM d UNION ALL SELECT * FROM e)""",
@@ -481,9 +481,7 @@ def remediation_route(spark, sf):
 def manual_review_apply(spark, sf):
     pending = _proposals(spark, sf).withColumn("table_name", F.col("table"))
     # one proposal per order here, so reviews are keyed by the order
-    keyed = pending.withColumn("table", F.concat_ws("_", "table_name", "o_orderkey")).withColumn(
-        "full_table", F.col("full_table")
-    )
+    keyed = pending.withColumn("table", F.concat_ws("_", "table_name", "o_orderkey"))
     decisions = keyed.filter(F.col("o_orderkey") % 12 != 8).select(
         "table",
         _pick(["approve", "decline", "pending"], F.col("o_orderkey")).alias("decision"),
