@@ -63,3 +63,8 @@ def final_reports(manifest: DataFrame, writes: DataFrame, run: str = "run_id") -
     )
     merged = written.unionByName(blocked)
     return first_per(merged, [run, "table"], ["_part", "seq"]).drop("_part", "seq")
+
+
+def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
+    """A run report as CSV with a fixed set of columns."""
+    rows.select(*columns).write.mode("overwrite").csv(path, header=True)

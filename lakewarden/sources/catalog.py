@@ -39,6 +39,9 @@ def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     """Live schemas of catalog tables; a table that cannot be read gives one row with its error."""
     cells = []
     for name in names:
+        if not table_exists(spark, name):
+            cells.append((name, None, None, None, "TABLE_OR_VIEW_NOT_FOUND"))
+            continue
         try:
             fields = spark.table(name).schema.fields
             cells += [

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
@@ -57,22 +56,25 @@ def scan_inferred(spark: SparkSession, path: str | list[str], sample: float = 0.
 
 
 def scan_quarantine(
-    spark: SparkSession, path: str, columns: list[str]
+    spark: SparkSession, path: str, columns: list[str], header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, rejected lines): lines with too many or too few fields are set apart."""
-    fields = [T.StructField(c, T.StringType()) for c in columns]
-    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    bad = F.col(CORRUPT).isNotNull()
-    return rows.filter(~bad).select(*columns), rows.filter(bad).select(
-        F.col(CORRUPT).alias("line")
+    """(clean rows, rejected lines): lines with too many or too few fields are set apart.
+
+    Lines are parsed one by one with the full schema: a plain CSV scan parses only the columns a
+    query asks for, so what counts as malformed would change with the query.
+    """
+    lines = spark.read.text(path)
+    if header:
+        first = lines.first()
+        lines = lines.filter(F.col("value") != F.lit(first["value"] if first else ""))
+    fields = ", ".join(f"`{c}` STRING" for c in columns)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.select(
+        "value", F.from_csv("value", f"{fields}, `{CORRUPT}` STRING", options).alias("row")
     )
+    bad = F.col(f"row.{CORRUPT}").isNotNull()
+    clean = parsed.filter(~bad).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    return clean, parsed.filter(bad).select(F.col("value").alias("line"))
 
 
 def repaired_uuid(value: Column) -> Column:
