@@ -11,12 +11,12 @@ from lakewarden.functions.types import types_compatible
 SEVERITIES = ("NONE", "INFO", "WARNING", "CRITICAL")
 
 
-def schema_diff(contract: DataFrame, observed: DataFrame) -> DataFrame:
-    """One row per drifted column.
+def column_pairs(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row per (table, column) known to either side.
 
-    ``contract`` has (table, column, type, phi), ``observed`` (table, column, type). Only tables on
-    both sides are compared. Both sides are stacked and grouped by (table, column), so duplicates
-    melt before the shuffle and a table with very many reports is spread over its columns.
+    ``contract`` has (table, column, type, phi), ``observed`` (table, column, type). The sides are
+    stacked and grouped instead of joined: duplicates melt before the shuffle, and a table with very
+    many reports is spread over its columns.
     """
     declared = contract.select(
         "table", "column", F.col("type").alias("expected_type"), F.col("phi").alias("is_phi"),
@@ -26,29 +26,42 @@ def schema_diff(contract: DataFrame, observed: DataFrame) -> DataFrame:
         "table", "column", F.lit(None).cast("string").alias("expected_type"),
         F.lit(None).cast("boolean").alias("is_phi"), F.col("type").alias("incoming_type"),
     )
-    pairs = (
+    return (
         declared.unionByName(arrived)
         .groupBy("table", "column")
         .agg(
             F.max("expected_type").alias("expected_type"),
             F.max("incoming_type").alias("incoming_type"),
-            F.max("is_phi").alias("is_phi"),
+            F.coalesce(F.max("is_phi"), F.lit(False)).alias("is_phi"),
         )
     )
-    both = pairs.groupBy(F.col("table").alias("_t")).agg(
-        F.count("expected_type").alias("_declared"), F.count("incoming_type").alias("_arrived")
-    ).filter((F.col("_declared") > 0) & (F.col("_arrived") > 0))
-    comparable = pairs.join(both, F.col("table") == F.col("_t"), "left_semi")
-    drift = (
-        F.when(F.col("expected_type").isNull(), F.lit("new"))
-        .when(F.col("incoming_type").isNull(), F.lit("missing"))
-        .when(~types_compatible(F.col("expected_type"), F.col("incoming_type")), F.lit("type_change"))
+
+
+def pair_drift() -> Column:
+    """Kind of drift of a column pair, NULL when it needs no action."""
+    expected, incoming = F.col("expected_type"), F.col("incoming_type")
+    return (
+        F.when(expected.isNull(), F.lit("new"))
+        .when(incoming.isNull(), F.lit("missing"))
+        .when(~types_compatible(expected, incoming), F.lit("type_change"))
+    )
+
+
+def _on_both_sides() -> Column:
+    return (F.count("expected_type") > 0) & (F.count("incoming_type") > 0)
+
+
+def schema_diff(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row per drifted column of the tables that have both a contract and arrivals."""
+    pairs = column_pairs(contract, observed)
+    comparable = (
+        pairs.groupBy(F.col("table").alias("_t")).agg(_on_both_sides().alias("_both")).filter("_both")
+    )
+    items = pairs.withColumn("drift", pair_drift()).filter(F.col("drift").isNotNull())
+    return items.join(comparable, F.col("table") == F.col("_t"), "left_semi").select(
+        "table", "column", "drift", "expected_type", "incoming_type", "is_phi",
+        item_severity(F.col("drift"), F.col("is_phi")).alias("severity"),
     )
-    items = comparable.withColumn("drift", drift).filter(F.col("drift").isNotNull())
-    return items.select(
-        "table", "column", "drift", "expected_type", "incoming_type",
-        F.coalesce("is_phi", F.lit(False)).alias("is_phi"),
-    ).withColumn("severity", item_severity(F.col("drift"), F.col("is_phi")))
 
 
 def item_severity(drift: Column, is_phi: Column) -> Column:
@@ -80,21 +93,22 @@ def drift_kind(n_new: Column, n_missing: Column, n_type: Column) -> Column:
     )
 
 
-def drift_counts(items: DataFrame, tables: DataFrame) -> DataFrame:
-    """One row per compared table: counts, kind and overall severity; tables without drift too."""
-    per_table = items.groupBy("table").agg(
+def drift_counts(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row per comparable table, drifted or not: counts, kind and overall severity.
+
+    Two aggregations and no join.
+    """
+    pairs = column_pairs(contract, observed).withColumn("drift", pair_drift())
+    counted = pairs.groupBy("table").agg(
         F.count_if(F.col("drift") == "new").alias("n_new"),
         F.count_if(F.col("drift") == "missing").alias("n_missing"),
         F.count_if(F.col("drift") == "type_change").alias("n_type"),
-        F.max(overall_rank(F.col("drift"), F.col("is_phi"))).alias("_rank"),
+        F.max(F.when(F.col("drift").isNotNull(), overall_rank(F.col("drift"), F.col("is_phi")))).alias("_rank"),
+        _on_both_sides().alias("_both"),
     )
-    every = tables.select(F.col("table").alias("_t")).distinct()
-    joined = every.join(per_table, F.col("_t") == F.col("table"), "left")
-    n = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_new", "n_missing", "n_type")]
-    counted = joined.select(F.col("_t").alias("table"), *n, "_rank")
-    return counted.select(
+    return counted.filter("_both").select(
         "table", "n_new", "n_missing", "n_type",
-        (F.col("_rank").isNotNull()).alias("has_drift"),
+        F.col("_rank").isNotNull().alias("has_drift"),
         severity_name(F.col("_rank")).alias("severity"),
         drift_kind(F.col("n_new"), F.col("n_missing"), F.col("n_type")).alias("drift_kind"),
     )

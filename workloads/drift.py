@@ -60,15 +60,17 @@ def type_compat(spark, sf):
     return counted.withColumn("compatible", types_compatible(F.col("expected"), F.col("incoming")))
 
 
+def _items_of(lines):
+    return drift.schema_diff(feeds.declared(lines), feeds.observed(lines))
+
+
 def _items(spark, sf):
-    return drift.schema_diff(feeds.declared(spark, sf), feeds.observed(spark, sf))
+    return _items_of(feeds.observations(spark, sf))
 
 
-def _tables(spark, sf):
-    """Feeds with both a declaration and arrivals."""
-    declared = feeds.declared(spark, sf).select("table").distinct()
-    arrived = feeds.observed(spark, sf).select(F.col("table").alias("t")).distinct()
-    return declared.join(arrived, F.col("table") == F.col("t"), "left_semi")
+def _counts(spark, sf):
+    lines = feeds.observations(spark, sf)
+    return drift.drift_counts(feeds.declared(lines), feeds.observed(lines))
 
 
 @query(
@@ -102,8 +104,9 @@ def missing_columns(spark, sf):
     feeds.CTE + 'SELECT "table", "column" FROM declared INTERSECT SELECT "table", "column" FROM observed',
 )
 def common_columns(spark, sf):
-    return feeds.declared(spark, sf).select("table", "column").intersect(
-        feeds.observed(spark, sf).select("table", "column")
+    lines = feeds.observations(spark, sf)
+    return feeds.declared(lines).select("table", "column").intersect(
+        feeds.observed(lines).select("table", "column")
     )
 
 
@@ -130,7 +133,7 @@ def known_unknown_tables(spark, sf):
     feeds.CTE + 'SELECT "table", has_drift, severity FROM kinds',
 )
 def drift_severity(spark, sf):
-    return drift.drift_counts(_items(spark, sf), _tables(spark, sf)).select(
+    return _counts(spark, sf).select(
         "table", "has_drift", "severity"
     )
 
@@ -140,7 +143,7 @@ def drift_severity(spark, sf):
     feeds.CTE + 'SELECT "table", n_new, n_missing, n_type, drift_kind FROM kinds',
 )
 def drift_kind(spark, sf):
-    return drift.drift_counts(_items(spark, sf), _tables(spark, sf)).select(
+    return _counts(spark, sf).select(
         "table", "n_new", "n_missing", "n_type", "drift_kind"
     )
 
@@ -150,7 +153,7 @@ def drift_kind(spark, sf):
     feeds.CTE + "SELECT severity, drift_kind, count(*) AS tables FROM kinds GROUP BY 1, 2",
 )
 def severity_rollup(spark, sf):
-    counts = drift.drift_counts(_items(spark, sf), _tables(spark, sf))
+    counts = _counts(spark, sf)
     return counts.groupBy("severity", "drift_kind").agg(F.count(F.lit(1)).alias("tables"))
 
 
@@ -524,10 +527,10 @@ def contract_current(spark, sf):
     return contracts.current(_history(spark, sf))
 
 
-def _versions(spark, sf):
+def _versions(lines):
     """First contract version of every feed: its declared columns in name order."""
     place = F.row_number().over(Window.partitionBy("table").orderBy("column"))
-    d = feeds.declared(spark, sf).withColumn("ordinal", place)
+    d = feeds.declared(lines).withColumn("ordinal", place)
     nothing = F.lit(None).cast("string")
     return d.select(
         F.lit(1).cast("bigint").alias("version"), "table", "ordinal", "column", "type", "phi",
@@ -551,9 +554,10 @@ def _versions(spark, sf):
        UNION ALL SELECT "table", "column", type, ordinal, 2 FROM fresh)""",
 )
 def contract_merge(spark, sf):
-    versions = _versions(spark, sf)
+    lines = feeds.observations(spark, sf)
+    versions = _versions(lines)
     nothing = F.lit(None).cast("string")
-    updates = _items(spark, sf).filter("drift = 'new'").select(
+    updates = _items_of(lines).filter("drift = 'new'").select(
         "table", "column", F.col("incoming_type").alias("type"), F.lit(False).alias("phi"),
         nothing.alias("phi_type"), nothing.alias("masking"), F.lit("added").alias("description"),
     )
@@ -570,12 +574,13 @@ def contract_merge(spark, sf):
       FROM graded WHERE drift = 'missing'""",
 )
 def flag_missing(spark, sf):
-    gone = _items(spark, sf).filter("drift = 'missing'").select(
+    lines = feeds.observations(spark, sf)
+    gone = _items_of(lines).filter("drift = 'missing'").select(
         "table", "column",
         F.rpad(F.concat(F.lit("gone: "), F.col("column"), F.lit(" ")), 400, ".").alias("reason"),
     )
     stray = gone.select("table", F.lit("never_declared").alias("column"), "reason")
-    rows = contracts.flag_missing(_versions(spark, sf), gone.unionByName(stray), 2, NOW)
+    rows = contracts.flag_missing(_versions(lines), gone.unionByName(stray), 2, NOW)
     return rows.select(
         "table", "column", "version", "source_status",
         F.col("missing_detected_at").cast("string").alias("missing_detected_at"), "missing_reason",
@@ -588,7 +593,7 @@ def flag_missing(spark, sf):
       count(*) AS n_tables FROM declared WHERE phi GROUP BY 1""",
 )
 def phi_column_join(spark, sf):
-    return sensitive_columns(_versions(spark, sf))
+    return sensitive_columns(_versions(feeds.observations(spark, sf)))
 
 
 @query(
@@ -597,10 +602,11 @@ def phi_column_join(spark, sf):
       ON g."table" = d."table" AND g."column" = d."column" WHERE d.phi""",
 )
 def masked_drift_columns(spark, sf):
-    flagged = _versions(spark, sf).filter("phi").select(
+    lines = feeds.observations(spark, sf)
+    flagged = _versions(lines).filter("phi").select(
         F.col("table").alias("t"), F.col("column").alias("c"), "masking"
     )
-    items = _items(spark, sf).select("table", "column")
+    items = _items_of(lines).select("table", "column")
     return items.join(
         flagged, (F.col("table") == F.col("t")) & (F.col("column") == F.col("c"))
     ).select("table", "column", "masking")

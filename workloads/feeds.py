@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.session import new_scratch
 from workloads.registry import load
 
 # declared type and usual incoming type of each kind of part
@@ -30,35 +31,44 @@ def _of_kind(position: int):
     return expr
 
 
-def _lines(spark: SparkSession, sf: str, status: str) -> DataFrame:
-    line = load(spark, sf, "lineitem").filter(F.col("l_linestatus") == status)
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per feed and kind, with what both line statuses say about it."""
+    line = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linestatus")
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     part = load(spark, sf, "part").select("p_partkey", "p_type")
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
-    # one row per feed and kind before anything else happens
-    return joined.groupBy("o_custkey", F.col("p_type").alias("kind")).agg(
-        F.max("l_quantity").alias("most")
-    ).select(
+    grouped = joined.groupBy("o_custkey", F.col("p_type").alias("kind")).agg(
+        F.count_if(F.col("l_linestatus") == "F").alias("n_declared"),
+        F.count_if(F.col("l_linestatus") == "O").alias("n_observed"),
+        F.max(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("most"),
+    )
+    suffix = F.when(F.col("kind").startswith("S"), F.lit("_name")).otherwise(F.lit(""))
+    return grouped.select(
         F.concat(F.lit("feed_"), F.col("o_custkey").cast("string")).alias("table"),
-        F.concat(
-            F.lower("kind"), F.when(F.col("kind").startswith("S"), F.lit("_name")).otherwise(F.lit(""))
-        ).alias("column"),
-        "kind",
-        "most",
+        F.concat(F.lower("kind"), suffix).alias("column"),
+        "kind", "n_declared", "n_observed", "most",
     )
 
 
-def declared(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf, "F").select(
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    """The grouped lines as a written table, so that both sides below share one pass over the lines."""
+    path = new_scratch(spark, "observations")
+    lines = _lines(spark, sf)
+    lines.write.parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
+def declared(lines: DataFrame) -> DataFrame:
+    return lines.filter("n_declared > 0").select(
         "table", "column", _of_kind(0).alias("type"), F.col("kind").isin(*SENSITIVE).alias("phi")
     )
 
 
-def observed(spark: SparkSession, sf: str) -> DataFrame:
+def observed(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("most") == 50, F.lit("binary")).otherwise(_of_kind(1))
-    return _lines(spark, sf, "O").select("table", "column", kind.alias("type"))
+    return lines.filter("n_observed > 0").select("table", "column", kind.alias("type"))
 
 
 def _case(position: int) -> str:

@@ -577,13 +577,18 @@ def add_table_to_contract(spark, sf):
 )
 def ingest_run(spark, sf):
     folder, base = raw_folder(spark, sf, "orders"), new_scratch(spark, "tables")
-    manifest = ingest.preflight(spark, folder, RAW, ["orders"])
-    name = manifest.first()
-    done = ingest.write_table(spark, name, RAW, base)
-    if done[3] != "OK":
-        raise RuntimeError(done[-1])
-    location = spark.table("orders").inputFiles()[0].rsplit("/", 1)[0]
-    return dates_as_text(_detached(spark, "orders", location))
+    database = _table_name()
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{base}/catalog'")
+    try:
+        entry = ingest.preflight(spark, folder, RAW, ["orders"]).first()
+        done = ingest.write_table(spark, entry, RAW, base, database)
+        if done[3] != "OK":
+            raise RuntimeError(done[-1])
+        table = spark.table(f"{database}.orders")
+        location = table.inputFiles()[0].rsplit("/", 1)[0]
+        return dates_as_text(_detached(spark, f"{database}.orders", location))
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 @query(
