@@ -16,6 +16,8 @@ TABLE_REQUEST_PHRASES = (
     "show", "list", "display", "fetch", "retrieve", "show me the records", "show records",
     "show patients", "list patients", "find all", "get all",
 )
+# Set operators name their result after the first branch only, which would hide where the rest is from.
+SET_WORDS = ("UNION", "INTERSECT", "EXCEPT", "MINUS")
 LIMIT_WORDS = ("top", "first", "any", "last")
 
 
@@ -46,6 +48,11 @@ def starts_as_query(statement: Column) -> Column:
     return bare.rlike(r"(?is)^\s*\(*\s*(select|with)\b") & ~bare.contains(";")
 
 
+def combines_sets(statement: Column) -> Column:
+    """A set operator outside literals and comments."""
+    return _unquoted(statement).rlike(_words(SET_WORDS))
+
+
 def is_destructive_question(question: Column) -> Column:
     return question.rlike(_words(DESTRUCTIVE_QUESTION_WORDS)) | question.rlike(
         _words("DROP DELETE TRUNCATE INSERT UPDATE ALTER CREATE REPLACE".split())

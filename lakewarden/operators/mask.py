@@ -33,6 +33,31 @@ class UnmappedColumns(ValueError):
     """Strict masking met result columns of unknown origin."""
 
 
+ORIGIN = "origin"
+
+
+def tagged(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the origin of every column in its metadata.
+
+    Spark carries metadata along with a column through joins, grouping, subqueries and renaming, and
+    drops it from anything computed. A result column that still has its origin is that column.
+    """
+    return df.select(
+        *[F.col(f"`{c}`").alias(c, metadata={ORIGIN: f"{table}.{c}"}) for c in df.columns]
+    )
+
+
+def lineage_by_tag(df: DataFrame) -> Lineage:
+    """Origins found in the metadata of a result's columns."""
+    found: Lineage = {}
+    for f in df.schema.fields:
+        origin = (f.metadata or {}).get(ORIGIN)
+        if origin:
+            table, _, column = origin.partition(".")
+            found[f.name] = (table, column)
+    return found
+
+
 def lineage_by_name(columns: list[str], contract: Contract) -> Lineage:
     """Origin of each column by its bare name: the first table that marks the name sensitive, else
     the first that has it. Enough for results that keep their column names."""
@@ -45,6 +70,10 @@ def lineage_by_name(columns: list[str], contract: Contract) -> Lineage:
     return found
 
 
+def lineage_of(df: DataFrame, contract: Contract) -> Lineage:
+    return {**lineage_by_name(df.columns, contract), **lineage_by_tag(df)}
+
+
 def sensitive_columns(contract: DataFrame) -> DataFrame:
     """(column, phi_type, masking, type, n_tables) over all tables, the first definition winning."""
     first = F.min_by(F.struct("phi_type", "masking", "type"), F.struct("table", "ordinal"))
@@ -93,14 +122,15 @@ def mask_result(
     targeted: bool = False,
     strict: bool = False,
     literal_dates: bool = False,
+    derived: tuple[str, ...] = (),
 ) -> DataFrame:
     """``df`` as ``role`` may see it: one projection, every mask computed from unmasked columns.
 
-    ``lineage`` names the origin of renamed columns. ``strict`` refuses columns without one; use it
-    for results of free SQL text.
+    ``lineage`` names the origin of renamed columns. ``strict`` refuses columns without one, save
+    those the caller vouches for as ``derived``; use it for results of free SQL text.
     """
-    known = lineage if lineage is not None else lineage_by_name(df.columns, contract)
-    unknown = [c for c in df.columns if c not in known]
+    known = lineage if lineage is not None else lineage_of(df, contract)
+    unknown = [c for c in df.columns if c not in known and c not in derived]
     if strict and unknown:
         raise UnmappedColumns(f"no origin known for result columns {unknown}")
     out = []
@@ -129,7 +159,7 @@ def mask_report(
     targeted: bool = False,
 ) -> DataFrame:
     """(column, phi_type, strategy, action) for every sensitive result column."""
-    known = lineage if lineage is not None else lineage_by_name(df.columns, contract)
+    known = lineage if lineage is not None else lineage_of(df, contract)
     cells = []
     for name in df.columns:
         origin = known.get(name)

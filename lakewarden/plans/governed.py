@@ -11,7 +11,15 @@ from pyspark.sql import types as T
 
 from lakewarden.functions import text as gates
 from lakewarden.operators.aggregates import DEFAULT_CAP, HARD_CAP
-from lakewarden.operators.mask import Lineage, is_targeted, mask_report, mask_result
+from lakewarden.operators.mask import (
+    Lineage,
+    is_targeted,
+    lineage_by_tag,
+    lineage_of,
+    mask_report,
+    mask_result,
+    tagged,
+)
 from lakewarden.session import checkpointed
 from lakewarden.sources import audit
 from lakewarden.sources.contract import Contract
@@ -74,13 +82,19 @@ def check_statement(spark: SparkSession, statement: str) -> None:
     """Raise for anything but one reading statement. The statement checked is the one that runs."""
     verdict = (
         spark.createDataFrame([(statement,)], "s string")
-        .select(gates.blocked_word(F.col("s")), gates.starts_as_query(F.col("s")))
+        .select(
+            gates.blocked_word(F.col("s")),
+            gates.starts_as_query(F.col("s")),
+            gates.combines_sets(F.col("s")),
+        )
         .first()
     )
     if verdict[0]:
         raise Blocked(f"blocked keyword: {verdict[0]}")
     if not verdict[1]:
         raise Blocked("only a single SELECT statement may run")
+    if verdict[2]:
+        raise Blocked("set operators hide where columns come from")
 
 
 def credibility(n_rows: Column, is_count: Column, max_percent: Column) -> Column:
@@ -137,6 +151,7 @@ def govern(
     audit_path: str | None = None,
     run_id: str = "",
     statement: str = "",
+    derived: tuple[str, ...] = (),
 ) -> GovernedResult:
     """Cap, mask and log one result.
 
@@ -145,13 +160,16 @@ def govern(
     runs once however expensive it is.
     """
     cap = min(DEFAULT_CAP if limit is None else limit, HARD_CAP)
+    origins = lineage if lineage is not None else lineage_of(df, contract)
     kept = checkpointed(df.limit(cap + 1))
     n = kept.count()
     truncated = n > cap
     result = kept.limit(cap)
     targeted = is_targeted(kept, contract, role)
     verdict = judge(result, is_count).first()
-    masked = mask_result(result, contract, role, key, lineage, targeted, strict)
+    masked = mask_result(
+        result, contract, role, key, origins, targeted, strict, derived=derived
+    )
     if audit_path:
         entry = [
             (run_id, role, statement, min(n, cap), truncated, targeted,
@@ -160,7 +178,7 @@ def govern(
         audit.append(df.sparkSession.createDataFrame(entry, QUERY_LOG), audit_path)
     return GovernedResult(
         masked,
-        mask_report(result, contract, role, lineage, targeted),
+        mask_report(result, contract, role, origins, targeted),
         truncated,
         targeted,
         verdict["credible"],
@@ -173,6 +191,12 @@ def fetch(df: DataFrame, limit: int | None = None):
     return df.limit(min(DEFAULT_CAP if limit is None else limit, HARD_CAP)).toArrow()
 
 
+def register_governed(frames: dict[str, DataFrame], prefix: str = "") -> None:
+    """Temporary views of the contract's tables whose columns carry their origin."""
+    for table, df in frames.items():
+        tagged(df, table).createOrReplaceTempView(prefix + table)
+
+
 def governed_sql(
     spark: SparkSession,
     statement: str,
@@ -182,15 +206,19 @@ def governed_sql(
     lineage: Lineage | None = None,
     **options,
 ) -> GovernedResult:
-    """A reading statement under governance. Result columns must be traceable, so aliases of
-    sensitive columns need ``lineage`` and computed ones a mapping or a masked origin."""
+    """A reading statement under governance.
+
+    Every result column must be traceable: by the origin it carries from a governed view, whatever
+    its name is now, or by an entry in ``lineage``; computed columns must be listed as ``derived``.
+    """
     bare = (
         spark.createDataFrame([(statement,)], "s string")
         .select(gates.strip_fences(F.col("s")))
         .first()[0]
     )
     check_statement(spark, bare)
+    df = spark.sql(bare.rstrip("; \n"))
+    origins = {**(lineage or {}), **lineage_by_tag(df)}
     return govern(
-        spark.sql(bare.rstrip("; \n")), contract, role, key, lineage=lineage, strict=True,
-        statement=bare, **options,
+        df, contract, role, key, lineage=origins, strict=True, statement=bare, **options
     )

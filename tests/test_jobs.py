@@ -195,13 +195,10 @@ def test_file_arrival(spark, tmp_path):
 def people(spark):
     rows = [(f"p{i}", f"first {i}", "Boston, MA, US", "F" if i % 2 else "M") for i in range(60)]
     df = spark.createDataFrame(rows, "id string, first string, birthplace string, gender string")
-    df.createOrReplaceTempView("people_view")
+    mask.tagged(df, "patients").createOrReplaceTempView("people_view")
     return df
 
 
-LINEAGE = {c: ("patients", c) for c in ("id", "first", "birthplace", "gender")}
-
-
 @pytest.mark.parametrize(
     "statement",
     ["DROP TABLE people_view", "SELECT 1; SELECT 2", "SHOW TABLES", "select * from people_view; truncate table x"],
@@ -216,7 +213,7 @@ def test_governed_sql(spark, people, tmp_path):
     key = fm.secret(spark, "k")
     result = governed.governed_sql(
         spark, "```sql\nSELECT id, first, birthplace, gender FROM people_view\n```", CONTRACT, "doctor", key,
-        LINEAGE, audit_path=log, run_id="r1",
+        audit_path=log, run_id="r1",
     )
     rows = result.rows.collect()
     assert len(rows) == 50 and result.truncated and not result.targeted
@@ -224,7 +221,7 @@ def test_governed_sql(spark, people, tmp_path):
     assert {r["birthplace"] for r in rows} == {"Boston, MA, US"}
     few = governed.governed_sql(
         spark, "SELECT id, first, birthplace, gender FROM people_view WHERE id = 'p1'", CONTRACT, "doctor", key,
-        LINEAGE, audit_path=log, run_id="r2",
+        audit_path=log, run_id="r2",
     )
     assert few.targeted and few.rows.first()["first"] == "first 1"
     none = governed.govern(people.filter("id = 'nobody'"), CONTRACT, "analyst", key, audit_path=log, run_id="r3")
@@ -233,11 +230,31 @@ def test_governed_sql(spark, people, tmp_path):
     assert entries["r1"]["truncated"] and entries["r2"]["targeted"] and entries["r3"]["rows"] == 0
 
 
-def test_alias_cannot_escape(spark, people):
+@pytest.mark.parametrize(
+    "shown",
+    ["first AS gender", "x.hello AS gender FROM (SELECT first AS hello FROM people_view) x", "first AS `any name`"],
+)
+def test_alias_is_masked(spark, people, shown):
+    statement = f"SELECT {shown}" + ("" if "FROM" in shown else " FROM people_view")
+    result = governed.governed_sql(spark, statement, CONTRACT, "analyst", fm.secret(spark, "k"))
+    assert {r[0] for r in result.rows.collect()} == {"***REDACTED***"}
+
+
+@pytest.mark.parametrize(
+    "statement",
+    ["SELECT upper(first) AS gender FROM people_view", "SELECT max(first) AS gender FROM people_view",
+     "SELECT (SELECT max(first) FROM people_view) AS gender", "SELECT coalesce(gender, first) AS gender FROM people_view"],
+)
+def test_computed_columns_need_a_voucher(spark, people, statement):
+    key = fm.secret(spark, "k")
     with pytest.raises(mask.UnmappedColumns):
-        governed.governed_sql(
-            spark, "SELECT first AS hello FROM people_view", CONTRACT, "analyst", fm.secret(spark, "k")
-        )
+        governed.governed_sql(spark, statement, CONTRACT, "analyst", key)
+
+
+def test_set_operators_are_refused(spark, people):
+    statement = "SELECT gender FROM people_view UNION ALL SELECT first FROM people_view"
+    with pytest.raises(governed.Blocked, match="set operators"):
+        governed.governed_sql(spark, statement, CONTRACT, "analyst", fm.secret(spark, "k"))
 
 
 def test_count_with_many_rows_is_doubted(spark, people):

@@ -626,11 +626,14 @@ def drift_handling(spark, sf):
     outcomes, appended = ingest.handle_drift(
         spark, blocked, RAW.rows(spark), "", 2, dt.datetime(2024, 2, 1)
     )
-    rows = raw.scan_text(spark, f"{folder}/events.csv").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    source = raw.table_of(F.col("_metadata.file_path")).alias("source")
+    rows = raw.scan_text(spark, f"{folder}/events.csv").select("event_type", source).groupBy(
+        "source", "event_type"
+    ).agg(F.count(F.lit(1)).alias("n"))
     outcome = outcomes.select("table", "strategy", "status", "route")
     flagged = appended.select(F.col("table").alias("t"), F.col("column").alias("flagged"))
     return rows.join(
-        outcome.join(flagged, F.col("table") == F.col("t")), F.lit("events") == F.col("table")
+        outcome.join(flagged, F.col("table") == F.col("t")), F.col("source") == F.col("table")
     ).select("event_type", "n", "strategy", "status", "route", "flagged")
 
 

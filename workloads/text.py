@@ -297,16 +297,31 @@ def governed_query(spark, sf):
     "FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL ORDER BY n_orders DESC, c_custkey LIMIT 10)",
 )
 def governed_sql_targeted(spark, sf):
-    statement = f"""```sql
-    SELECT c.c_custkey, c.c_name, count(*) AS n_orders FROM parquet.`{sf}/customer.parquet` c
-    JOIN parquet.`{sf}/orders.parquet` o ON c.c_custkey = o.o_custkey
+    governed.register_governed({t: load(spark, sf, t) for t in ("customer", "orders")}, "governed_")
+    statement = """```sql
+    SELECT c.c_custkey, c.c_name, count(*) AS n_orders FROM governed_customer c
+    JOIN governed_orders o ON c.c_custkey = o.o_custkey
     GROUP BY c.c_custkey, c.c_name ORDER BY n_orders DESC, c.c_custkey LIMIT 10
     ```"""
-    lineage = {
-        "c_custkey": ("customer", "c_custkey"), "c_name": ("customer", "c_name"),
-        "n_orders": ("customer", "c_nationkey"),
-    }
     result = governed.governed_sql(
-        spark, statement, CONTRACT, "doctor", fm.secret(spark, masking_queries.KEY), lineage
+        spark, statement, CONTRACT, "doctor", fm.secret(spark, masking_queries.KEY), derived=("n_orders",)
+    )
+    return result.rows
+
+
+@query(
+    "governed_sql_aliases",
+    f"""SELECT {masking_queries.uuid_sql('c_custkey')} AS c_nationkey, '***REDACTED***' AS o_orderstatus, n_orders
+      FROM (SELECT c_custkey, count(*) AS n_orders FROM customer JOIN orders ON c_custkey = o_custkey
+        GROUP BY ALL ORDER BY n_orders DESC, c_custkey LIMIT 50)""",
+)
+def governed_sql_aliases(spark, sf):
+    # sensitive columns under the names of harmless ones are masked all the same
+    governed.register_governed({t: load(spark, sf, t) for t in ("customer", "orders")}, "governed_")
+    statement = """SELECT c.c_custkey AS c_nationkey, c.c_name AS o_orderstatus, count(*) AS n_orders
+    FROM governed_customer c JOIN governed_orders o ON c.c_custkey = o.o_custkey
+    GROUP BY c.c_custkey, c.c_name ORDER BY n_orders DESC, c.c_custkey"""
+    result = governed.governed_sql(
+        spark, statement, CONTRACT, "analyst", fm.secret(spark, masking_queries.KEY), derived=("n_orders",)
     )
     return result.rows
