@@ -17,13 +17,6 @@ from lakewarden.sources import catalog, raw
 from lakewarden.sources.audit import first_per
 from lakewarden.sources.contract import DEFINITION, Contract, flag_missing, merge_definitions
 
-FILE = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("modified", T.TimestampType()),
-    ]
-)
 MANIFEST = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -33,7 +26,10 @@ MANIFEST = T.StructType(
         T.StructField("severity", T.StringType()),
         T.StructField("n_columns", T.IntegerType()),
         T.StructField("columns", T.ArrayType(T.StringType())),
-        T.StructField("files", T.ArrayType(FILE)),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_files", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("fingerprint", T.LongType()),
         T.StructField("payload", T.StringType()),
         T.StructField("note", T.StringType()),
         T.StructField("error", T.StringType()),
@@ -62,15 +58,9 @@ def new_run_id(prefix: str) -> str:
     return f"{prefix}_{dt.datetime.now(dt.timezone.utc):%Y%m%d_%H%M%S_%f}"
 
 
-def files_by_table(spark: SparkSession, raw_dir: str) -> dict[str, list]:
-    """Raw files of each table. The listing has one row per file, never file content."""
-    found: dict[str, list] = {}
-    for r in raw.discover(spark, raw_dir).orderBy("table", "path").toLocalIterator():
-        found.setdefault(r["table"], []).append((r["path"], r["length"], r["modified"]))
-    return found
-
-
-def scan_table(spark: SparkSession, table: str, paths: list[str], contract: Contract) -> DataFrame:
+def scan_table(
+    spark: SparkSession, table: str, paths: str | list[str], contract: Contract
+) -> DataFrame:
     """Normalised rows of a table's raw files, cast where a contract exists."""
     if table not in contract.tables:
         return normalize_names(raw.scan_inferred(spark, paths))
@@ -96,33 +86,37 @@ def preflight(
 ) -> DataFrame:
     """One manifest row per requested table: status, severity, drift payload and pinned input files."""
     run_id = run_id or new_run_id("p1")
-    files = files_by_table(spark, raw_dir)
+    found = raw.inputs(spark, raw_dir).filter(F.col("table").isin(tables))
+    inputs = {r["table"]: r for r in found.collect()}  # one small row per requested table
 
     def check(seq_table: tuple[int, str]) -> tuple:
         seq, table = seq_table
-        if table not in files:
-            return (run_id, seq, table, reports.SKIPPED, "NONE", 0, [], [], None, None,
+        if table not in inputs:
+            return (run_id, seq, table, reports.SKIPPED, "NONE", 0, [], None, 0, 0, None, None, None,
                     f"no file {table}.csv in {raw_dir}")
-        pinned = files[table]
+        i = inputs[table]
+        pinned = (i["source"], i["n_files"], i["n_bytes"], i["fingerprint"])
         try:
-            df = scan_table(spark, table, [p for p, _, _ in pinned], contract)
+            if i["n_sources"] > 1:
+                raise InputChanged(f"{table}: {i['n_sources']} sources have this name")
+            df = scan_table(spark, table, i["source"], contract)
             if table not in contract.tables:
                 return (run_id, seq, table, reports.READY, "NONE", len(df.columns), df.columns,
-                        pinned, None, "no contract; drift not checked", None)
+                        *pinned, None, "no contract; drift not checked", None)
             report = drift_ops.drift_reports(drift_items(df, table, contract))
-            found = report.select(
+            drifted = report.select(
                 "severity", drift_ops.report_payload(report.columns).alias("payload")
             ).first()
-            severity = found["severity"] if found else "NONE"
+            severity = drifted["severity"] if drifted else "NONE"
             status, note = reports.READY, None
             if severity == "CRITICAL" and on_critical == "halt":
                 status, note = reports.BLOCKED, "needs remediation before writing"
             elif severity == "CRITICAL":
                 note = "critical drift let through by fallback mode"
-            return (run_id, seq, table, status, severity, len(df.columns), df.columns, pinned,
-                    found["payload"] if found else None, note, None)
+            return (run_id, seq, table, status, severity, len(df.columns), df.columns, *pinned,
+                    drifted["payload"] if drifted else None, note, None)
         except Exception as failure:  # one bad table must not stop the others
-            return (run_id, seq, table, reports.FAILED, "NONE", 0, [], pinned, None, None,
+            return (run_id, seq, table, reports.FAILED, "NONE", 0, [], *pinned, None, None,
                     str(failure)[:500])
 
     rows = catalog.for_each_table(list(enumerate(tables)), check)
@@ -148,16 +142,10 @@ def write_table(
     run_id, seq, table = entry["run_id"], entry["seq"], entry["table"]
     full = f"{database}.{table}" if database else table
     try:
-        paths = [f["path"] for f in entry["files"]]
-        folder = sorted({p.rsplit("/", 1)[0] for p in paths})
-        now = {
-            (r["path"], r["length"], r["modified"])
-            for d in folder
-            for r in raw.discover(spark, d).filter(F.col("path").isin(paths)).toLocalIterator()
-        }
-        if now != {(f["path"], f["length"], f["modified"]) for f in entry["files"]}:
+        now = raw.inputs(spark, entry["source"]).first()
+        if now is None or now["fingerprint"] != entry["fingerprint"]:
             raise InputChanged(f"{table}: raw files changed since the preflight")
-        df = scan_table(spark, table, paths, contract)
+        df = scan_table(spark, table, entry["source"], contract)
         casts = ", ".join(f"{c}:{t}" for c, t in cast_summary(df))
         if dry_run:
             return (run_id, seq, table, "DRY_RUN", 0, len(df.columns), {}, casts, "")

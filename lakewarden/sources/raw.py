@@ -13,8 +13,14 @@ def table_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(?i)([^/]+?)\.csv(?:/|$)", 1))
 
 
+def source_of(path: Column) -> Column:
+    """Path of that file or folder."""
+    return F.regexp_extract(path, r"(?i)^(.*?/[^/]+?\.csv)(?:/|$)", 1)
+
+
 def discover(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """(table, path, length, modified) of every CSV file in a folder; contents are not read."""
+    """(table, source, path, length, modified) of every CSV file below a folder, or of one source;
+    contents are not read."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
@@ -23,10 +29,25 @@ def discover(spark: SparkSession, raw_dir: str) -> DataFrame:
     )
     return files.select(
         table_of(F.col("path")).alias("table"),
+        source_of(F.col("path")).alias("source"),
         "path", "length", F.col("modificationTime").alias("modified"),
     )
 
 
+def inputs(spark: SparkSession, raw_dir: str) -> DataFrame:
+    """One row per table: its source, how many sources claim it, file and byte counts and a
+    fingerprint of all file names, sizes and times. However many part files there are, only this
+    row leaves the executors."""
+    seen = F.bit_xor(F.xxhash64("path", "length", "modified"))
+    return discover(spark, raw_dir).groupBy("table").agg(
+        F.min("source").alias("source"),
+        F.countDistinct("source").alias("n_sources"),
+        F.countDistinct("path").alias("n_files"),
+        F.sum("length").alias("n_bytes"),
+        seen.alias("fingerprint"),
+    )
+
+
 def wanted_tables(request: DataFrame, column: str, known: DataFrame) -> DataFrame:
     """Tables named by a request text: ``all`` for every known one, else a comma list."""
     items = request.select(F.explode(F.split(column, ",")).alias("item")).select(

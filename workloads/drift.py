@@ -280,14 +280,14 @@ def _proposals(spark, sf):
         kind.isin("additive_only", "mixed"), F.array(F.lit("col_a"), F.lit("Col_B"))
     ).otherwise(F.array().cast("array<string>"))
     return o.select(
-        "o_orderkey", table.alias("table"), full.alias("full_table"),
+        "o_orderkey", "o_orderstatus", table.alias("table"), full.alias("full_table"),
         F.replace(template, F.lit("{t}"), full).alias("sql_fix"),
         _pick(DEFINITIONS, F.col("o_orderkey")).alias("new_json"),
         kind.alias("drift_kind"), fresh.alias("new_columns"),
     )
 
 
-PROPOSALS = f"""WITH p AS (SELECT o_orderkey, 't' || CAST(o_custkey AS VARCHAR) AS "table",
+PROPOSALS = f"""WITH p AS (SELECT o_orderkey, o_orderstatus, 't' || CAST(o_custkey AS VARCHAR) AS "table",
   'lake.raw.t' || CAST(o_custkey AS VARCHAR) AS full_table,
   replace({_pick_sql(STATEMENTS, 'o_orderkey')}, '{{t}}', 'lake.raw.t' || CAST(o_custkey AS VARCHAR)) AS sql_fix,
   {_pick_sql(DEFINITIONS, 'o_orderkey')} AS new_json, {_pick_sql(KINDS, 'o_orderkey')} AS drift_kind
@@ -473,8 +473,8 @@ def remediation_route(spark, sf):
 @query(
     "manual_review_apply",
     PROPOSALS + """, d AS (SELECT *, ['approve', 'decline', 'pending'][o_orderkey::INT % 3 + 1] AS decision FROM y
-        WHERE o_orderkey % 12 <> 8),
-      e AS (SELECT *, 'pending' AS decision FROM y WHERE o_orderkey % 12 = 8)
+        WHERE o_orderstatus <> 'P'),
+      e AS (SELECT *, 'pending' AS decision FROM y WHERE o_orderstatus = 'P')
       SELECT o_orderkey, decision, CASE WHEN decision = 'decline' THEN 'fix_declined'
         WHEN decision <> 'approve' THEN 'pending' WHEN NOT ok THEN 'error'
         ELSE 'fix_applied' END AS review_status,
@@ -485,7 +485,7 @@ def manual_review_apply(spark, sf):
     pending = _proposals(spark, sf).withColumn("table_name", F.col("table"))
     # one proposal per order here, so reviews are keyed by the order
     keyed = pending.withColumn("table", F.concat_ws("_", "table_name", "o_orderkey"))
-    decisions = keyed.filter(F.col("o_orderkey") % 12 != 8).select(
+    decisions = keyed.filter(F.col("o_orderstatus") != "P").select(
         "table",
         _pick(["approve", "decline", "pending"], F.col("o_orderkey")).alias("decision"),
         F.lit(None).cast("string").alias("override_sql"),

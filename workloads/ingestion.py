@@ -410,6 +410,24 @@ def schema_export(spark, sf):
     return spark.read.schema(exported.schema).json(path)
 
 
+@query(
+    "reconcile_counts",
+    """SELECT o_custkey, count(*) AS source_rows, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS written_rows,
+      CASE WHEN bool_and(o_orderkey IN (SELECT l_orderkey FROM lineitem)) THEN 'OK' ELSE 'FAILED' END AS status
+      FROM orders GROUP BY 1""",
+)
+def reconcile_counts(spark, sf):
+    # orders as the source, orders that have lines as what was written
+    arrived = load(spark, sf, "lineitem").select("l_orderkey").distinct()
+    joined = load(spark, sf, "orders").select("o_orderkey", "o_custkey").join(
+        arrived, F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    )
+    counts = joined.groupBy("o_custkey").agg(
+        F.count("o_orderkey").alias("source_rows"), F.count("l_orderkey").alias("written_rows")
+    )
+    return counts.withColumn("status", quality.reconciled(F.col("source_rows"), F.col("written_rows")))
+
+
 # ---------------------------------------------------------------- catalog tables
 
 
