@@ -81,17 +81,24 @@ def added_columns(sql: Column) -> Column:
 def definition_map(new_json: Column) -> Column:
     """map<string, json text> of proposed definitions; NULL when the text is not an object."""
     text = F.when(_blank(new_json), F.lit("{}")).otherwise(F.trim(new_json))
-    return F.when(text.startswith("{"), F.from_json(text, "map<string,string>"))
+    return F.from_json(text, "map<string,string>")
 
 
 def lowered(names: Column) -> Column:
     """Distinct lower-case names in order."""
-    return F.array_sort(F.array_distinct(F.transform(names, lambda n: F.lower(n))))
+    return F.sort_array(F.array_distinct(F.transform(names, lambda n: F.lower(n))))
 
 
-def definition_verdict(new_json: Column, drift_kind: Column, new_columns: Column) -> Column:
-    """struct<ok, reason>: an object, over new columns only, each entry an object with a type."""
-    entries = definition_map(new_json)
+def defined_columns(entries: Column) -> Column:
+    """Column names of a definition map; none when there is no map."""
+    return F.coalesce(lowered(F.map_keys(entries)), F.array().cast("array<string>"))
+
+
+def definition_verdict(entries: Column, drift_kind: Column, new_columns: Column) -> Column:
+    """struct<ok, reason>: an object, over new columns only, each entry an object with a type.
+
+    ``entries`` is a ``definition_map``; give it as a column of its own, so that it is parsed once.
+    """
     names = lowered(F.map_keys(entries))
     extra = F.array_except(names, lowered(new_columns))
     cells = F.map_entries(entries)
@@ -104,7 +111,7 @@ def definition_verdict(new_json: Column, drift_kind: Column, new_columns: Column
     )
 
     def names_of(bad: Column) -> Column:
-        return F.array_join(F.array_sort(F.transform(bad, lambda e: F.lower(e["key"]))), ", ")
+        return F.array_join(F.sort_array(F.transform(bad, lambda e: F.lower(e["key"]))), ", ")
 
     return (
         F.when(entries.isNull(), _verdict(False, "definitions must be a JSON object"))
@@ -131,23 +138,20 @@ def definition_verdict(new_json: Column, drift_kind: Column, new_columns: Column
 
 
 def cross_verdict(
-    sql: Column, new_json: Column, drift_kind: Column, new_columns: Column
+    sql: Column, ddl_columns: Column, json_columns: Column, drift_kind: Column, new_columns: Column
 ) -> Column:
-    """struct<ok, reason>: statement, definitions and drift must name the same columns."""
-    ddl = lowered(added_columns(sql))
-    defined = F.coalesce(
-        lowered(F.map_keys(definition_map(new_json))), F.array().cast("array<string>")
-    )
+    """struct<ok, reason>: statement, definitions and drift must name the same columns. The two
+    column lists are lower-case, distinct and in order."""
     fresh = lowered(new_columns)
-    has_sql, has_json = ~_blank(sql), F.size(defined) > 0
+    has_sql, has_json = ~_blank(sql), F.size(json_columns) > 0
     additive = drift_kind == "additive_only"
     return (
         F.when(
-            additive & has_sql & (ddl != fresh),
+            additive & has_sql & (ddl_columns != fresh),
             _verdict(False, "statement columns differ from the new columns"),
         )
         .when(
-            additive & has_json & (defined != fresh),
+            additive & has_json & (json_columns != fresh),
             _verdict(False, "defined columns differ from the new columns"),
         )
         .when(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakewarden.session import small_frame
+
 # What a hidden value looks like.
 REDACTED = "***REDACTED***"
 DATE_REDACTED = "***DATE_REDACTED***"
@@ -20,8 +22,7 @@ def secret(spark: SparkSession, value: str) -> Column:
     """A key as a scalar subquery, so that its text shows up in no plan or event log."""
     if not value:
         raise ValueError("a masking key is required")
-    frame = spark.createDataFrame([(value,)], T.StructType([T.StructField("key", T.StringType())]))
-    return frame.scalar()
+    return small_frame(spark, [(value,)], "key string").scalar()
 
 
 def pseudonym(value: Column, key: Column) -> Column:
@@ -90,7 +91,7 @@ def masked(
 ) -> Column:
     """``value`` under a strategy name; an unknown name redacts.
 
-    A date without its entity column becomes a NULL of its own type, or the reference text when
+    A date without its entity column becomes a NULL of its own type, or a marker text when
     ``literal_dates`` is set (the column is then a string).
     """
     if strategy == "FPE_UUID":

@@ -75,12 +75,13 @@ def requested_limit(question: Column) -> Column:
     return F.when(digits != "", digits.try_cast("bigint"))
 
 
+BLANKS = " \t\n\r\f\x0b"
+
+
 def strip_fences(text: Column) -> Column:
     """Text without a leading and a trailing code fence."""
-    body = F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
-    body = F.regexp_replace(body, r"\A```\w*\n?", "")
-    body = F.regexp_replace(body, r"\n?```\z", "")
-    return F.regexp_replace(F.regexp_replace(body, r"^\s+", ""), r"\s+$", "")
+    body = F.regexp_replace(F.btrim(text, F.lit(BLANKS)), r"\A```\w*\n?", "")
+    return F.btrim(F.regexp_replace(body, r"\n?```\z", ""), F.lit(BLANKS))
 
 
 def number_in(text: Column) -> Column:

@@ -117,7 +117,7 @@ def drift_counts(contract: DataFrame, observed: DataFrame) -> DataFrame:
 def _items_of(kind: str, *fields: Column) -> Column:
     """Items of one kind, by column name. Bounded by the width of the table's schema, because the
     items are already one per (table, column)."""
-    return F.array_sort(
+    return F.sort_array(
         F.collect_list(F.when(F.col("drift") == kind, F.struct(F.col("column"), *fields)))
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from lakewarden.functions.casting import REDACTED_COLUMNS, YEAR_COLUMNS
 from lakewarden.functions.masking import masked, salted_hash, year_only
 from lakewarden.operators.aggregates import size_is_at_most
+from lakewarden.session import small_frame
 from lakewarden.sources.contract import ColumnSpec, Contract
 
 # A clinician's result up to this many rows counts as targeted.
@@ -168,7 +169,7 @@ def mask_report(
             continue
         hidden = _decide(spec, contract, role, targeted)
         cells.append((name, spec.phi_type, spec.masking, "MASKED" if hidden else "VISIBLE"))
-    return df.sparkSession.createDataFrame(cells, REPORT_SCHEMA)
+    return small_frame(df.sparkSession, cells, REPORT_SCHEMA)
 
 
 def mask_at_ingest(
@@ -205,5 +206,5 @@ def ingest_mask_report(columns: DataFrame) -> DataFrame:
         columns.withColumn("strategy", strategy)
         .filter(F.col("strategy").isNotNull())
         .groupBy("table", "strategy")
-        .agg(F.array_join(F.array_sort(F.collect_set("column")), ",").alias("columns"))
+        .agg(F.array_join(F.sort_array(F.collect_set("column")), ",").alias("columns"))
     )

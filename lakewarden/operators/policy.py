@@ -93,22 +93,28 @@ def recommend(reports: DataFrame, full_table: Column) -> DataFrame:
     )
 
 
-def parsed_response(text: Column) -> Column:
-    """struct<ok, sql_fix, new_json, severity, reasoning> of an advisor's answer.
+def parse_responses(answers: DataFrame, text: str, alias: str = "response") -> DataFrame:
+    """``answers`` with struct<ok, sql_fix, new_json, severity, reasoning> of an advisor's answer.
 
     Fences are stripped and every field is coerced; an answer that is no JSON object has ok = false.
+    The bare text and its parsed form are columns of their own on the way, so each is made once per
+    answer however many fields are read from it.
     """
-    body = strip_fences(text)
-    parts = F.when(body.startswith("{"), F.from_json(body, "map<string,string>"))
+    bare = answers.withColumn("_bare", strip_fences(F.col(text)))
+    parsed = bare.withColumn(
+        "_parts", F.when(F.col("_bare").endswith("}"), F.from_json("_bare", "map<string,string>"))
+    )
+    parts = F.col("_parts")
     definitions = F.trim(F.coalesce(F.try_element_at(parts, F.lit("NEW_JSON")), F.lit("")))
     severity = F.upper(F.trim(F.coalesce(F.try_element_at(parts, F.lit("SEVERITY")), F.lit("WARNING"))))
-    return F.struct(
+    response = F.struct(
         parts.isNotNull().alias("ok"),
         F.trim(F.coalesce(F.try_element_at(parts, F.lit("SQL_FIX")), F.lit(""))).alias("sql_fix"),
         F.when(definitions.startswith("{"), definitions).otherwise(F.lit("{}")).alias("new_json"),
         F.when(severity.isin(*KNOWN_SEVERITIES), severity).otherwise(F.lit("WARNING")).alias("severity"),
         F.coalesce(F.try_element_at(parts, F.lit("REASONING")), F.lit("")).alias("reasoning"),
     )
+    return parsed.withColumn(alias, response).drop("_bare", "_parts")
 
 
 def subtractive_guard(response: Column, n_new: Column, n_missing: Column) -> Column:
@@ -127,19 +133,21 @@ def validate(proposals: DataFrame, mode: str = "autonomous", additive_only: bool
     """Every check and the resulting strategy for proposals with the columns
     (table, full_table, drift_kind, new_columns array<string>, sql_fix, new_json)."""
     kind, fresh = F.col("drift_kind"), F.col("new_columns")
-    sql, definitions = F.col("sql_fix"), F.col("new_json")
-    checked = proposals.select(
+    sql = F.col("sql_fix")
+    read = proposals.select(
         "*",
+        ddl.definition_map(F.col("new_json")).alias("_entries"),
+        ddl.lowered(ddl.added_columns(sql)).alias("ddl_columns"),
+    ).withColumn("json_columns", ddl.defined_columns(F.col("_entries")))
+    checked = read.select(
+        *proposals.columns, "ddl_columns", "json_columns",
         ddl.statement_verdict(
             sql, F.col("table"), F.col("full_table"), F.lit(mode), additive_only
         ).alias("sql_validation"),
-        ddl.definition_verdict(definitions, kind, fresh).alias("json_validation"),
-        ddl.cross_verdict(sql, definitions, kind, fresh).alias("cross_validation"),
-        ddl.lowered(ddl.added_columns(sql)).alias("ddl_columns"),
-        F.coalesce(
-            ddl.lowered(F.map_keys(ddl.definition_map(definitions))),
-            F.array().cast("array<string>"),
-        ).alias("json_columns"),
+        ddl.definition_verdict(F.col("_entries"), kind, fresh).alias("json_validation"),
+        ddl.cross_verdict(sql, F.col("ddl_columns"), F.col("json_columns"), kind, fresh).alias(
+            "cross_validation"
+        ),
     ).withColumn(
         "validation_ok",
         F.col("sql_validation.ok") & F.col("json_validation.ok") & F.col("cross_validation.ok"),

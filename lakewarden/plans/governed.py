@@ -20,7 +20,7 @@ from lakewarden.operators.mask import (
     mask_result,
     tagged,
 )
-from lakewarden.session import checkpointed
+from lakewarden.session import checkpointed, small_frame
 from lakewarden.sources import audit
 from lakewarden.sources.contract import Contract
 
@@ -81,7 +81,7 @@ def error_kind(failure: PySparkException) -> str:
 def check_statement(spark: SparkSession, statement: str) -> None:
     """Raise for anything but one reading statement. The statement checked is the one that runs."""
     verdict = (
-        spark.createDataFrame([(statement,)], "s string")
+        small_frame(spark, [(statement,)], "s string")
         .select(
             gates.blocked_word(F.col("s")),
             gates.starts_as_query(F.col("s")),
@@ -175,7 +175,7 @@ def govern(
             (run_id, role, statement, min(n, cap), truncated, targeted,
              verdict["credible"], verdict["reason"])
         ]
-        audit.append(df.sparkSession.createDataFrame(entry, QUERY_LOG), audit_path)
+        audit.append(small_frame(df.sparkSession, entry, QUERY_LOG), audit_path)
     return GovernedResult(
         masked,
         mask_report(result, contract, role, origins, targeted),
@@ -212,7 +212,7 @@ def governed_sql(
     its name is now, or by an entry in ``lineage``; computed columns must be listed as ``derived``.
     """
     bare = (
-        spark.createDataFrame([(statement,)], "s string")
+        small_frame(spark, [(statement,)], "s string")
         .select(gates.strip_fences(F.col("s")))
         .first()[0]
     )

@@ -13,6 +13,7 @@ from lakewarden.functions.ddl import final_status
 from lakewarden.operators import drift as drift_ops
 from lakewarden.operators import policy, reports
 from lakewarden.operators.quality import null_counts
+from lakewarden.session import small_frame
 from lakewarden.sources import catalog, raw
 from lakewarden.sources.audit import first_per
 from lakewarden.sources.contract import DEFINITION, Contract, flag_missing, merge_definitions
@@ -69,11 +70,24 @@ def scan_table(
     )
 
 
-def drift_items(df: DataFrame, table: str, contract: Contract) -> DataFrame:
-    """Drift of one frame's schema; only schemas are compared, so no data is read."""
-    spark = df.sparkSession
-    one = Contract({table: contract.table(table)}, contract.roles)
-    return drift_ops.schema_diff(one.rows(spark), catalog.schema_rows(spark, {table: df}))
+def drift_items(frames: dict[str, DataFrame], contract: Contract) -> DataFrame:
+    """Drift of the frames' schemas against the contract, all tables at once; no data is read."""
+    spark = next(iter(frames.values())).sparkSession
+    part = Contract({t: contract.table(t) for t in frames}, contract.roles)
+    return drift_ops.schema_diff(part.rows(spark), catalog.schema_rows(spark, frames))
+
+
+def drift_by_table(
+    spark: SparkSession, frames: dict[str, DataFrame], contract: Contract
+) -> dict[str, tuple[str, str]]:
+    """(severity, payload) of every drifted frame; one small row per table."""
+    if not frames:
+        return {}
+    report = drift_ops.drift_reports(drift_items(frames, contract))
+    rows = report.select(
+        "table", "severity", drift_ops.report_payload(report.columns).alias("payload")
+    )
+    return {r["table"]: (r["severity"], r["payload"]) for r in rows.collect()}
 
 
 def preflight(
@@ -89,38 +103,43 @@ def preflight(
     found = raw.inputs(spark, raw_dir).filter(F.col("table").isin(tables))
     inputs = {r["table"]: r for r in found.collect()}  # one small row per requested table
 
-    def check(seq_table: tuple[int, str]) -> tuple:
-        seq, table = seq_table
-        if table not in inputs:
-            return (run_id, seq, table, reports.SKIPPED, "NONE", 0, [], None, 0, 0, None, None, None,
-                    f"no file {table}.csv in {raw_dir}")
-        i = inputs[table]
-        pinned = (i["source"], i["n_files"], i["n_bytes"], i["fingerprint"])
+    def open_source(table: str) -> DataFrame | Exception:
         try:
+            i = inputs[table]
             if i["n_sources"] > 1:
                 raise InputChanged(f"{table}: {i['n_sources']} sources have this name")
-            df = scan_table(spark, table, i["source"], contract)
-            if table not in contract.tables:
-                return (run_id, seq, table, reports.READY, "NONE", len(df.columns), df.columns,
-                        *pinned, None, "no contract; drift not checked", None)
-            report = drift_ops.drift_reports(drift_items(df, table, contract))
-            drifted = report.select(
-                "severity", drift_ops.report_payload(report.columns).alias("payload")
-            ).first()
-            severity = drifted["severity"] if drifted else "NONE"
-            status, note = reports.READY, None
-            if severity == "CRITICAL" and on_critical == "halt":
-                status, note = reports.BLOCKED, "needs remediation before writing"
-            elif severity == "CRITICAL":
-                note = "critical drift let through by fallback mode"
-            return (run_id, seq, table, status, severity, len(df.columns), df.columns, *pinned,
-                    drifted["payload"] if drifted else None, note, None)
+            return scan_table(spark, table, i["source"], contract)
         except Exception as failure:  # one bad table must not stop the others
+            return failure
+
+    present = [t for t in dict.fromkeys(tables) if t in inputs]
+    opened = dict(zip(present, catalog.for_each_table(present, open_source)))
+    checked = {
+        t: df for t, df in opened.items() if t in contract.tables and isinstance(df, DataFrame)
+    }
+    drifted = drift_by_table(spark, checked, contract)
+
+    def row(seq: int, table: str) -> tuple:
+        if table not in inputs:
+            return (run_id, seq, table, reports.SKIPPED, "NONE", 0, [], None, 0, 0, None, None, None,
+                    f"no file {table}.csv in {raw_dir}")
+        i, df = inputs[table], opened[table]
+        pinned = (i["source"], i["n_files"], i["n_bytes"], i["fingerprint"])
+        if isinstance(df, Exception):
             return (run_id, seq, table, reports.FAILED, "NONE", 0, [], *pinned, None, None,
-                    str(failure)[:500])
+                    str(df)[:500])
+        severity, payload = drifted.get(table, ("NONE", None))
+        status, note = reports.READY, None
+        if table not in contract.tables:
+            note = "no contract; drift not checked"
+        elif severity == "CRITICAL" and on_critical == "halt":
+            status, note = reports.BLOCKED, "needs remediation before writing"
+        elif severity == "CRITICAL":
+            note = "critical drift let through by fallback mode"
+        return (run_id, seq, table, status, severity, len(df.columns), df.columns, *pinned,
+                payload, note, None)
 
-    rows = catalog.for_each_table(list(enumerate(tables)), check)
-    return spark.createDataFrame(rows, MANIFEST)
+    return small_frame(spark, [row(n, t) for n, t in enumerate(tables)], MANIFEST)
 
 
 def handoff(manifest: DataFrame) -> DataFrame:
@@ -214,8 +233,8 @@ def handle_drift(
     """
     report_schema = drift_ops.drift_reports(
         drift_ops.schema_diff(
-            spark.createDataFrame([], "table string, column string, type string, phi boolean"),
-            spark.createDataFrame([], "table string, column string, type string"),
+            small_frame(spark, [], "table string, column string, type string, phi boolean"),
+            small_frame(spark, [], "table string, column string, type string"),
         )
     ).schema
     parsed = blocked.select(F.from_json("payload", report_schema).alias("d")).select("d.*")
@@ -242,8 +261,9 @@ def handle_drift(
             updated = True
             gone += [(p["table"], c, p["reasoning"]) for c in p["missing_columns"]]
         outcomes.append((p["table"], p["execution_strategy"], executed, updated, p["reasoning"]))
-    rows = spark.createDataFrame(
-        outcomes, "table string, strategy string, ddl_executed boolean, schema_updated boolean, reasoning string"
+    rows = small_frame(
+        spark, outcomes,
+        "table string, strategy string, ddl_executed boolean, schema_updated boolean, reasoning string",
     )
     done = rows.select(
         "*",
@@ -253,13 +273,13 @@ def handle_drift(
     ).select("table", "strategy", "ddl_executed", "schema_updated", "reasoning", "f.status", "f.action")
     routed = done.withColumn("route", policy.ingest_route(F.col("status")))
     definitions = (
-        spark.createDataFrame(fixed, "table string, new_json string")
+        small_frame(spark, fixed, "table string, new_json string")
         .select("table", F.explode(F.from_json("new_json", T.MapType(T.StringType(), DEFINITION))).alias("column", "d"))
         .select("table", "column", "d.*")
     )
     appended = merge_definitions(versions, definitions, version).unionByName(
         flag_missing(
-            versions, spark.createDataFrame(gone, "table string, column string, reason string"),
+            versions, small_frame(spark, gone, "table string, column string, reason string"),
             version, now,
         )
     )

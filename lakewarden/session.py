@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -51,7 +53,14 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df):
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A handful of driver-side rows as a local relation: no Python worker and no task to read it."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(fields)}
+    return spark.createDataFrame(pa.table(columns), schema=fields)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, lineage cut, safe against lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakewarden.session import small_frame
+
 COLUMN_ROWS = T.StructType(
     [
         T.StructField("table", T.StringType()),
@@ -32,7 +34,7 @@ def schema_rows(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
         for name, df in frames.items()
         for i, f in enumerate(df.schema.fields, start=1)
     ]
-    return spark.createDataFrame(cells, COLUMN_ROWS)
+    return small_frame(spark, cells, COLUMN_ROWS)
 
 
 def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -50,7 +52,7 @@ def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
             ]
         except AnalysisException as failure:
             cells.append((name, None, None, None, failure.getCondition() or "UNKNOWN"))
-    return spark.createDataFrame(cells, COLUMN_ROWS)
+    return small_frame(spark, cells, COLUMN_ROWS)
 
 
 def _location(spark: SparkSession, table: str, base_dir: str | None) -> str:

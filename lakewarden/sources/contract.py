@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakewarden.session import small_frame
+
 CONTRACT_SCHEMA = T.StructType(
     [
         T.StructField("version", T.LongType()),
@@ -140,7 +142,7 @@ class Contract:
             for t in self.tables.values()
             for i, c in enumerate(t.columns, start=1)
         ]
-        return spark.createDataFrame(cells, CONTRACT_SCHEMA)
+        return small_frame(spark, cells, CONTRACT_SCHEMA)
 
     @staticmethod
     def from_rows(rows: DataFrame, base: Contract | None = None) -> Contract:

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lakewarden.functions.types import SPARK_TYPES
 from lakewarden.operators import drift as drift_ops
-from lakewarden.plans.ingest import drift_items, scan_table
+from lakewarden.plans.ingest import drift_by_table, scan_table
+from lakewarden.session import small_frame
 from lakewarden.sources import catalog, raw
 from lakewarden.sources.contract import Contract
 
@@ -77,8 +78,8 @@ def ingest_batch(
         frames = [scan_table(spark, table, same, contract) for same in headers.values()]
         severities = set()
         for frame in frames:
-            found = drift_ops.drift_reports(drift_items(frame, table, contract)).first()
-            severities.add(found["severity"] if found else "NONE")
+            drifted = drift_by_table(spark, {table: frame}, contract)
+            severities.add(drifted[table][0] if table in drifted else "NONE")
         severity = max(severities, key=drift_ops.SEVERITIES.index)
         if severity == "CRITICAL":
             return (batch_id, table, len(paths), severity, "BLOCKED", 0)
@@ -91,7 +92,7 @@ def ingest_batch(
         return (batch_id, table, len(paths), severity, "OK", spark.read.parquet(where).count())
 
     done = catalog.for_each_table(sorted(by_table.items()), work)
-    spark.createDataFrame(done, ARRIVALS).write.mode("overwrite").parquet(
+    small_frame(spark, done, ARRIVALS).write.mode("overwrite").parquet(
         f"{log_dir}/batch_id={batch_id}"
     )
 

@@ -80,7 +80,7 @@ def test_drift_blocks_or_falls_back(spark, tmp_path, database, head, line, kind,
 def test_type_change_matrix(spark):
     """A changed type shows in the schema diff of uncast input."""
     incoming = spark.createDataFrame([], "date int, patient string, encounter string, code string, description string")
-    items = ingest.drift_items(incoming, "immunizations", CONTRACT).collect()
+    items = ingest.drift_items({"immunizations": incoming}, CONTRACT).collect()
     assert [(i["column"], i["drift"], i["severity"]) for i in items] == [("date", "type_change", "CRITICAL")]
 
 
@@ -102,7 +102,7 @@ def test_additive_remediation_then_rerun(spark, tmp_path, database):
     assert spark.table(f"{database}.immunizations").first()["blood_type"] is None
     newer = contracts.Contract.from_rows(versions.unionByName(appended), CONTRACT)
     assert newer.table("immunizations").types()["blood_type"] == "string"
-    assert newer.table("patients") .types() == CONTRACT.table("patients").types()
+    assert newer.table("patients").types() == CONTRACT.table("patients").types()
     _, _, again = run(spark, folder, base, database, ["immunizations"], contract=newer)
     assert again["immunizations"]["status"] == "OK"
     assert spark.table(f"{database}.immunizations").first()["blood_type"] == "A"

@@ -78,7 +78,7 @@ def test_interactive_without_additive_only(spark):
 )
 def test_definition_gate(spark, definitions, kind, ok, word):
     fresh = F.array(*[F.lit(c) for c in KINDS[kind]["new"]]).cast("array<string>")
-    verdict = evaluate(spark, ddl.definition_verdict(F.lit(definitions), F.lit(kind), fresh))
+    verdict = evaluate(spark, ddl.definition_verdict(ddl.definition_map(F.lit(definitions)), F.lit(kind), fresh))
     assert verdict["ok"] is ok
     assert word in verdict["reason"].lower()
 
@@ -161,10 +161,11 @@ def test_severities(spark):
 
 def test_unreadable_answers(spark):
     def parse(text):
-        return evaluate(spark, policy.parsed_response(F.lit(text)))
+        return policy.parse_responses(spark.createDataFrame([(text,)], "t string"), "t").first()["response"]
 
     assert parse("no json")["ok"] is False
     assert parse('["x"]')["ok"] is False
+    assert parse('{"SQL_FIX": ""} and more')["ok"] is False
     fenced = parse('```json\n{"SQL_FIX": null, "NEW_JSON": [], "SEVERITY": "severe"}\n```')
     assert (fenced["ok"], fenced["sql_fix"], fenced["new_json"], fenced["severity"], fenced["reasoning"]) == (
         True, "", "{}", "WARNING", "",

@@ -220,7 +220,7 @@ advice AS (SELECT k."table", k.drift_kind, CASE WHEN drift_kind = 'additive_only
     _ADVICE + 'SELECT "table", drift_kind, sql_fix, advised_severity, defined FROM advice',
 )
 def recommend_rules(spark, sf):
-    names = F.array_join(F.array_sort(F.map_keys(F.from_json("new_json", "map<string,string>"))), ",")
+    names = F.array_join(F.sort_array(F.map_keys(F.from_json("new_json", "map<string,string>"))), ",")
     return _recommended(spark, sf).select(
         "table", "drift_kind", "sql_fix", "advised_severity", names.alias("defined")
     )
@@ -350,8 +350,8 @@ def ddl_gate_interactive(spark, sf):
 
 @query("definition_gate", PROPOSALS + "SELECT o_orderkey, json_reason = 'passed' AS ok, json_reason AS reason FROM j")
 def definition_gate(spark, sf):
-    p = _proposals(spark, sf)
-    verdict = ddl.definition_verdict(F.col("new_json"), F.col("drift_kind"), F.col("new_columns"))
+    p = _proposals(spark, sf).withColumn("entries", ddl.definition_map(F.col("new_json")))
+    verdict = ddl.definition_verdict(F.col("entries"), F.col("drift_kind"), F.col("new_columns"))
     return p.select("o_orderkey", verdict.alias("v")).select("o_orderkey", "v.ok", "v.reason")
 
 
@@ -373,9 +373,14 @@ def ddl_columns(spark, sf):
 
 @query("cross_check", PROPOSALS + "SELECT o_orderkey, cross_reason = 'passed' AS ok, cross_reason AS reason FROM x")
 def cross_check(spark, sf):
-    p = _proposals(spark, sf)
+    sql = F.col("sql_fix")
+    p = _proposals(spark, sf).select(
+        "*",
+        ddl.lowered(ddl.added_columns(sql)).alias("stated"),
+        ddl.defined_columns(ddl.definition_map(F.col("new_json"))).alias("defined"),
+    )
     verdict = ddl.cross_verdict(
-        F.col("sql_fix"), F.col("new_json"), F.col("drift_kind"), F.col("new_columns")
+        sql, F.col("stated"), F.col("defined"), F.col("drift_kind"), F.col("new_columns")
     )
     return p.select("o_orderkey", verdict.alias("v")).select("o_orderkey", "v.ok", "v.reason")
 

@@ -14,7 +14,7 @@ from lakewarden.functions import casting
 from lakewarden.operators import quality, reports
 from lakewarden.plans import ingest
 from lakewarden.plans.domain import clinical_contract
-from lakewarden.session import new_scratch
+from lakewarden.session import new_scratch, small_frame
 from lakewarden.sources import audit, catalog, raw
 from lakewarden.sources import contract as contracts
 from lakewarden.sources.contract import ColumnSpec, Contract, TableSpec
@@ -331,7 +331,7 @@ def cast_to_contract(spark, sf):
 def cast_summary(spark, sf):
     text = casting.normalize_names(raw.scan_text(spark, f"{raw_folder(spark, sf, 'customer')}/customer.csv"))
     df = casting.cast_to_contract(text, RAW.table("customer").types())
-    cast = spark.createDataFrame(casting.cast_summary(df), "column string, type string")
+    cast = small_frame(spark, casting.cast_summary(df), "column string, type string")
     filled = quality.null_profile(df).select(
         F.col("column").alias("c"), (F.col("row_count") - F.col("null_count")).alias("filled")
     )

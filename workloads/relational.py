@@ -197,20 +197,19 @@ def join_entity_fact(spark, sf):
       GROUP BY 1, 2""",
 )
 def join_chain3(spark, sf):
-    # lines are summed per order first: the fact enters the chain with one row per order
+    # lines are summed per order first, in whole cents: the fact enters the chain with one row per
+    # order, and the sums neither round nor depend on their order
     per_order = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("_sum"),
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("_cents"),
     )
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     return (
         per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "o_orderpriority")
-        .agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_mktsegment", "o_orderpriority")
-        .agg(F.sum("_n").alias("n_lines"), F.sum("_sum").cast("double").alias("revenue"))
+        .agg(F.sum("_n").alias("n_lines"), (F.sum("_cents") / 100).alias("revenue"))
     )
 
 

@@ -172,7 +172,7 @@ _PARSED = """WITH a AS (SELECT doc_id, text, doc_id % 5 NOT IN (1, 2) AS ok,
       md5(CASE WHEN ok THEN text ELSE '' END) AS reasoning FROM a""",
 )
 def parse_response(spark, sf):
-    parsed = _answers(spark, sf).select("doc_id", policy.parsed_response(F.col("answer")).alias("r"))
+    parsed = policy.parse_responses(_answers(spark, sf), "answer", "r")
     return parsed.select(
         "doc_id", "r.ok", "r.sql_fix", "r.new_json", "r.severity", F.md5("r.reasoning").alias("reasoning")
     )
@@ -186,7 +186,7 @@ def parse_response(spark, sf):
       CASE WHEN gone THEN 'CRITICAL' WHEN ok THEN severity ELSE 'WARNING' END AS severity FROM g""",
 )
 def subtractive_guard(spark, sf):
-    parsed = _answers(spark, sf).select("doc_id", policy.parsed_response(F.col("answer")).alias("r"))
+    parsed = policy.parse_responses(_answers(spark, sf), "answer", "r")
     only_gone = F.col("doc_id") % 4 < 2
     guarded = policy.subtractive_guard(
         F.col("r"), F.when(only_gone, 0).otherwise(F.col("doc_id") % 2), F.when(only_gone, 1).otherwise(0)
