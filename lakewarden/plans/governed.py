@@ -127,10 +127,11 @@ def judge(df: DataFrame, is_count: bool) -> DataFrame:
     return facts.select(credibility(F.col("n"), F.lit(is_count), F.col("p")).alias("v")).select("v.*")
 
 
-def is_graphable(df: DataFrame) -> bool:
-    """Two columns or more, one of them a number."""
+def is_graphable(df: DataFrame, needs_category: bool = False) -> bool:
+    """Two columns or more, one of them a number; optionally also one that is no number."""
     numbers = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    return len(df.columns) >= 2 and len(numbers) >= 1
+    labelled = len(numbers) < len(df.columns) or not needs_category
+    return len(df.columns) >= 2 and len(numbers) >= 1 and labelled
 
 
 def chart_series(df: DataFrame, points: int = DEFAULT_CAP) -> DataFrame:

@@ -276,6 +276,8 @@ def test_error_kinds(spark):
 def test_chartable(spark):
     assert governed.is_graphable(spark.range(1).withColumn("x", F.lit("a")))
     assert not governed.is_graphable(spark.range(1))
+    pair = spark.range(1).withColumn("n", F.lit(1))
+    assert governed.is_graphable(pair) and not governed.is_graphable(pair, needs_category=True)
     assert not governed.is_graphable(spark.createDataFrame([("a", "b")], "x string, y string"))
 
 
