@@ -7,7 +7,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted text forms.
+# Accepted text forms, first match wins. The literal Z of the second is also an offset
+# of the first, which is tried before it.
 DATE_FORMAT = "yyyy-MM-dd"
 TIMESTAMP_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ssXXX",
@@ -15,17 +16,30 @@ TIMESTAMP_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss",
 )
+# Shapes of those forms and the formats each may have. A text has at most one shape, and a parser that
+# meets another one raises and catches an exception for every row, so the shape picks the parser.
+_DAY, _CLOCK = r"[+-]?\d{4,}-\d\d-\d\d", r"\d\d:\d\d:\d\d"
+DATE_SHAPE = rf"^{_DAY}$"
+TIMESTAMP_SHAPES = (
+    (rf"(?i)^{_DAY}T{_CLOCK}(Z|[+-]\d\d:\d\d)$", TIMESTAMP_FORMATS[:2]),
+    (rf"(?i)^{_DAY}T{_CLOCK}$", TIMESTAMP_FORMATS[2:3]),
+    (rf"^{_DAY} {_CLOCK}$", TIMESTAMP_FORMATS[3:]),
+)
 # Columns the name-based cast leaves alone (kept for the ingest mask).
 YEAR_COLUMNS = ("birthdate", "deathdate")
 REDACTED_COLUMNS = ("ssn", "drivers", "passport", "first", "last", "maiden", "address")
 
 
 def safe_date(c: Column) -> Column:
-    return F.try_to_date(c, DATE_FORMAT)
+    return F.when(c.rlike(DATE_SHAPE), F.try_to_date(c, DATE_FORMAT))
 
 
 def safe_timestamp(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS])
+    branches = F
+    for shape, formats in TIMESTAMP_SHAPES:
+        parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+        branches = branches.when(c.rlike(shape), parsed)
+    return branches
 
 
 def safe_double(c: Column) -> Column:

@@ -117,3 +117,19 @@ def test_tokens(spark, token, clean):
 def test_unknown_filter_operator():
     with pytest.raises(ValueError, match="BETWEEN"):
         filters.intent_predicate(None, "BETWEEN", 1)
+
+
+def test_shapes_agree_with_trying_every_format(spark):
+    """Picking the parser by shape gives what trying the formats in order gives."""
+    days = ["2020-01-15", "2020-1-15", "0000-01-01", "+12020-01-15", "12020-01-15", "-2020-01-15", "2020-02-30", "20200115", ""]
+    joints = ["T", " ", "t", "  ", "", "TT"]
+    clocks = ["08:30:00", "8:30:00", "24:00:00", "08:30", "08:30:00.5", "23:59:60", ""]
+    zones = ["", "Z", "+00:00", "-05:30", "+0000", "+25:00", "z", " Z", "+00:00:00", "UTC"]
+    texts = [(d + j + c + z,) for d in days for j in joints for c in clocks for z in zones]
+    texts += [(f" {days[0]}",), (f"{days[0]}\n",), (None,)]
+    df = spark.createDataFrame(texts, "t string")
+    tried = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in casting.TIMESTAMP_FORMATS])
+    differs = df.filter(~casting.safe_timestamp(F.col("t")).eqNullSafe(tried))
+    assert differs.collect() == []
+    differs = df.filter(~casting.safe_date(F.col("t")).eqNullSafe(F.try_to_date("t", casting.DATE_FORMAT)))
+    assert differs.collect() == []
