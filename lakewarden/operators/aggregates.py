@@ -54,8 +54,9 @@ def capped(df: DataFrame, wanted: int | None = None, default: int = DEFAULT_CAP)
 
 
 def size_is_at_most(df: DataFrame, n: int) -> bool:
-    """Whether the frame has no more than ``n`` rows, reading at most ``n + 1``."""
-    return df.limit(n + 1).count() <= n
+    """Whether the frame has no more than ``n`` rows. Takes ``n + 1`` rows without their columns,
+    from as few partitions as hold them."""
+    return len(df.select(F.lit(1)).take(n + 1)) <= n
 
 
 def sampled_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:

@@ -12,15 +12,15 @@ from pyspark.sql import types as T
 from lakewarden.functions import text as gates
 from lakewarden.operators.aggregates import DEFAULT_CAP, HARD_CAP
 from lakewarden.operators.mask import (
+    TARGETED_ROWS,
     Lineage,
-    is_targeted,
     lineage_by_tag,
     lineage_of,
     mask_report,
     mask_result,
     tagged,
 )
-from lakewarden.session import checkpointed, small_frame
+from lakewarden.session import small_frame
 from lakewarden.sources import audit
 from lakewarden.sources.contract import Contract
 
@@ -156,27 +156,28 @@ def govern(
 ) -> GovernedResult:
     """Cap, mask and log one result.
 
-    At most the hard cap plus one row is materialised, in the shared checkpoint folder; the size
-    probe, the credibility check and the masked rows are then read from it, so the query itself
-    runs once however expensive it is.
+    At most the hard cap plus one row is taken, partition by partition until there are enough, and
+    everything after that (size probe, credibility, masking) works on those rows: the query runs once
+    and no further than it must, however expensive it is.
     """
+    spark = df.sparkSession
     cap = min(DEFAULT_CAP if limit is None else limit, HARD_CAP)
     origins = lineage if lineage is not None else lineage_of(df, contract)
-    kept = checkpointed(df.limit(cap + 1))
-    n = kept.count()
-    truncated = n > cap
-    result = kept.limit(cap)
-    targeted = is_targeted(kept, contract, role)
+    rows = df.take(cap + 1)
+    truncated = len(rows) > cap
+    n = min(len(rows), cap)
+    result = spark.createDataFrame(rows[:cap], df.schema)
+    targeted = contract.role(role).phi_access == "TARGETED_ONLY" and n <= TARGETED_ROWS
     verdict = judge(result, is_count).first()
     masked = mask_result(
         result, contract, role, key, origins, targeted, strict, derived=derived
     )
     if audit_path:
         entry = [
-            (run_id, role, statement, min(n, cap), truncated, targeted,
+            (run_id, role, statement, n, truncated, targeted,
              verdict["credible"], verdict["reason"])
         ]
-        audit.append(small_frame(df.sparkSession, entry, QUERY_LOG), audit_path)
+        audit.append(small_frame(spark, entry, QUERY_LOG), audit_path)
     return GovernedResult(
         masked,
         mask_report(result, contract, role, origins, targeted),
@@ -188,8 +189,10 @@ def govern(
 
 
 def fetch(df: DataFrame, limit: int | None = None):
-    """Rows for the client as an Arrow table, never more than the hard cap."""
-    return df.limit(min(DEFAULT_CAP if limit is None else limit, HARD_CAP)).toArrow()
+    """Rows for the client as an Arrow table, never more than the hard cap, read from as few
+    partitions as hold them."""
+    rows = df.take(min(DEFAULT_CAP if limit is None else limit, HARD_CAP))
+    return df.sparkSession.createDataFrame(rows, df.schema).toArrow()
 
 
 def register_governed(frames: dict[str, DataFrame], prefix: str = "") -> None:

@@ -58,11 +58,3 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = {f.name: [r[i] for r in rows] for i, f in enumerate(fields)}
     return spark.createDataFrame(pa.table(columns), schema=fields)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, lineage cut, safe against lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
-    return df.checkpoint(eager=True)

@@ -194,3 +194,44 @@ def test_recommendation_of_sensitive_column(spark):
 )
 def test_route(spark, status, route):
     assert evaluate(spark, policy.ingest_route(F.lit(status))) == route
+
+
+def test_review_with_override(spark):
+    """An override replaces the proposal and is checked again; nothing unchecked ever runs."""
+    schema = "table string, full_table string, drift_kind string, new_columns array<string>, sql_fix string, new_json string"
+    pending = spark.createDataFrame(
+        [(t, f"lake.{t}", "additive_only", ["new_col"], "", "{}") for t in ("a", "b", "c", "d")], schema
+    )
+    decisions = spark.createDataFrame(
+        [
+            ("a", "approve", "ALTER TABLE lake.a ADD COLUMNS (new_col STRING)", DEFINED),
+            ("b", "approve", "DROP TABLE lake.b", None),
+            ("c", "decline", None, None),
+        ],
+        "table string, decision string, override_sql string, override_json string",
+    )
+    got = {r["table"]: (r["review_status"], r["run_statement"]) for r in policy.apply_reviews(pending, decisions).collect()}
+    assert got == {
+        "a": ("fix_applied", True), "b": ("error", False), "c": ("fix_declined", False), "d": ("pending", False),
+    }
+
+
+def test_contract_merge_keeps_places(spark):
+    from lakewarden.plans.domain import clinical_contract
+    from lakewarden.sources import contract as contracts
+
+    versions = clinical_contract().rows(spark)
+    updates = spark.createDataFrame(
+        [("immunizations", "zone", "string"), ("immunizations", "age", "long"), ("immunizations", "code", "long"),
+         ("fresh", "x", "string")],
+        "table string, column string, type string",
+    ).select(
+        "*", F.lit(False).alias("phi"), *[F.lit(None).cast("string").alias(c) for c in ("phi_type", "masking", "description")]
+    )
+    rows = contracts.current(versions.unionByName(contracts.merge_definitions(versions, updates, 2)))
+    got = {(r["table"], r["column"]): (r["ordinal"], r["type"], r["version"]) for r in rows.collect()}
+    assert got[("immunizations", "age")] == (6, "long", 2)
+    assert got[("immunizations", "zone")] == (7, "string", 2)
+    assert got[("immunizations", "code")] == (4, "long", 2)
+    assert got[("immunizations", "date")] == (1, "date", 1)
+    assert got[("fresh", "x")] == (1, "string", 2)
