@@ -11,13 +11,9 @@ from lakewarden.functions.types import types_compatible
 SEVERITIES = ("NONE", "INFO", "WARNING", "CRITICAL")
 
 
-def column_pairs(contract: DataFrame, observed: DataFrame) -> DataFrame:
-    """One row per (table, column) known to either side.
-
-    ``contract`` has (table, column, type, phi), ``observed`` (table, column, type). The sides are
-    stacked and grouped instead of joined: duplicates melt before the shuffle, and a table with very
-    many reports is spread over its columns.
-    """
+def stacked(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """Both sides below each other: ``contract`` has (table, column, type, phi), ``observed``
+    (table, column, type)."""
     declared = contract.select(
         "table", "column", F.col("type").alias("expected_type"), F.col("phi").alias("is_phi"),
         F.lit(None).cast("string").alias("incoming_type"),
@@ -26,14 +22,19 @@ def column_pairs(contract: DataFrame, observed: DataFrame) -> DataFrame:
         "table", "column", F.lit(None).cast("string").alias("expected_type"),
         F.lit(None).cast("boolean").alias("is_phi"), F.col("type").alias("incoming_type"),
     )
-    return (
-        declared.unionByName(arrived)
-        .groupBy("table", "column")
-        .agg(
-            F.max("expected_type").alias("expected_type"),
-            F.max("incoming_type").alias("incoming_type"),
-            F.coalesce(F.max("is_phi"), F.lit(False)).alias("is_phi"),
-        )
+    return declared.unionByName(arrived)
+
+
+def column_pairs(both: DataFrame) -> DataFrame:
+    """One row per (table, column) known to either side of a stacked frame.
+
+    Grouped instead of joined: duplicates melt before the shuffle, and a table with very many
+    reports is spread over its columns.
+    """
+    return both.groupBy("table", "column").agg(
+        F.max("expected_type").alias("expected_type"),
+        F.max("incoming_type").alias("incoming_type"),
+        F.coalesce(F.max("is_phi"), F.lit(False)).alias("is_phi"),
     )
 
 
@@ -53,11 +54,12 @@ def _on_both_sides() -> Column:
 
 def schema_diff(contract: DataFrame, observed: DataFrame) -> DataFrame:
     """One row per drifted column of the tables that have both a contract and arrivals."""
-    pairs = column_pairs(contract, observed)
+    both = stacked(contract, observed)
+    # per table only two counters are kept, combined before the shuffle
     comparable = (
-        pairs.groupBy(F.col("table").alias("_t")).agg(_on_both_sides().alias("_both")).filter("_both")
+        both.groupBy(F.col("table").alias("_t")).agg(_on_both_sides().alias("_both")).filter("_both")
     )
-    items = pairs.withColumn("drift", pair_drift()).filter(F.col("drift").isNotNull())
+    items = column_pairs(both).withColumn("drift", pair_drift()).filter(F.col("drift").isNotNull())
     return items.join(comparable, F.col("table") == F.col("_t"), "left_semi").select(
         "table", "column", "drift", "expected_type", "incoming_type", "is_phi",
         item_severity(F.col("drift"), F.col("is_phi")).alias("severity"),
@@ -98,7 +100,7 @@ def drift_counts(contract: DataFrame, observed: DataFrame) -> DataFrame:
 
     Two aggregations and no join.
     """
-    pairs = column_pairs(contract, observed).withColumn("drift", pair_drift())
+    pairs = column_pairs(stacked(contract, observed)).withColumn("drift", pair_drift())
     counted = pairs.groupBy("table").agg(
         F.count_if(F.col("drift") == "new").alias("n_new"),
         F.count_if(F.col("drift") == "missing").alias("n_missing"),
