@@ -44,6 +44,46 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """``start``, ``end`` (code points, end exclusive) and ``found`` of the leftmost non-overlapping matches.
+
+    The pieces between matches and the matches themselves come from the same search, so their lengths add up to places.
+    Matches that ``keep`` refuses only move the place on. Empty for null texts and texts without a match.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
+        wanted = x["found"].isNotNull() if keep is None else x["found"].isNotNull() & keep(x["found"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
+        return F.struct(end.alias("at"), F.when(wanted, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+
+    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
+    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+
+def bit_words(positions: Iterable[int], bits: int) -> list[int]:
+    """A set of bit positions as ``bits`` / 64 longs."""
+    out = [0] * (bits // 64)
+    for p in positions:
+        out[p >> 6] |= 1 << (p & 63)
+    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
+
+
+def bit_of(value: Column, bits: int) -> Column:
+    """The bit position of a string in a filter of ``bits`` bits."""
+    return F.pmod(F.xxhash64(value), F.lit(bits)).cast("int")
+
+
+def in_bits(value: Column, words: list[int]) -> Column:
+    """Whether a string's bit is set: false for sure if the string was never put in."""
+    place = bit_of(value, len(words) * 64)
+    held = F.get(F.array(*[F.lit(w).cast("long") for w in words]), F.shiftright(place, 6))
+    return F.getbit(held, place.bitwiseAND(F.lit(63))) == 1
+
+
 def free_name(taken: Iterable[str], wish: str) -> str:
     """A column name that no column has yet, whatever its case."""
     used = {c.lower() for c in taken}

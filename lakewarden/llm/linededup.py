@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import col, documents, free_name, only, query
+from lakewarden.session import new_scratch
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -29,6 +30,7 @@ MIN_DOCS = 5
 FILTER_BITS = 1 << 25
 BLOCK_BITS = 1 << 18
 PROBES = 2
+SALTS = 32
 
 
 def key_of(line: bytes, min_chars: int) -> bytes | None:
@@ -118,7 +120,9 @@ def repeated_lines(
                     ids += [doc_id] * len(hit)
             yield pd.DataFrame({"key": keys, "doc_id": ids})
 
-    held = docs.filter(F.col("doc_id").isNotNull()).mapInPandas(suspects, "key binary, doc_id long")
+    path = new_scratch(spark, "suspect-lines")
+    docs.filter(F.col("doc_id").isNotNull()).mapInPandas(suspects, "key binary, doc_id long").write.parquet(path)
+    held = spark.read.parquet(path)
     confirmed = (
         held.groupBy("key", "doc_id")
         .agg(F.lit(1).alias("one"))
@@ -126,7 +130,10 @@ def repeated_lines(
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
     )
-    return held.join(confirmed, "key").filter("doc_id <> keeper").select("doc_id", "key").distinct()
+    # a key that very many documents hold meets its verdict in SALTS places
+    salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, ["key", "salt"]).filter("doc_id <> keeper").select("doc_id", "key").distinct()
 
 
 def without(text: str | None, drop: Iterable[bytes], min_chars: int) -> tuple[int, int, str]:
