@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def visible_to_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; harmless where it is installed."""
+    import lakewarden
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(lakewarden.__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visible_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -119,3 +132,17 @@ class Numbering(dict):
     def __missing__(self, thing):
         self[thing] = number = len(self)
         return number
+
+
+#: Words whose hashes a worker remembers.
+KNOWN_WORDS = 400_000
+
+
+class WordHashes(dict):
+    """64-bit hash of a word, remembered for a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value

@@ -2,14 +2,16 @@
 
 1. *Classes.* Documents with the same set are one class, and only classes are joined.
 2. *Orders.* Every global order of tokens gives a filter: two sets that are alike enough share a token among their
-   first ``n - ceil(t * n) + 1`` in that order. Order 1 puts rare tokens first (counted over all documents in a fixed
+   first ``n - ceil(t * n) + 1`` in that order, and ``k`` tokens among ``k - 1`` more. Order 1 puts rare tokens first (counted over all documents in a fixed
    table of cells, ties by hash), order 2 has the same counts and another tie-break, order 3 is a plain hash order.
 3. *Candidates.* Prefix tokens of order 1 are exchanged once by token. In every run of one token, all classes are
-   paired with the run's first class only, so a run of any length gives no more pairs than rows.
+   paired with the run's first class only, so a run of any length gives no more pairs than rows. Pairs that meet often
+   enough go on.
 4. *Filters, then verification.* A pair must fit in size and token position and share prefix tokens under orders 2 and 3
    as well; what is left is verified on the whole sets.
-5. *The rest.* Links found make components. A token whose classes all fell into one component can't add anything. For
-   any other token the pairs across components that weren't verified yet are, so no link between components is lost.
+5. *The rest.* Links found make components. A token whose classes all fell into one component can't add anything. On all
+   other tokens the pairs across components are counted in full, and those that share enough and weren't verified yet
+   are, so no link between components is lost.
 
 Frequencies only shape the orders: collisions of cells make prefixes less selective and never lose a pair. Sets travel
 only for documents in a surviving pair.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import documents, only, query
+from lakewarden.llm.common import WordHashes, documents, only, query
 from lakewarden.llm.components import components
 from lakewarden.session import new_scratch
 
@@ -38,23 +40,14 @@ BLOCK_CELLS = 1 << 14
 RUN_ROWS = 20_000
 #: Bits of the filter that picks the documents whose sets are needed.
 NEEDED_BITS = 1 << 23
-KNOWN_WORDS = 400_000
+#: Prefix tokens that a pair has to share in every order; prefixes are longer by as many less one.
+SHARED = 3
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _TURN2, _TURN3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(33)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> _S)) * _M1
@@ -81,7 +74,13 @@ def signature(tokens: np.ndarray) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Of two sets that link, prefixes of this length share ``SHARED`` tokens (all of the overlap, if it is smaller)."""
+    least = -(-percent * n // 100)
+    return n - least + min(SHARED, least)
+
+
+def _shared_enough(count: str, a_n: str, b_n: str, percent: int) -> str:
+    return f"{count} >= least({SHARED}L, ceil({percent} * least({a_n}, {b_n}) / 100))"
 
 
 def _rank(tokens: np.ndarray, weights: np.ndarray, order: int) -> np.ndarray:
@@ -258,18 +257,16 @@ def verified(
     docs.mapInPandas(fetch, schema).join(wanted, ["sig", "rep"], "left_semi").dropDuplicates(["sig"]).write.parquet(sets_path)
     sets = spark.read.parquet(sets_path)
     side = lambda s, *cols: sets.select(F.col("sig").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
-    filtered = (
-        pairs.join(side("a", "second", "third"), "a")
-        .join(side("b", "second", "third"), "b")
-        .filter(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
-        .select("a", "b")
+    alike = lambda c: F.size(F.array_intersect(f"a_{c}", f"b_{c}")) >= F.expr(
+        f"least({SHARED}L, ceil({percent} * least(size(a_tokens), size(b_tokens)) / 100))"
     )
     both = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
     union = F.size("a_tokens") + F.size("b_tokens") - both
     path = new_scratch(spark, "links")
     (
-        filtered.join(side("a", "tokens", "rep"), "a")
-        .join(side("b", "tokens", "rep"), "b")
+        pairs.join(side("a", "rep", "tokens", "second", "third"), "a")
+        .join(side("b", "rep", "tokens", "second", "third"), "b")
+        .filter(alike("second") & alike("third"))
         .filter(both * 100 >= union * percent)
         .select(F.col("a_rep").alias("u"), F.col("b_rep").alias("v"))
         .write.parquet(path)
@@ -289,7 +286,13 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
     classes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     shared = shared_tokens(spark, named, weights, width, percent)
     lead = shared.withColumns({"a_n": F.col("lead_n"), "a_place": F.col("lead_place"), "b_n": F.col("n"), "b_place": F.col("place")})
-    first_pairs = lead.filter("sig <> lead_sig").filter(_fits("a_", "b_", percent))
+    first_pairs = (
+        lead.filter("sig <> lead_sig")
+        .filter(_fits("a_", "b_", percent))
+        .groupBy(F.col("lead_sig").alias("a"), F.col("sig").alias("b"), "a_n", "b_n")
+        .agg(F.count("*").alias("met"))
+        .filter(_shared_enough("met", "a_n", "b_n", percent))
+    )
     # split runs of one token: their first classes are paired with the first of all
     tops = shared.filter("sig = lead_sig")
     top = tops.groupBy("token").agg(F.min(F.struct("sig", "n", "place")).alias("top"), F.count("*").alias("runs")).filter("runs > 1")
@@ -300,7 +303,7 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     path = new_scratch(spark, "first-pairs")
     (
-        first_pairs.select(F.col("lead_sig").alias("a"), F.col("sig").alias("b"))
+        first_pairs.select("a", "b")
         .unionByName(across.select("a", "b"))
         .select(*ordered)
         .distinct()
@@ -325,8 +328,10 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
         .join(renamed("b"), "token")
         .filter("a_sig < b_sig and a_label <> b_label")
         .filter(_fits("a_", "b_", percent))
-        .select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"))
-        .distinct()
+        .groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "a_n", "b_n")
+        .agg(F.count("*").alias("met"))
+        .filter(_shared_enough("met", "a_n", "b_n", percent))
+        .select("a", "b")
         .join(tried, ["a", "b"], "left_anti")
         .write.parquet(rest_path)
     )
