@@ -3,8 +3,10 @@
 Base patterns find protected values (email, ip, card, phone). What else in a text points to such a value is estimated
 from the corpus: over all lines, ``PMI(value; term) = log2(N * n(value, term) / (n(value) * n(term)))`` bits of the
 ``IC(value) = -log2(n(value) / N)`` bits that naming the value would give. A term discloses the share ``PMI / IC``. Terms
-at ``REMOVE`` or above are removed, terms at ``GENERALISE`` or above are generalised, wherever they stand. A pair counts
-only if two different lines show it, so copies of one line prove nothing.
+at ``REMOVE`` or above are removed, terms at ``GENERALISE`` or above are generalised, wherever they stand.
+
+Copies of one line prove nothing. A pair counts only if two different lines show it, and a value only if its lines
+differ: where the average term of a value's lines stands in more than ``COPIED`` of them, they are copies, edited or not.
 
 Rows are lines, pairs and terms, each counted with partial sums. A line gives values times terms rows, and values of a
 line are few; no list grows with the corpus. Word counts over the whole corpus pass a fixed filter of candidate terms
@@ -29,6 +31,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}++"
 LEAST_LETTERS = 3
 REMOVE, GENERALISE = 0.95, 0.8
+COPIED = 0.5
 FILTER_BITS = 1 << 16
 
 
@@ -107,18 +110,20 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, remove: float = REMOV
     lines = spark.read.parquet(path)
     by_value = lines.select("line_hash", "terms", F.explode("values").alias("value"))
     n_value = by_value.groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs_path = new_scratch(spark, "disclosure-pairs")
+    counted_path, pairs_path = new_scratch(spark, "term-counts"), new_scratch(spark, "disclosure-pairs")
     (
         by_value.select("value", "line_hash", F.explode("terms").alias("term"))
         .groupBy("value", "term")
         .agg(F.count("*").alias("n_pair"), F.min("line_hash").alias("low"), F.max("line_hash").alias("high"))
-        .filter("low <> high")
-        .select("value", "term", "n_pair")
-        .write.parquet(pairs_path)
+        .write.parquet(counted_path)
     )
+    counted = spark.read.parquet(counted_path)
+    density = counted.groupBy("value").agg(F.avg("n_pair").alias("mean"))
+    varied = density.join(n_value, "value").filter(F.col("mean") <= F.col("n_value") * COPIED).select("value", "n_value")
+    counted.filter("low <> high").join(varied, "value").select("value", "n_value", "term", "n_pair").write.parquet(pairs_path)
     pairs = spark.read.parquet(pairs_path)
     wanted = pairs.select("term").distinct()
-    words = _bits(spark, wanted)
+    words = _bits(spark, wanted)  # no candidates, no count: the filter below lets nothing through
     total = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))).first()[0] or 0
     out_path = new_scratch(spark, "disclosing-terms")
     of_line = F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower)
@@ -132,8 +137,7 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, remove: float = REMOV
     ic = F.log2(F.lit(float(total)) / F.col("n_value"))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     (
-        pairs.join(n_value, "value")
-        .join(n_term, "term")
+        pairs.join(n_term, "term")
         .groupBy("term")
         .agg(F.max(share).alias("share"))
         .filter(F.col("share") >= generalise)
@@ -168,7 +172,8 @@ def sanitised_spans(spark: SparkSession, docs: DataFrame, **thresholds) -> DataF
     if not any(words):
         hits = None
     else:
-        hits = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(spans(text, TERM, hit)).alias("span")).distinct()
+        some = F.exists(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), hit)  # places are only worked out where there are any
+        hits = docs.filter(some).select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(spans(text, TERM, hit)).alias("span")).distinct()
         hits = (
             hits.withColumn("term", F.lower("span.found"))
             .join(terms.select("term", "action"), "term")
