@@ -1,4 +1,4 @@
 """All registered queries of the subpackage."""
 
-from lakewarden.llm import bpe, fingerprints, linededup, mixing, ngramjoin, pii, quality, secrets, sharding  # noqa: F401
+from lakewarden.llm import bpe, fingerprints, linededup, lm, mixing, ngramjoin, pii, quality, secrets, sharding  # noqa: F401
 from lakewarden.llm.common import ORACLE, QUERIES  # noqa: F401
