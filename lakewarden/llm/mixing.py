@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lakewarden.llm.common import WORD, documents, only, query
+from lakewarden.llm.common import WORD, col, documents, free_name, query
 from lakewarden.session import new_scratch
 
 WEIGHTS = (5, 2, 1)
@@ -147,7 +147,7 @@ def laid_out(rows: DataFrame, sources: DataFrame) -> DataFrame:
         known.withColumn("inside", inside - F.col("size"))
         .join(lanes, ["number", "lane"])
         .withColumn("start", (F.col("lane_start") + F.col("inside")).cast("long"))
-        .drop("lane", "lane_start", "inside", "at")
+        .drop("lane", "lane_start", "inside")
     )
 
 
@@ -167,7 +167,9 @@ def pieces(laid: DataFrame) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **rules) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` for every row of ``docs`` (``doc_id``, ``source``, ``text``).
+    """``doc_id``, ``at``, ``size``, ``source_size``, ``target``, ``taken`` for every row of ``docs`` (``doc_id``, ``source``, ``text``).
+
+    ``at`` is the row's place in the shuffle, a hash of id and text.
 
     ``taken`` counts the words that the schedule draws from the document, repeats included. Null and empty texts have
     size 0 and nothing taken; a null source is a source of its own, last in order. Repeated rows lie next to each other
@@ -183,13 +185,32 @@ def mixed(spark: SparkSession, docs: DataFrame, **rules) -> DataFrame:
     drawn = (
         pieces(laid)
         .join(draws, ["number", "block"], "left")
-        .groupBy("number", "start", "doc_id", "size", "source_size", "target")
+        .groupBy("number", "start", "doc_id", "at", "size", "source_size", "target")
         .agg(F.sum(F.col("held") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "at", "size", "source_size", "target", "taken"]
     return drawn.select(*columns).unionByName(laid.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
 
 
+def repeated(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mix as documents: every row of ``docs`` as often as its words are taken, to the nearest whole number.
+
+    Columns as before. Rows of which less than half is taken, and rows without words, go. Equal rows share what is taken
+    of them together.
+    """
+    named = docs.select(col(doc_id).cast("long").alias("doc_id"), col(source).alias("source"), col(text).alias("text"))
+    times, key, at = (free_name(docs.columns, w) for w in ("times", "mixed_id", "mixed_at"))
+    drawn = (
+        mixed(spark, named)
+        .groupBy(F.col("doc_id").alias(key), F.col("at").alias(at))
+        .agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(times))
+        .filter(F.col(times) > 0)
+    )
+    mine = F.xxhash64(F.lit(8), col(doc_id).cast("long"), col(text))
+    joined = docs.join(drawn, col(doc_id).cast("long").eqNullSafe(F.col(key)) & (mine == F.col(at)))
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, key, at)
+
+
 @query("op8_source_mix")
 def op8_source_mix(spark, sf_dir):
-    return mixed(spark, documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed(spark, documents(spark, sf_dir).select("doc_id", "source", "text")).drop("at")
