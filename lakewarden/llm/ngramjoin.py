@@ -10,8 +10,8 @@
 4. *Filters, then verification.* A pair must fit in size and token position and share prefix tokens under orders 2 and 3
    as well; what is left is verified on the whole sets.
 5. *The rest.* Links found make components. A token whose classes all fell into one component can't add anything. On all
-   other tokens the pairs across components are counted in full, and those that share enough and weren't verified yet
-   are, so no link between components is lost.
+   other tokens the pairs across components whose parity bitmaps are near enough are counted in full, and those that
+   share enough and weren't verified yet are, so no link between components is lost.
 
 Frequencies only shape the orders: collisions of cells make prefixes less selective and never lose a pair. Sets travel
 only for documents in a surviving pair.
@@ -40,6 +40,11 @@ BLOCK_CELLS = 1 << 14
 RUN_ROWS = 20_000
 #: Bits of the filter that picks the documents whose sets are needed.
 NEEDED_BITS = 1 << 23
+#: Longs of a set's parity bitmap: bit ``i`` tells whether an odd number of its tokens fall on ``i``. A token that only
+#: one of two sets has flips one bit, so bitmaps can't differ in more bits than the sets differ in tokens.
+PARITY = 8
+#: Documents whose rows a task holds before it gives them out.
+SLICE_DOCS = 2500
 #: Prefix tokens that a pair has to share in every order; prefixes are longer by as many less one.
 SHARED = 3
 
@@ -92,27 +97,45 @@ def _rank(tokens: np.ndarray, weights: np.ndarray, order: int) -> np.ndarray:
     return np.argsort(weight << np.uint64(40) | turned >> np.uint64(24), kind="stable")
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_PARITY = [f"odd{i}" for i in range(PARITY)]
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a in range(0, len(batch), SLICE_DOCS):
+            yield batch.iloc[a : a + SLICE_DOCS]
+
+
 def first_pass(spark: SparkSession, docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id``, ``n``, ``sig`` of every document as a written table, and the count of every cell."""
+    """``doc_id``, ``n``, ``sig`` and parity of every document as a written table, and the count of every cell."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, counts, seen = WordHashes(), np.zeros(CELLS, np.int64), set()
         for batch in batches:
-            sizes, sigs, new = [], [], [np.empty(0, np.int64)]
+            sizes, sigs, odd, new = [], [], [], [np.empty(0, np.int64)]
             for text in batch["text"]:
                 tokens = token_set(text, hashes, width)
                 sig = signature(tokens)
                 sizes.append(tokens.size)
                 sigs.append(sig)
+                odd.append(parity(tokens))
                 if sig not in seen:  # copies in one task count once
                     seen.add(sig)
                     new.append((tokens & np.uint64(CELLS - 1)).astype(np.int64))
             counts += np.bincount(np.concatenate(new), minlength=CELLS)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": sizes, "sig": sigs, "block": -1, "counts": None})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": sizes, "sig": sigs, "block": -1, "counts": None})
+            yield out.assign(**dict(zip(_PARITY, np.array(odd, np.int64).reshape(-1, PARITY).T)))
         for block in range(0, CELLS, BLOCK_CELLS):
             part = counts[block : block + BLOCK_CELLS].astype("<u4")
             if part.any():
-                yield pd.DataFrame({"doc_id": [-1], "n": [0], "sig": [0], "block": [block // BLOCK_CELLS], "counts": [part.tobytes()]})
+                yield pd.DataFrame({"doc_id": [-1], "n": [0], "sig": [0], "block": [block // BLOCK_CELLS], "counts": [part.tobytes()]}).assign(
+                    **dict.fromkeys(_PARITY, 0)
+                )
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -123,13 +146,13 @@ def first_pass(spark: SparkSession, docs: DataFrame, width: int) -> tuple[DataFr
             yield pd.DataFrame({"block": [block], "counts": [total.tobytes()]})
 
     path = new_scratch(spark, "sets")
-    docs.mapInPandas(scan, "doc_id long, n long, sig long, block int, counts binary").write.parquet(path)
+    docs.mapInPandas(scan, "doc_id long, n long, sig long, block int, counts binary, " + ", ".join(f"{c} long" for c in _PARITY)).write.parquet(path)
     table = spark.read.parquet(path)
     weights = np.zeros(CELLS, np.int64)
     blocks = table.filter("block >= 0").select("block", "counts").repartition("block").mapInPandas(add, "block int, counts binary")
     for row in blocks.collect():  # CELLS / BLOCK_CELLS rows
         weights[row.block * BLOCK_CELLS : (row.block + 1) * BLOCK_CELLS] = np.frombuffer(row.counts, np.int64)
-    return table.filter("block < 0").select("doc_id", "n", "sig"), weights
+    return table.filter("block < 0").select("doc_id", "n", "sig", *_PARITY), weights
 
 
 def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, percent: int) -> DataFrame:
@@ -137,7 +160,7 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, per
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen, weight = WordHashes(), set(), np.frombuffer(weights.value, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             parts, sigs, sizes, lengths = [], [], [], []
             for text in batch["text"]:
                 tokens = token_set(text, hashes, width)
@@ -283,7 +306,8 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
     named = docs.filter("doc_id is not null")
     table, counts = first_pass(spark, named, width)
     weights = spark.sparkContext.broadcast(counts.tobytes())  # CELLS longs
-    classes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    per_class = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in _PARITY])
+    classes = per_class.select("sig", "rep")
     shared = shared_tokens(spark, named, weights, width, percent)
     lead = shared.withColumns({"a_n": F.col("lead_n"), "a_place": F.col("lead_place"), "b_n": F.col("n"), "b_place": F.col("place")})
     first_pairs = (
@@ -313,24 +337,31 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
     links = verified(spark, named, tried, classes, weights, width, percent)
     found = components(spark, links)
 
-    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "sig", F.coalesce("component", "rep").alias("label")
+    labels = per_class.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "sig", F.coalesce("component", "rep").alias("label"), *_PARITY
     )
     marked_path = new_scratch(spark, "labelled-tokens")
     shared.select("token", "sig", "n", "place").join(labels, "sig").write.parquet(marked_path)
     marked = spark.read.parquet(marked_path)
     unsettled = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     left = marked.join(unsettled, "token", "left_semi")
-    renamed = lambda s: left.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sig", "n", "place", "label")])
+    renamed = lambda s: left.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sig", "n", "place", "label", *_PARITY)])
+    flips = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _PARITY)
+    # sets that link differ in no more tokens than this; and all their shared prefix tokens were met
+    apart = F.expr(f"{100 + percent}L * ({flips}) <= {100 - percent}L * (a_n + b_n)")
+    most = "met + least(a_n - a_last, b_n - b_last) - 1"
+    reach = F.expr(f"{100 + percent}L * ({most}) >= {percent}L * (a_n + b_n)")
     rest_path = new_scratch(spark, "rest-pairs")
     (
         renamed("a")
         .join(renamed("b"), "token")
         .filter("a_sig < b_sig and a_label <> b_label")
         .filter(_fits("a_", "b_", percent))
+        .filter(apart)
         .groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "a_n", "b_n")
-        .agg(F.count("*").alias("met"))
+        .agg(F.count("*").alias("met"), F.max("a_place").alias("a_last"), F.max("b_place").alias("b_last"))
         .filter(_shared_enough("met", "a_n", "b_n", percent))
+        .filter(reach)
         .select("a", "b")
         .join(tried, ["a", "b"], "left_anti")
         .write.parquet(rest_path)
