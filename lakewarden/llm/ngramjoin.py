@@ -5,8 +5,8 @@
    first ``n - ceil(t * n) + 1`` in that order, and ``k`` tokens among ``k - 1`` more. Order 1 puts rare tokens first (counted over all documents in a fixed
    table of cells, ties by hash), order 2 has the same counts and another tie-break, order 3 is a plain hash order.
 3. *Candidates.* Prefix tokens of order 1 are exchanged once by token. In every run of one token, all classes are
-   paired with the run's first class only, so a run of any length gives no more pairs than rows. Pairs that meet often
-   enough go on.
+   paired with its first class only, and with two more picked by other measures over the whole token, so a run of any
+   length gives three pairs per row at most. Pairs that meet often enough go on.
 4. *Filters, then verification.* A pair must fit in size and token position and share prefix tokens under orders 2 and 3
    as well; what is left is verified on the whole sets.
 5. *The rest.* Links found make components. A token whose classes all fell into one component can't add anything. On all
@@ -36,7 +36,7 @@ PERCENT = 85
 #: Cells of the token counts, and cells of the blocks in which they travel.
 CELLS = 1 << 18
 BLOCK_CELLS = 1 << 14
-#: Rows of one token that one run takes, by the token's count; longer runs are split and their first classes joined.
+#: Rows of one token that one run takes, by the token's count; longer runs are split.
 RUN_ROWS = 20_000
 #: Bits of the filter that picks the documents whose sets are needed.
 NEEDED_BITS = 1 << 23
@@ -310,29 +310,27 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
     classes = per_class.select("sig", "rep")
     shared = shared_tokens(spark, named, weights, width, percent)
     lead = shared.withColumns({"a_n": F.col("lead_n"), "a_place": F.col("lead_place"), "b_n": F.col("n"), "b_place": F.col("place")})
+    # three first classes by three measures: a class that one of them misses is mostly near another
+    tops = shared.groupBy("token").agg(
+        F.max(F.struct("sig", "n", "place")).alias("last"),
+        F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "place")).alias("other"),
+    )
+    with_tops = shared.select("token", "sig", F.col("n").alias("b_n"), F.col("place").alias("b_place")).join(tops, "token")
+    against = lambda top: with_tops.select(
+        "token", F.col(f"{top}.sig").alias("lead_sig"), "sig", F.col(f"{top}.n").alias("a_n"), F.col(f"{top}.place").alias("a_place"), "b_n", "b_place"
+    )
+    led = lead.select("token", "lead_sig", "sig", "a_n", "a_place", "b_n", "b_place")
     first_pairs = (
-        lead.filter("sig <> lead_sig")
+        led.unionByName(against("last"))
+        .unionByName(against("other"))
+        .filter("sig <> lead_sig")
         .filter(_fits("a_", "b_", percent))
-        .groupBy(F.col("lead_sig").alias("a"), F.col("sig").alias("b"), "a_n", "b_n")
-        .agg(F.count("*").alias("met"))
-        .filter(_shared_enough("met", "a_n", "b_n", percent))
+        .groupBy(F.least("lead_sig", "sig").alias("a"), F.greatest("lead_sig", "sig").alias("b"), F.least("a_n", "b_n").alias("few"))
+        .agg(F.count_distinct("token").alias("met"))
+        .filter(_shared_enough("met", "few", "few", percent))
     )
-    # split runs of one token: their first classes are paired with the first of all
-    tops = shared.filter("sig = lead_sig")
-    top = tops.groupBy("token").agg(F.min(F.struct("sig", "n", "place")).alias("top"), F.count("*").alias("runs")).filter("runs > 1")
-    across = tops.join(top, "token").select(
-        F.col("top.sig").alias("a"), F.col("sig").alias("b"), F.col("top.n").alias("a_n"), F.col("top.place").alias("a_place"),
-        F.col("n").alias("b_n"), F.col("place").alias("b_place"),
-    ).filter("a <> b").filter(_fits("a_", "b_", percent))
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     path = new_scratch(spark, "first-pairs")
-    (
-        first_pairs.select("a", "b")
-        .unionByName(across.select("a", "b"))
-        .select(*ordered)
-        .distinct()
-        .write.parquet(path)
-    )
+    first_pairs.select("a", "b").write.parquet(path)
     tried = spark.read.parquet(path)
     links = verified(spark, named, tried, classes, weights, width, percent)
     found = components(spark, links)
