@@ -27,8 +27,10 @@ from lakewarden.llm.common import Numbering, col, documents, free_name, only, qu
 NONE = np.int32(2**31 - 1)
 SHIFT = 21
 #: Characters of text whose pieces are held at once, and tree leaves that step together.
-SLICE_CHARS = 8_000_000
-BLOCK_LEAVES = 1 << 20
+SLICE_CHARS = 4_000_000
+BLOCK_LEAVES = 1 << 18
+#: Documents whose ids and bytes a task holds before it gives them out.
+SLICE_DOCS = 2000
 
 
 def read_ranks(path: str) -> bytes:
@@ -177,6 +179,12 @@ def _vocabulary(content: bytes, pattern: str) -> Vocabulary:
     return _BUILT[key]
 
 
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        for a in range(0, len(texts), SLICE_DOCS):
+            yield texts.iloc[a : a + SLICE_DOCS]
+
+
 class Codec:
     """Column functions for one rank file and split pattern."""
 
@@ -186,7 +194,7 @@ class Codec:
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known = _vocabulary(shipped.value, pattern)
-            for texts in batches:
+            for texts in _slices(batches):
                 yield pd.Series(list(known.encode(texts.tolist())), dtype=object)
 
         @F.pandas_udf(T.BinaryType())
@@ -198,7 +206,7 @@ class Codec:
         @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
         def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             known = _vocabulary(shipped.value, pattern)
-            for texts in batches:
+            for texts in _slices(batches):
                 ids = list(known.encode(texts.tolist()))
                 yield pd.DataFrame({"ids": ids, "decoded": [known.decode(x) for x in ids]}, dtype=object)
 
