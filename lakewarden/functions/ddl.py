@@ -12,6 +12,7 @@ BLOCKED_PHRASES = (
 )
 QUERY_WORDS = ("SELECT", "FROM", "WHERE")
 ADD_COLUMNS_SHAPE = r"(?i)^\s*ALTER\s+TABLE\s+[\w.`]+\s+ADD\s+COLUMNS?\s*\("
+TARGET = r"(?i)^\s*(?:ALTER|CREATE\s+OR\s+REPLACE)\s+TABLE\s+((?:`[^`]+`|\w+)(?:\.(?:`[^`]+`|\w+))*)"
 REPLACEABLE_SHAPE = r"(?i)^\s*(ALTER|CREATE\s+OR\s+REPLACE)\b"
 
 
@@ -37,7 +38,12 @@ def statement_verdict(
     autonomous mode is held to that and the interactive one accepts any ALTER or replacing CREATE.
     """
     low = F.lower(sql)
-    named = low.contains(F.lower(table)) | low.contains(F.lower(full_table))
+    target = F.replace(F.lower(F.regexp_extract(sql, TARGET, 1)), F.lit("`"), F.lit(""))
+    whole = F.lower(full_table)
+    # the statement's own target decides, by whole names; a qualified name may leave out leading parts
+    named = F.when(
+        target != "", (target == F.lower(table)) | (target == whole) | whole.endswith(F.concat(F.lit("."), target))
+    ).otherwise(low.contains(F.lower(table)) | low.contains(whole))
     phrase = F.regexp_extract(sql, _any_word(BLOCKED_PHRASES), 1)
     adds = sql.rlike(ADD_COLUMNS_SHAPE)
     unattended = mode == F.lit("autonomous")

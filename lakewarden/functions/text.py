@@ -26,10 +26,11 @@ def _words(words) -> str:
 
 
 def _unquoted(statement: Column) -> Column:
-    """Statement without comments and without the text inside string literals."""
-    bare = F.regexp_replace(statement, r"'(?:[^']|'')*'", "''")
-    bare = F.regexp_replace(bare, r"--[^\n]*", " ")
-    return F.regexp_replace(bare, r"(?s)/\*.*?\*/", " ")
+    """Statement without comments and literals, taken from left to right in one pass: whichever form opens first counts."""
+    forms = (
+        r"'(?:[^'\\]|\\.)*+'", r'"(?:[^"\\]|\\.)*+"', r"`[^`]*+`", r"--[^\n]*+", r"/\*.*?\*/",
+    )
+    return F.regexp_replace(statement, "(?s)" + "|".join(forms), " '' ")
 
 
 def blocked_word(statement: Column) -> Column:

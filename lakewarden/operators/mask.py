@@ -121,7 +121,7 @@ def mask_result(
     key: Column,
     lineage: Lineage | None = None,
     targeted: bool = False,
-    strict: bool = False,
+    strict: bool = True,
     literal_dates: bool = False,
     derived: tuple[str, ...] = (),
 ) -> DataFrame:

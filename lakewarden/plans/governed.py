@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -97,6 +98,20 @@ def check_statement(spark: SparkSession, statement: str) -> None:
         raise Blocked("set operators hide where columns come from")
 
 
+def check_plan(df: DataFrame) -> None:
+    """Raise where the analysed plan holds a set operator, however the statement hid it."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if re.search(r"(?m)^[\s:+|-]*(Union|Intersect|Except)\b", plan):
+        raise Blocked("set operators hide where columns come from")
+
+
+def check_derived(df: DataFrame, derived: tuple[str, ...]) -> None:
+    """Raise for vouched columns that could carry a text through: only numbers and truth values may be derived."""
+    for f in df.schema.fields:
+        if f.name in derived and not isinstance(f.dataType, T.NumericType | T.BooleanType):
+            raise Blocked(f"derived column {f.name} is {f.dataType.simpleString()}, not a number")
+
+
 def credibility(n_rows: Column, is_count: Column, max_percent: Column) -> Column:
     """struct<credible, reason> from plain facts about a result."""
 
@@ -135,9 +150,9 @@ def is_graphable(df: DataFrame, needs_category: bool = False) -> bool:
 
 
 def chart_series(df: DataFrame, points: int = DEFAULT_CAP) -> DataFrame:
-    """First column as x, second as y."""
+    """First column as x, second as y; the first points by x."""
     x, y = df.columns[:2]
-    return df.select(F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y")).limit(points)
+    return df.select(F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y")).orderBy("x", "y").limit(points)
 
 
 def govern(
@@ -147,7 +162,7 @@ def govern(
     key: Column,
     limit: int | None = None,
     lineage: Lineage | None = None,
-    strict: bool = False,
+    strict: bool = True,
     is_count: bool = False,
     audit_path: str | None = None,
     run_id: str = "",
@@ -167,7 +182,8 @@ def govern(
     truncated = len(rows) > cap
     n = min(len(rows), cap)
     result = spark.createDataFrame(rows[:cap], df.schema)
-    targeted = contract.role(role).phi_access == "TARGETED_ONLY" and n <= TARGETED_ROWS
+    # a result that was cut says nothing about how many it speaks of
+    targeted = contract.role(role).phi_access == "TARGETED_ONLY" and not truncated and n <= TARGETED_ROWS
     verdict = judge(result, is_count).first()
     masked = mask_result(
         result, contract, role, key, origins, targeted, strict, derived=derived
@@ -222,6 +238,8 @@ def governed_sql(
     )
     check_statement(spark, bare)
     df = spark.sql(bare.rstrip("; \n"))
+    check_plan(df)
+    check_derived(df, tuple(options.get("derived", ())))
     origins = {**(lineage or {}), **lineage_by_tag(df)}
     return govern(
         df, contract, role, key, lineage=origins, strict=True, statement=bare, **options

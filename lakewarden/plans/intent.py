@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.functions.filters import intent_predicate
-from lakewarden.operators.aggregates import capped
 from lakewarden.operators.joins import DIMENSION, FACTS
 
 
@@ -47,10 +46,17 @@ def _owner(name: str, subject: str) -> tuple[str, str]:
     return (table or subject, column)
 
 
+def _asked(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 def run_intent(
     intent: Intent, frames: dict[str, DataFrame], keys: StarKeys | None = None
 ) -> DataFrame:
-    """Filter, join, group and cap as the intent says; unknown kinds and tables are refused."""
+    """Filter, join and group as the intent says; unknown kinds and tables are refused.
+
+    The result is complete unless the intent itself names a limit: caps belong to delivery, which says when it cuts.
+    """
     keys = keys or StarKeys()
     if intent.intent_type not in ("select", "count", "aggregate"):
         raise ValueError(f"intent {intent.intent_type!r} is no data query")
@@ -98,7 +104,7 @@ def run_intent(
 
     if intent.intent_type == "select":
         shown = intent.columns or tuple(c for c in frames[subject].columns)
-        return capped(result.select(*[column(c) for c in shown]), intent.limit)
+        return _asked(result.select(*[column(c) for c in shown]), intent.limit)
     if not intent.group_by:
         return result.agg(F.count(F.lit(1)).alias("cnt"))
     names = [_owner(c, subject)[1] for c in intent.group_by]
@@ -106,4 +112,4 @@ def run_intent(
     counted = grouped.agg(F.count(F.lit(1)).alias("cnt")).orderBy(
         F.desc("cnt"), *[F.asc(n) for n in names]
     )
-    return capped(counted, intent.limit)
+    return _asked(counted, intent.limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -104,7 +105,7 @@ def point_table(spark: SparkSession, table: str, location: str, schema, fmt: str
         (f.name, f.dataType) for f in spark.table(table).schema
     ] == [(f.name, f.dataType) for f in schema]
     if same:
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '" + location.replace("'", "\\'") + "'")
     else:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.catalog.createTable(table, path=location, source=fmt)
@@ -131,20 +132,50 @@ def overwrite_keeping_schema(df: DataFrame, table: str, base_dir: str | None = N
 
 
 def add_columns(spark: SparkSession, table: str, statement: str) -> dict:
-    """Run an additive statement once. A column that is already there counts as done, and so does
-    a table that does not exist yet."""
+    """Add the columns of a statement that the table lacks, and check that all are there then. A table that does not
+    exist yet counts as done."""
     if not statement.strip():
         return {"executed": False, "reason": "empty statement"}
     if not table_exists(spark, table):
         return {"executed": True, "reason": "table does not exist yet"}
-    try:
-        spark.sql(statement)
-        return {"executed": True, "reason": "applied"}
-    except AnalysisException as failure:
-        known = ("COLUMN_ALREADY_EXISTS", "FIELD_ALREADY_EXISTS", "FIELDS_ALREADY_EXISTS")
-        if failure.getCondition() in known:
-            return {"executed": True, "reason": "already exists"}
-        raise
+    clause = re.match(r"(?is)^(.*?\bADD\s+COLUMNS?\s*\()(.*)(\)\s*;?\s*)$", statement)
+    if clause is None:
+        raise ValueError(f"not an ADD COLUMNS statement: {statement}")
+    head, body, _ = clause.groups()
+    items = _definitions(body)
+    have = {c.lower() for c in spark.table(table).columns}
+    absent = [text for name, text in items if name.lower() not in have]
+    if absent:
+        spark.sql(f"{head}{', '.join(absent)})")
+        spark.catalog.refreshTable(table)
+        if not has_columns(spark, table, [name for name, _ in items]):
+            raise RuntimeError(f"{table}: columns are still missing after {statement}")
+    return {"executed": True, "reason": "applied" if absent else "already exists"}
+
+
+def _definitions(body: str) -> list[tuple[str, str]]:
+    """(name, text) of the column definitions of a clause; commas in types, comments and names don't part them."""
+    parts, depth, quote, start = [], 0, "", 0
+    for i, c in enumerate(body):
+        if quote:
+            quote = "" if c == quote and body[i - 1] != "\\" else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "(<":
+            depth += 1
+        elif c in ")>":
+            depth -= 1
+        elif c == "," and not depth:
+            parts.append(body[start:i])
+            start = i + 1
+    parts.append(body[start:])
+    found = []
+    for text in (p.strip() for p in parts):
+        name = re.match(r"`([^`]+)`|(\w+)", text)
+        if name is None:
+            raise ValueError(f"no column name in {text!r}")
+        found.append((name[1] or name[2], text))
+    return found
 
 
 def has_columns(spark: SparkSession, table: str, columns: list[str]) -> bool:

@@ -61,14 +61,16 @@ def wanted_tables(request: DataFrame, column: str, known: DataFrame) -> DataFram
 
 def parse_table_filter(text: str, every: list[str]) -> list[str]:
     """The same rule for the single parameter of a job."""
-    if text.strip().lower() == "all":
-        return list(every)
-    return [t.strip().lower() for t in text.split(",") if t.strip()]
+    named = [t.strip().lower() for t in text.split(",") if t.strip()]
+    return list(dict.fromkeys([*(every if "all" in named else ()), *(t for t in named if t != "all")]))
 
 
 def scan_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every column as a string, unknown columns kept; for tables under contract."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    """Every column as a string, unknown columns kept; for tables under contract.
+
+    A part file whose header differs from the first one's fails the scan: its values would land in other columns.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, enforceSchema=False)
 
 
 def scan_inferred(spark: SparkSession, path: str | list[str], sample: float = 0.25) -> DataFrame:

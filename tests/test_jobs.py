@@ -259,7 +259,8 @@ def test_set_operators_are_refused(spark, people):
 
 def test_count_with_many_rows_is_doubted(spark, people):
     result = governed.govern(
-        people.groupBy("gender").count(), CONTRACT, "analyst", fm.secret(spark, "k"), is_count=True
+        people.groupBy("gender").count(), CONTRACT, "analyst", fm.secret(spark, "k"), is_count=True,
+        derived=("count",),
     )
     assert not result.credible and "several" in result.note
 
