@@ -5,12 +5,13 @@
    first ``n - ceil(t * n) + 1`` in that order, and ``k`` tokens among ``k - 1`` more. Order 1 puts rare tokens first (counted over all documents in a fixed
    table of cells, ties by hash), order 2 has the same counts and another tie-break, order 3 is a plain hash order.
 3. *Candidates.* Prefix tokens of order 1 are exchanged once by token. In every run of one token, all classes are
-   paired with its first class only, and with two more picked by other measures over the whole token, so a run of any
-   length gives three pairs per row at most. Pairs that meet often enough go on.
-4. *Filters, then verification.* A pair must fit in size and token position and share prefix tokens under orders 2 and 3
-   as well; what is left is verified on the whole sets.
+   paired with one class only, so a run of any length gives one pair per row at most. That class is the one with the
+   fewest rarer tokens before this one: of a group of near copies it is the one nearest to their common text, to which
+   most of the others link, and all tokens of a group mostly agree on it. Pairs that meet often enough go on.
+4. *Filters, then verification.* A pair must fit in size, token position and parity bitmaps, and share prefix tokens
+   under orders 2 and 3 as well; what is left is verified on the whole sets.
 5. *The rest.* Links found make components. A token whose classes all fell into one component can't add anything. On all
-   other tokens the pairs across components whose parity bitmaps are near enough are counted in full, and those that
+   other tokens the pairs across components whose bitmaps are near enough are counted in full, and those that
    share enough and weren't verified yet are, so no link between components is lost.
 
 Frequencies only shape the orders: collisions of cells make prefixes less selective and never lose a pair. Sets travel
@@ -105,6 +106,12 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 _PARITY = [f"odd{i}" for i in range(PARITY)]
 
 
+def _near(percent: int):
+    """Sets that link differ in no more tokens than this, and their bitmaps in no more bits."""
+    flips = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _PARITY)
+    return F.expr(f"{100 + percent}L * ({flips}) <= {100 - percent}L * (a_n + b_n)")
+
+
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for a in range(0, len(batch), SLICE_DOCS):
@@ -156,7 +163,7 @@ def first_pass(spark: SparkSession, docs: DataFrame, width: int) -> tuple[DataFr
 
 
 def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, percent: int) -> DataFrame:
-    """Prefix rows (order 1) of tokens that two classes share, each with the first class of its run, as a written table."""
+    """Prefix rows (order 1) of tokens that two classes share, each with the leading class of its run, as a written table."""
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen, weight = WordHashes(), set(), np.frombuffer(weights.value, np.int64)
@@ -186,7 +193,7 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, per
                 )
 
     def repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in order of token, run and class. Keeps one row, the first of the open run, between batches."""
+        """Rows come in order of token, run, place and class. Keeps one row, the first of the open run, between batches."""
         open_run = None  # its first row, and whether that row was given out
         for batch in batches:
             batch = batch.drop_duplicates(["token", "run", "sig"])
@@ -221,7 +228,7 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, per
     path = new_scratch(spark, "shared-tokens")
     (
         rows.repartition("token", "run")
-        .sortWithinPartitions("token", "run", "sig")
+        .sortWithinPartitions("token", "run", "place", "sig")
         .mapInPandas(repeats, "token long, run int, sig long, n int, place int, lead_sig long, lead_n int, lead_place int")
         .write.parquet(path)
     )
@@ -309,44 +316,33 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
     per_class = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in _PARITY])
     classes = per_class.select("sig", "rep")
     shared = shared_tokens(spark, named, weights, width, percent)
-    lead = shared.withColumns({"a_n": F.col("lead_n"), "a_place": F.col("lead_place"), "b_n": F.col("n"), "b_place": F.col("place")})
-    # three first classes by three measures: a class that one of them misses is mostly near another
-    tops = shared.groupBy("token").agg(
-        F.max(F.struct("sig", "n", "place")).alias("last"),
-        F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "place")).alias("other"),
-    )
-    with_tops = shared.select("token", "sig", F.col("n").alias("b_n"), F.col("place").alias("b_place")).join(tops, "token")
-    against = lambda top: with_tops.select(
-        "token", F.col(f"{top}.sig").alias("lead_sig"), "sig", F.col(f"{top}.n").alias("a_n"), F.col(f"{top}.place").alias("a_place"), "b_n", "b_place"
-    )
-    led = lead.select("token", "lead_sig", "sig", "a_n", "a_place", "b_n", "b_place")
-    first_pairs = (
-        led.unionByName(against("last"))
-        .unionByName(against("other"))
-        .filter("sig <> lead_sig")
+    met = (
+        shared.filter("sig <> lead_sig")
+        .withColumns({"a_n": F.col("lead_n"), "a_place": F.col("lead_place"), "b_n": F.col("n"), "b_place": F.col("place")})
         .filter(_fits("a_", "b_", percent))
-        .groupBy(F.least("lead_sig", "sig").alias("a"), F.greatest("lead_sig", "sig").alias("b"), F.least("a_n", "b_n").alias("few"))
-        .agg(F.count_distinct("token").alias("met"))
-        .filter(_shared_enough("met", "few", "few", percent))
+        .groupBy(F.least("lead_sig", "sig").alias("a"), F.greatest("lead_sig", "sig").alias("b"))
+        .agg(F.count("*").alias("met"), F.min(F.least("a_n", "b_n")).alias("a_n"), F.max(F.greatest("a_n", "b_n")).alias("b_n"))
+        .filter(_shared_enough("met", "a_n", "b_n", percent))
     )
+    bitmaps = lambda s: per_class.select(F.col("sig").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _PARITY])
+    first_pairs = met.join(bitmaps("a"), "a").join(bitmaps("b"), "b").filter(_near(percent))
     path = new_scratch(spark, "first-pairs")
     first_pairs.select("a", "b").write.parquet(path)
     tried = spark.read.parquet(path)
     links = verified(spark, named, tried, classes, weights, width, percent)
     found = components(spark, links)
 
-    labels = per_class.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "sig", F.coalesce("component", "rep").alias("label"), *_PARITY
-    )
+    label = F.coalesce("component", "rep").alias("label")
+    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", label)
     marked_path = new_scratch(spark, "labelled-tokens")
     shared.select("token", "sig", "n", "place").join(labels, "sig").write.parquet(marked_path)
     marked = spark.read.parquet(marked_path)
     unsettled = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    left = marked.join(unsettled, "token", "left_semi")
+    left_path = new_scratch(spark, "unsettled-tokens")
+    marked.join(unsettled, "token", "left_semi").join(per_class.select("sig", *_PARITY), "sig").write.parquet(left_path)
+    left = spark.read.parquet(left_path)
     renamed = lambda s: left.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("sig", "n", "place", "label", *_PARITY)])
-    flips = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in _PARITY)
-    # sets that link differ in no more tokens than this; and all their shared prefix tokens were met
-    apart = F.expr(f"{100 + percent}L * ({flips}) <= {100 - percent}L * (a_n + b_n)")
+    # all prefix tokens that a linked pair shares were met
     most = "met + least(a_n - a_last, b_n - b_last) - 1"
     reach = F.expr(f"{100 + percent}L * ({most}) >= {percent}L * (a_n + b_n)")
     rest_path = new_scratch(spark, "rest-pairs")
@@ -355,7 +351,7 @@ def linked(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, width:
         .join(renamed("b"), "token")
         .filter("a_sig < b_sig and a_label <> b_label")
         .filter(_fits("a_", "b_", percent))
-        .filter(apart)
+        .filter(_near(percent))
         .groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "a_n", "b_n")
         .agg(F.count("*").alias("met"), F.max("a_place").alias("a_last"), F.max("b_place").alias("b_last"))
         .filter(_shared_enough("met", "a_n", "b_n", percent))
