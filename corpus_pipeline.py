@@ -57,7 +57,7 @@ STAGES = [
     ("source mix", source_mix),
     ("byte-level BPE", byte_bpe),
 ]
-#: Hashes and merges of the stages have no SQL; tests/llm compares ``run`` with a brute-force version.
+#: Hashes and merges of the stages have no SQL; tests/llm compares the join with brute force and the ids with a library.
 ORACLE_SQL = None
 
 
