@@ -5,7 +5,7 @@ the token that starts at byte ``i`` joined with its right neighbour, and every i
 children. The root names the next merge, a walk that prefers the left child finds its leftmost place, and a merge
 changes three leaves: the merged pair, its left neighbour and the byte position that dies. Each change climbs to the
 root in logarithmic time. The trees of many pieces of similar length are rows of one numpy matrix and step together;
-equal pieces of a slice of texts are merged once.
+a worker merges equal pieces once and remembers their ids from slice to slice, up to a bound.
 
 Work is local to a row, so it needs no shuffle and a lost task is simply run again.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ SLICE_CHARS = 4_000_000
 BLOCK_LEAVES = 1 << 18
 #: Documents whose ids and bytes a task holds before it gives them out.
 SLICE_DOCS = 2000
+#: Bytes of pieces after which a worker forgets all; those of the slice at hand come on top.
+KNOWN_BYTES = 8_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -64,6 +67,20 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.int64))
         self.pair_keys = np.append(np.array(keys, np.int64)[order], np.int64(2**62))
         self.pair_made = np.append(np.array(made, np.int32)[order], NONE)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start without known pieces."""
+        self.known, self.known_bytes = Numbering(), 0
+        self.flat = np.empty(0, np.int32)
+        self.starts = self.lengths = np.empty(0, np.int64)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Append the ids of new pieces, which are numbered already."""
+        flat, starts, lengths = self.encode_pieces(pieces)
+        self.starts = np.append(self.starts, starts + self.flat.size)
+        self.flat, self.lengths = np.append(self.flat, flat), np.append(self.lengths, lengths)
+        self.known_bytes += sum(map(len, pieces))
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the pairs; NONE where a pair makes no token."""
@@ -154,9 +171,13 @@ class Vocabulary:
             while b < len(texts) and (b == a or chars + len(texts[b] or "") <= SLICE_CHARS):
                 chars += len(texts[b] or "")
                 b += 1
-            place = Numbering()
-            found = [np.fromiter(map(place.__getitem__, self.split(t or "")), np.int32) for t in texts[a:b]]
-            flat, starts, lengths = self.encode_pieces([p.encode() for p in place])
+            if self.known_bytes > KNOWN_BYTES:
+                self.forget()
+            old = len(self.known)
+            found = [np.fromiter(map(self.known.__getitem__, self.split(t or "")), np.int32) for t in texts[a:b]]
+            if len(self.known) > old:
+                self.learn([p.encode() for p in islice(self.known, old, None)])
+            flat, starts, lengths = self.flat, self.starts, self.lengths
             for one in found:
                 n = lengths[one]
                 first = np.repeat(starts[one] - (np.cumsum(n) - n), n)
