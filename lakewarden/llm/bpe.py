@@ -33,7 +33,7 @@ BLOCK_LEAVES = 1 << 18
 #: Documents whose ids and bytes a task holds before it gives them out.
 SLICE_DOCS = 2000
 #: Bytes of pieces after which a worker forgets all; those of the slice at hand come on top.
-KNOWN_BYTES = 8_000_000
+KNOWN_BYTES = 2_000_000
 
 
 def read_ranks(path: str) -> bytes:
