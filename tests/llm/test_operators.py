@@ -51,6 +51,18 @@ def test_bpe_round_trip(spark, docs, none):
     assert bpe.digests(none, codec).count() == 0
 
 
+def test_bpe_forgets_and_learns_again(monkeypatch):
+    import public_tokenizers
+
+    content = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = ["unquestionablyinterlinked xyzzyplugh", None, "漢字 xyzzyplugh", "", "unquestionablyinterlinked " * 3] * 4
+    fresh = [next(bpe.Vocabulary(content, public_tokenizers.PATTERN).encode([t])).tolist() for t in texts[:5]] * 4
+    for bound in (0, 40, 1 << 30):
+        monkeypatch.setattr(bpe, "KNOWN_BYTES", bound)
+        known = bpe.Vocabulary(content, public_tokenizers.PATTERN)
+        assert [ids.tolist() for a in range(0, 20, 2) for ids in known.encode(texts[a : a + 2])] == fresh
+
+
 def test_shards(spark, docs, none):
     got = sharding.shard_rows(spark, docs.select("doc_id", "text"), shards=3).collect()
     assert len(got) == len(ROWS)
