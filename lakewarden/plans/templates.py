@@ -14,7 +14,7 @@ from lakewarden.operators.joins import cohort_values
 
 def entities_with_keyword(
     facts: DataFrame, keyword: str, entity: str = "patient", text: str = "description",
-    alias: str = "patient_count",
+    alias: str = "entities",
 ) -> DataFrame:
     """How many entities have a fact mentioning a keyword."""
     return agg.distinct_entities(
@@ -23,13 +23,13 @@ def entities_with_keyword(
 
 
 def rows_last_month(
-    facts: DataFrame, as_of: dt.date, when: str = "date", alias: str = "encounters_last_month"
+    facts: DataFrame, as_of: dt.date, when: str = "date", alias: str = "rows_last_month"
 ) -> DataFrame:
     return agg.row_count(facts.filter(filters.in_previous_month(F.col(when), as_of)), alias)
 
 
 def most_frequent(
-    facts: DataFrame, k: int = 5, by: str = "description", alias: str = "prescription_count"
+    facts: DataFrame, k: int = 5, by: str = "description", alias: str = "n_rows"
 ) -> DataFrame:
     return agg.top_groups(facts, by, k, alias)
 
@@ -52,7 +52,7 @@ def entities_having(
 
 
 def mean_facts_per_entity(
-    facts: DataFrame, entity: str = "patient", alias: str = "avg_encounters_per_patient"
+    facts: DataFrame, entity: str = "patient", alias: str = "rows_per_entity"
 ) -> DataFrame:
     return agg.mean_rows_per_entity(facts, entity, alias)
 
@@ -60,7 +60,7 @@ def mean_facts_per_entity(
 def frequent_among_older(
     dimension: DataFrame, facts: DataFrame, years: int, as_of: dt.date, k: int = 10,
     key: str = "id", birth: str = "birthdate", entity: str = "patient", by: str = "description",
-    alias: str = "condition_count",
+    alias: str = "n_rows",
 ) -> DataFrame:
     """Most frequent facts of entities above an age.
 
@@ -99,7 +99,7 @@ def rows_in_year(
 
 def entities_with_open_facts(
     facts: DataFrame, more_than: int = 3, entity: str = "patient", stop: str = "stop",
-    alias: str = "active_condition_count",
+    alias: str = "n_open",
 ) -> DataFrame:
     """Entities with more than N facts that have not ended, busiest first."""
     active = facts.filter(filters.still_open(F.col(stop)))
@@ -108,7 +108,7 @@ def entities_with_open_facts(
 
 def values_for_cohort(
     cohort_facts: DataFrame, keyword: str, facts: DataFrame, value: str = "description",
-    entity: str = "patient", text: str = "description", alias: str = "medication",
+    entity: str = "patient", text: str = "description", alias: str = "value",
 ) -> DataFrame:
     """Distinct values among facts of the entities that have a keyword in other facts."""
     cohort = cohort_facts.filter(filters.has_keyword(F.col(text), keyword))

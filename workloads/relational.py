@@ -471,8 +471,9 @@ def sampled_values_for_tables(spark, sf):
 @query(
     "template_q1",
     clinical.sql(
-        "SELECT COUNT(DISTINCT patient) AS patient_count FROM conditions "
-        "WHERE LOWER(description) LIKE '%finding a 3%'", "conditions",
+        """, hit AS (SELECT patient FROM conditions WHERE contains(lower(description), 'finding a 3') GROUP BY patient)
+        SELECT count(patient) AS entities FROM hit""",
+        "conditions",
     ),
 )
 def template_q1(spark, sf):
@@ -482,8 +483,7 @@ def template_q1(spark, sf):
 @query(
     "template_q2",
     clinical.sql(
-        """SELECT COUNT(*) AS encounters_last_month FROM encounters
-        WHERE DATE_TRUNC('month', "date") = DATE_TRUNC('month', DATE '2001-08-01' - INTERVAL 1 MONTH)""",
+        """SELECT count(*) AS rows_last_month FROM encounters WHERE "date" >= DATE '2001-07-01' AND "date" < DATE '2001-08-01'""",
         "encounters",
     ),
 )
@@ -494,8 +494,9 @@ def template_q2(spark, sf):
 @query(
     "template_q3",
     clinical.sql(
-        "SELECT description, COUNT(*) AS prescription_count FROM medications GROUP BY description "
-        "ORDER BY prescription_count DESC, description LIMIT 5", "medications",
+        """, tally AS (SELECT description, count(*) AS n_rows FROM medications GROUP BY ALL)
+        SELECT * FROM tally QUALIFY row_number() OVER (ORDER BY n_rows DESC, description) <= 5""",
+        "medications",
     ),
 )
 def template_q3(spark, sf):
@@ -505,8 +506,9 @@ def template_q3(spark, sf):
 @query(
     "template_q4",
     clinical.sql(
-        "SELECT DISTINCT p.id, p.gender, p.race FROM patients p JOIN allergies a ON p.id = a.patient "
-        "WHERE LOWER(a.description) LIKE '%purchase%'", "patients", "allergies",
+        """, cohort AS (SELECT patient FROM allergies WHERE contains(lower(description), 'purchase'))
+        SELECT id, gender, race FROM patients WHERE id IN (FROM cohort) GROUP BY ALL""",
+        "patients", "allergies",
     ),
 )
 def template_q4(spark, sf):
@@ -517,21 +519,21 @@ def template_q4(spark, sf):
 @query(
     "template_q5",
     clinical.sql(
-        """SELECT round(AVG(encounter_count), 6) AS avg_encounters_per_patient FROM
-        (SELECT patient, COUNT(*) AS encounter_count FROM encounters GROUP BY patient) subq""",
+        """, per AS (SELECT patient, count(*) AS n FROM encounters GROUP BY patient)
+        SELECT round(sum(n) / count(*), 6) AS rows_per_entity FROM per""",
         "encounters",
     ),
 )
 def template_q5(spark, sf):
     mean = templates.mean_facts_per_entity(clinical.encounters(spark, sf))
-    return mean.select(F.round("avg_encounters_per_patient", 6).alias("avg_encounters_per_patient"))
+    return mean.select(F.round("rows_per_entity", 6).alias("rows_per_entity"))
 
 
 def _q6_sql(k: int) -> str:
     return clinical.sql(
-        f"""SELECT c.description, COUNT(*) AS condition_count FROM patients p JOIN conditions c
-        ON p.id = c.patient WHERE date_diff('day', p.birthdate, DATE '2001-08-01') / 365.0 > 60
-        GROUP BY c.description ORDER BY condition_count DESC, c.description LIMIT {k}""",
+        f""", older AS (SELECT id FROM patients WHERE CAST(birthdate AS DATE) < DATE '2001-08-01' - 60 * 365),
+          tally AS (SELECT description, count(*) AS n_rows FROM conditions WHERE patient IN (FROM older) GROUP BY ALL)
+        SELECT * FROM tally QUALIFY row_number() OVER (ORDER BY n_rows DESC, description) <= {k}""",
         "patients", "conditions",
     )
 
@@ -545,8 +547,9 @@ def template_q6(spark, sf):
 @query(
     "template_q7",
     clinical.sql(
-        "SELECT round(AVG(TRY_CAST(value AS DOUBLE)), 6) AS avg_value, units FROM observations "
-        "WHERE LOWER(description) LIKE '%click%' GROUP BY units", "observations",
+        """, numbers AS (SELECT units, TRY_CAST(value AS DOUBLE) AS x FROM observations WHERE contains(lower(description), 'click'))
+        SELECT units, round(avg(x), 6) AS avg_value FROM numbers GROUP BY ALL""",
+        "observations",
     ),
 )
 def template_q7(spark, sf):
@@ -557,7 +560,8 @@ def template_q7(spark, sf):
 @query(
     "template_q8",
     clinical.sql(
-        'SELECT COUNT(*) AS row_count FROM immunizations WHERE YEAR("date") = 2024', "immunizations"
+        """SELECT count(*) AS row_count FROM immunizations WHERE "date" >= DATE '2024-01-01' AND "date" < DATE '2025-01-01'""",
+        "immunizations",
     ),
 )
 def template_q8(spark, sf):
@@ -567,8 +571,9 @@ def template_q8(spark, sf):
 @query(
     "template_q9",
     clinical.sql(
-        "SELECT patient, COUNT(*) AS active_condition_count FROM conditions WHERE stop IS NULL "
-        "GROUP BY patient HAVING COUNT(*) > 3 ORDER BY active_condition_count DESC, patient", "conditions",
+        """, open_rows AS (SELECT patient, count(*) FILTER (stop IS NULL) AS n_open FROM conditions GROUP BY patient)
+        FROM open_rows WHERE n_open > 3""",
+        "conditions",
     ),
 )
 def template_q9(spark, sf):
@@ -578,8 +583,8 @@ def template_q9(spark, sf):
 @query(
     "template_q10",
     clinical.sql(
-        """SELECT DISTINCT m.description AS medication FROM conditions c JOIN medications m
-        ON c.patient = m.patient WHERE LOWER(c.description) LIKE '%finding n 7%' ORDER BY medication""",
+        """, cohort AS (SELECT patient FROM conditions WHERE contains(lower(description), 'finding n 7'))
+        SELECT description AS value FROM medications WHERE patient IN (FROM cohort) GROUP BY ALL""",
         "conditions", "medications",
     ),
 )
