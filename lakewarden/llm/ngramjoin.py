@@ -8,6 +8,8 @@
    paired with one class only, so a run of any length gives one pair per row at most. That class is the one with the
    fewest rarer tokens before this one: of a group of near copies it is the one nearest to their common text, to which
    most of the others link, and all tokens of a group mostly agree on it. Pairs that meet often enough go on.
+   Tokens of a full cell are cut into several runs. A class alone in its run may share the token with classes of other
+   runs, so it stays, paired with nothing, until step 5 joins by token.
 4. *Filters, then verification.* A pair must fit in size, token position and parity bitmaps, and share prefix tokens
    under orders 2 and 3 as well; what is left is verified on the whole sets.
 5. *The rest.* Links found make components. A token whose classes all fell into one component can't add anything. On all
@@ -93,7 +95,7 @@ def _rank(tokens: np.ndarray, weights: np.ndarray, order: int) -> np.ndarray:
     """Places of a set's tokens in a global order; ``tokens`` ascend, which settles ties."""
     if order == 3:
         return np.argsort(tokens * _TURN3, kind="stable")
-    weight = np.minimum(weights[(tokens & np.uint64(CELLS - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
+    weight = np.minimum(weights[(tokens & np.uint64(weights.size - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
     turned = tokens if order == 1 else tokens * _TURN2
     return np.argsort(weight << np.uint64(40) | turned >> np.uint64(24), kind="stable")
 
@@ -163,7 +165,8 @@ def first_pass(spark: SparkSession, docs: DataFrame, width: int) -> tuple[DataFr
 
 
 def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, percent: int) -> DataFrame:
-    """Prefix rows (order 1) of tokens that two classes share, each with the leading class of its run, as a written table."""
+    """Prefix rows (order 1) of tokens that two classes share, and all of tokens cut into runs, each with the leading class
+    of its run, as a written table. ``run`` is 0 for tokens that have one run only."""
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen, weight = WordHashes(), set(), np.frombuffer(weights.value, np.int64)
@@ -187,7 +190,7 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, per
                 runs = weight[(token & np.uint64(CELLS - 1)).astype(np.int64)] // RUN_ROWS + 1
                 yield pd.DataFrame(
                     {
-                        "token": token.view(np.int64), "run": (sig % runs).astype(np.int32), "sig": sig,
+                        "token": token.view(np.int64), "run": np.where(runs > 1, sig % runs + 1, 0).astype(np.int32), "sig": sig,
                         "n": np.repeat(np.array(sizes, np.int32), lengths), "place": place.astype(np.int32),
                     }
                 )
@@ -211,8 +214,8 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, weights, width: int, per
             starts = np.flatnonzero(new)
             number = np.cumsum(new) - 1
             count = np.bincount(number)
-            keep = count[number] > 1
-            last_given = bool(count[-1] > 1) or (given and starts.size == 1)
+            keep = (count[number] > 1) | (run > 0)  # the rows of a cut token may lie in other runs
+            last_given = bool(keep[-1]) or (given and starts.size == 1)
             if given:
                 keep[0] = False
             head = starts[number]

@@ -56,6 +56,16 @@ def test_components_match_brute_force(spark):
         assert got == truth(texts, width, percent)
 
 
+def test_tokens_cut_into_runs_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "RUN_ROWS", 1)
+    monkeypatch.setattr(ngramjoin, "CELLS", 1 << 6)
+    monkeypatch.setattr(ngramjoin, "BLOCK_CELLS", 1 << 4)
+    texts = corpus(7)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.linked(spark, docs).collect()}
+    assert got == truth(texts, 4, 85)
+
+
 def test_no_rows_no_ids_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngramjoin.linked(spark, empty).count() == 0
