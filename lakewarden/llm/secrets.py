@@ -34,12 +34,14 @@ CLASSES = (
     ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.7),
 )
 #: Strings that look random to a window and are not secret: no digit or no letter, words joined by separators, paths,
-#: placeholders, published digests named as such, identifiers in the 8-4-4-4-12 form, runs of the alphabet.
+#: placeholders, published digests named as such, identifiers in the 8-4-4-4-12 form, runs of the alphabet. No group is
+#: repeated: Java repeats groups by recursion, so a long candidate would overflow the stack. The third entry is letters
+#: and separators in any order, the fourth pieces between single slashes of which the last two are short.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"^[A-Za-z]*([_/=-][A-Za-z]*)*[0-9]{0,4}$",
-    r"^(/?[a-z0-9]{1,12})+(/[a-z0-9]{1,12}){2,}/?$",
+    r"^[A-Za-z_/=-]*+[0-9]{0,4}$",
+    r"^(?!.*//)[a-z0-9/]*[a-z0-9]/[a-z0-9]{1,12}/[a-z0-9]{1,12}/?$",
     r"(?i)example|placeholder|dummy|changeme|your[_-]|xxxx|0000000",
     r"(?i)^(sha(1|224|256|384|512)|md5)[=_-]",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",

@@ -94,6 +94,42 @@ def test_spans(spark, docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_allow_list_has_the_same_strings():
+    import random
+    import re
+
+    old = {2: r"^[A-Za-z]*([_/=-][A-Za-z]*)*[0-9]{0,4}$", 3: r"^(/?[a-z0-9]{1,12})+(/[a-z0-9]{1,12}){2,}/?$"}
+    r = random.Random(11)
+    seen = {(k, fits): 0 for k in old for fits in (True, False)}
+    for _ in range(2000):
+        s = "".join(r.choices(r.choice(["a1/", "a1/////", "aaaaaaaaa/", "aB_/=-", "aB_/=-1", "ab1/_"]), k=r.randint(0, 13))) + r.choice(["", "12", "/ab/c1", "/"])
+        for k, pattern in old.items():
+            fits = re.search(pattern, s) is not None
+            assert fits == (re.search(secrets.ALLOWED[k], s) is not None), s
+            seen[k, fits] += 1
+    assert all(n > 20 for n in seen.values())
+
+
+def test_very_long_candidates(spark):
+    import random
+
+    r = random.Random(12)
+    run = lambda chars, size=1 << 20: "".join(r.choices(chars, k=size))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    classes = {"hex": "0123456789abcdef", "one case": letters + "0123456789", "mixed case": letters + letters.upper() + "0123456789", "base64": letters + "ABC0123456789+_"}
+    rows = [*classes.items(), ("digits", "0123456789")]
+    patterns = [*secrets.ALLOWED, *[p for _, p, _ in secrets.CLASSES], secrets.CANDIDATE]
+    big = spark.createDataFrame(
+        [*[(k, run(chars)) for k, chars in rows], ("words", "a-" * (1 << 19) + "1"), ("path", "ab1/" * (1 << 18)), ("mail", "a@b" + ".c" * (1 << 19))], "k string, text string"
+    ).repartition(4)
+    got = {r[0]: r for r in big.select("k", pii.base_spans(big["text"])["email"].alias("mails"), *[big["text"].rlike(p) for p in patterns]).collect()}
+    assert [(s.start, s.end) for s in got["mail"].mails] == [(0, (1 << 20) + 3)]
+    assert got["words"][2 + 2] and got["path"][2 + 3] and not got["hex"][2 + 3] and not got["one case"][2 + 2]
+    less = spark.createDataFrame([(k, run(chars, 1 << 15)) for k, chars in rows], "k string, text string").repartition(4)  # windows take their time
+    found = secrets.find_secrets(less).selectExpr("k", "size(secrets.entropy) n").collect()
+    assert {r.k: r.n for r in found} == {**dict.fromkeys(classes, 1), "digits": 0}
+
+
 def test_language_model(spark, docs, none):
     got = lm.language_model(spark, docs.select("doc_id", "text")).collect()
     assert len(got) == len(ROWS) and all(r.score <= 1e-9 and r.n_known <= r.n_tokens for r in got)
