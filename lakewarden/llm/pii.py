@@ -5,8 +5,8 @@ from the corpus: over all lines, ``PMI(value; term) = log2(N * n(value, term) /
 ``IC(value) = -log2(n(value) / N)`` bits that naming the value would give. A term discloses the share ``PMI / IC``. Terms
 at ``REMOVE`` or above are removed, terms at ``GENERALISE`` or above are generalised, wherever they stand.
 
-Copies of one line prove nothing. A pair counts only if two different lines show it, and a value only if its lines
-differ: where the average term of a value's lines stands in more than ``COPIED`` of them, they are copies, edited or not.
+Every line counts as often as it stands, however alike the lines of a value are. A pair needs ``SUPPORT`` lines, so a
+value on fewer lines has no disclosing term. Equal lines are counted together before their terms are spread.
 
 Rows are lines, pairs and terms, each counted with partial sums. A line gives values times terms rows, and values of a
 line are few; no list grows with the corpus. Word counts over the whole corpus pass a fixed filter of candidate terms
@@ -31,7 +31,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}++"
 LEAST_LETTERS = 3
 REMOVE, GENERALISE = 0.95, 0.8
-COPIED = 0.5
+#: Least lines of a pair of value and term.
+SUPPORT = 2
 FILTER_BITS = 1 << 16
 
 
@@ -108,19 +109,19 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, remove: float = REMOV
     path = new_scratch(spark, "protected-lines")
     protected_lines(docs).write.parquet(path)
     lines = spark.read.parquet(path)
-    by_value = lines.select("line_hash", "terms", F.explode("values").alias("value"))
-    n_value = by_value.groupBy("value").agg(F.count("*").alias("n_value"))
-    counted_path, pairs_path = new_scratch(spark, "term-counts"), new_scratch(spark, "disclosure-pairs")
+    distinct = lines.groupBy("line_hash", "values", "terms").agg(F.count("*").alias("copies"))
+    by_value = distinct.select("terms", "copies", F.explode("values").alias("value"))
+    n_value = by_value.groupBy("value").agg(F.sum("copies").alias("n_value"))
+    pairs_path = new_scratch(spark, "disclosure-pairs")
     (
-        by_value.select("value", "line_hash", F.explode("terms").alias("term"))
+        by_value.select("value", "copies", F.explode("terms").alias("term"))
         .groupBy("value", "term")
-        .agg(F.count("*").alias("n_pair"), F.min("line_hash").alias("low"), F.max("line_hash").alias("high"))
-        .write.parquet(counted_path)
+        .agg(F.sum("copies").alias("n_pair"))
+        .filter(F.col("n_pair") >= SUPPORT)
+        .join(n_value, "value")
+        .select("value", "n_value", "term", "n_pair")
+        .write.parquet(pairs_path)
     )
-    counted = spark.read.parquet(counted_path)
-    density = counted.groupBy("value").agg(F.avg("n_pair").alias("mean"))
-    varied = density.join(n_value, "value").filter(F.col("mean") <= F.col("n_value") * COPIED).select("value", "n_value")
-    counted.filter("low <> high").join(varied, "value").select("value", "n_value", "term", "n_pair").write.parquet(pairs_path)
     pairs = spark.read.parquet(pairs_path)
     wanted = pairs.select("term").distinct()
     words = _bits(spark, wanted)  # no candidates, no count: the filter below lets nothing through

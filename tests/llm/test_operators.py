@@ -130,6 +130,29 @@ def test_very_long_candidates(spark):
     assert {r.k: r.n for r in found} == {**dict.fromkeys(classes, 1), "digits": 0}
 
 
+def test_disclosing_terms_of_alike_lines(spark):
+    import re
+    from collections import Counter
+
+    lines = [f"common words of line number {i}" for i in range(300)] + ["From: Jane Doe <jane@x.org>"] * 5 + ["Ask Zoltan at zz@y.org", "Zoltan wrote zz@y.org"]
+    lines += [f"Contact Quill Vexley: qv@x.org ext {i}" for i in range(40)] + ["Seldom uno@z.org", "common words of abc@y.org", "common words by abc@y.org"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    mail = r"[\w.]+@[\w.]+"
+    value, term, pair = Counter(), Counter(), Counter()
+    for line in lines:
+        everywhere, found = {t.lower() for t in re.findall(r"[^\W\d_]+", line)}, re.findall(mail, line)
+        term.update(everywhere)
+        value.update(found)
+        pair.update((v, t.lower()) for v in found for t in set(re.findall(r"[^\W\d_]+", re.sub(mail, " ", line))) if len(t) >= 3)
+    best = {}
+    for (v, t), n in pair.items():
+        share = math.log2(len(lines) * n / (value[v] * term[t])) / math.log2(len(lines) / value[v])
+        if n >= 2 and share >= pii.GENERALISE:
+            best[t] = max(share, best.get(t, 0))
+    got = {r.term: r.share for r in pii.disclosing_terms(spark, docs).collect()}
+    assert got == pytest.approx(best) and set(got) >= {"jane", "doe", "zoltan", "quill", "vexley"} and not {"common", "seldom"} & set(got)
+
+
 def test_language_model(spark, docs, none):
     got = lm.language_model(spark, docs.select("doc_id", "text")).collect()
     assert len(got) == len(ROWS) and all(r.score <= 1e-9 and r.n_known <= r.n_tokens for r in got)
