@@ -5,7 +5,7 @@
 2. *Ids.* Documents become rows of word ids, once, in a table; the base score falls off on the way.
 3. *Pairs.* Tasks count (context, word) pairs of training documents. A pair's shard follows from the running counts of
    its context and, inside a hot context, of its word: shards are ranges of pairs with about the same number of tokens,
-   and no context is too large for one. A shard keeps pairs seen ``LEAST_COUNT`` times, takes ``DISCOUNT`` off each and
+   and no context is too large for one. A shard keeps all its pairs, takes ``DISCOUNT`` off each and
    writes one trie: Elias-Fano pointers from contexts to their successors, Elias-Fano successors relative to the
    context, 16-bit logarithms of the discounted probabilities, and what a context's kept pairs add up to.
 4. *Scores.* Tasks map the shard files into memory and search successors. What a context has left goes to the smoothed
@@ -39,7 +39,6 @@ from lakewarden.session import new_scratch
 HELD_OUT = 10
 ADD = 0.1
 DISCOUNT = 0.75
-LEAST_COUNT = 2
 #: Shards of the hash range, and training tokens of one shard of pairs.
 WORD_SHARDS = 64
 SHARD_TOKENS = 4_000_000
@@ -305,7 +304,7 @@ class Pairs:
             for s, sums in held.items():
                 keys, counts = sums.merge()
                 _write(self.folder, f"pairs-{s:07d}", self._trie(keys, counts))
-                yield pd.DataFrame({"shard": [s], "kept": [int((counts >= LEAST_COUNT).sum())]})
+                yield pd.DataFrame({"shard": [s], "kept": [keys.size]})
 
         del words
         blocks = table.filter("not held_out").select("ids").mapInPandas(
@@ -325,8 +324,6 @@ class Pairs:
 
     def _trie(self, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
         """Levels of one shard: contexts ``low`` to ``high``, pointers, successors, probabilities and kept sums."""
-        keep = counts >= LEAST_COUNT
-        keys, counts = keys[keep], counts[keep]
         context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         low = int(context[0]) if context.size else 0
         span = int(context[-1]) - low + 1 if context.size else 0

@@ -157,3 +157,24 @@ def test_language_model(spark, docs, none):
     got = lm.language_model(spark, docs.select("doc_id", "text")).collect()
     assert len(got) == len(ROWS) and all(r.score <= 1e-9 and r.n_known <= r.n_tokens for r in got)
     assert lm.language_model(spark, none.select("doc_id", "text")).count() == 0
+
+
+def test_scores_are_plain_back_off_over_all_pairs(spark):
+    from collections import Counter
+
+    texts = {i: f"the {'cat dog cow'.split()[i % 3]} saw w{i} and w{i * 7 % 30}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    visible_to_workers(spark)
+    tokens = {i: [*t.split(), None] for i, t in texts.items()}
+    train = [ts for i, ts in tokens.items() if not lm.held_out(i)]
+    word, pair = Counter(w for ts in train for w in ts), Counter(p for ts in train for p in zip([None, *ts], ts))
+    kept, n = Counter(), sum(word.values())
+    for (c, _), k in pair.items():
+        kept[c] += (k - lm.DISCOUNT) / word[c]
+
+    def p(c, w):
+        q = (pair[c, w] - lm.DISCOUNT) / word[c] if pair[c, w] else 0.0
+        return q + (1 - kept[c]) * (word[w] + lm.ADD) / (n + lm.ADD * (len(word) + 1))
+
+    got = {r.doc_id: r.score for r in lm.language_model(spark, docs).collect()}
+    assert got == pytest.approx({i: sum(math.log10(p(*x)) for x in zip([None, *ts], ts)) for i, ts in tokens.items()}, rel=1e-3)
