@@ -26,16 +26,18 @@ def _words(words) -> str:
 
 
 def _unquoted(statement: Column) -> Column:
-    """Statement without comments and literals, taken from left to right in one pass: whichever form opens first counts."""
+    """Statement without the content of literals and without comments, taken from left to right in one pass: whichever
+    form opens first counts. Literals leave their quotes, comments a blank."""
     forms = (
-        r"'(?:[^'\\]|\\.)*+'", r'"(?:[^"\\]|\\.)*+"', r"`[^`]*+`", r"--[^\n]*+", r"/\*.*?\*/",
+        r"(')(?:[^'\\]|\\.)*+'", r'(")(?:[^"\\]|\\.)*+"', r"(`)[^`]*+`", r"--[^\n]*+", r"/\*.*?\*/",
     )
-    return F.regexp_replace(statement, "(?s)" + "|".join(forms), " '' ")
+    return F.regexp_replace(statement, "(?s)" + "|".join(forms), r" $1$1$2$2$3$3 ")
 
 
 def blocked_word(statement: Column) -> Column:
-    """First blocked word of a statement, upper case, or NULL."""
-    found = F.regexp_extract(statement, _words(DESTRUCTIVE_STATEMENT_WORDS), 1)
+    """First blocked word of a statement outside literals and comments, upper case, or NULL."""
+    words = _words(DESTRUCTIVE_STATEMENT_WORDS)
+    found = F.when(statement.rlike(words), F.regexp_extract(_unquoted(statement), words, 1))
     return F.when(found != "", F.upper(found))
 
 

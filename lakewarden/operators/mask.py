@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.casting import REDACTED_COLUMNS, YEAR_COLUMNS
 from lakewarden.functions.masking import masked, salted_hash, year_only
+from lakewarden.operators.lineage import MARK, column_sources
 from lakewarden.operators.aggregates import size_is_at_most
 from lakewarden.session import small_frame
 from lakewarden.sources.contract import ColumnSpec, Contract
@@ -43,7 +46,8 @@ def tagged(df: DataFrame, table: str) -> DataFrame:
     Spark carries metadata along with a column through joins, grouping, subqueries and renaming, and
     drops it from anything computed. A result column that still has its origin is that column.
     """
-    return df.select(
+    marked = df.alias(MARK + table)
+    return marked.select(
         *[F.col(f"`{c}`").alias(c, metadata={ORIGIN: f"{table}.{c}"}) for c in df.columns]
     )
 
@@ -71,8 +75,43 @@ def lineage_by_name(columns: list[str], contract: Contract) -> Lineage:
     return found
 
 
-def lineage_of(df: DataFrame, contract: Contract) -> Lineage:
-    return {**lineage_by_name(df.columns, contract), **lineage_by_tag(df)}
+@dataclass(frozen=True)
+class PlanLineage:
+    """Origins of result columns by the plan that computes them.
+
+    ``origins`` are columns that carry values of one source column, ``picked`` those of them that pick a value of a group.
+    ``refused`` tells why a column has no mask: ``computed`` or ``summed`` from something masked, ``mixed`` from sources
+    of different protection, ``unlisted`` where a source is in no contract. All other columns show nothing masked.
+    """
+
+    origins: Lineage = field(default_factory=dict)
+    picked: frozenset[str] = frozenset()
+    refused: dict[str, str] = field(default_factory=dict)
+
+
+def plan_lineage(df: DataFrame, contract: Contract, role: str) -> PlanLineage:
+    """Lineage of ``df`` as ``role`` must see it. A column's own name proves nothing; no data is read."""
+    origins, picked, refused = {}, set(), {}
+    for name, source in zip(df.columns, column_sources(df, contract)):
+        sources = sorted(source.origins)
+        if not sources:
+            continue
+        if any(t not in contract.tables for t, _ in sources):
+            refused[name] = "unlisted"
+            continue
+        specs = [contract.table(t).column(c) for t, c in sources]
+        masks = {(s.masking, s.phi_type) if _decide(s, contract, role, False) else None for s in specs}
+        if source.how in ("same", "picked") and (len(sources) == 1 or None not in masks and len(masks) == 1):
+            origins[name] = sources[0]
+            if source.how == "picked" and masks != {None}:
+                picked.add(name)
+        elif masks != {None}:
+            refused[name] = "mixed" if source.how in ("same", "picked") else source.how
+    return PlanLineage(origins, frozenset(picked), refused)
+
+
+def lineage_of(df: DataFrame, contract: Contract, role: str = "") -> Lineage:
+    return plan_lineage(df, contract, role).origins
 
 
 def sensitive_columns(contract: DataFrame) -> DataFrame:
@@ -127,18 +166,39 @@ def mask_result(
 ) -> DataFrame:
     """``df`` as ``role`` may see it: one projection, every mask computed from unmasked columns.
 
-    ``lineage`` names the origin of renamed columns. ``strict`` refuses columns without one, save
-    those the caller vouches for as ``derived``; use it for results of free SQL text.
+    Origins come from the plan of ``df``; ``lineage`` names those that it can't know. Counts and columns computed from
+    nothing masked need no origin. ``strict`` refuses columns computed from masked ones or of unknown origin, save sums
+    and unknown ones the caller vouches for as ``derived``; otherwise what is computed from masked columns is redacted.
     """
-    known = lineage if lineage is not None else lineage_of(df, contract)
-    unknown = [c for c in df.columns if c not in known and c not in derived]
+    plan = plan_lineage(df, contract, role)
+    known = {**plan.origins, **(lineage or {})}
+    left = {c: why for c, why in plan.refused.items() if c not in known}
+    unknown = [c for c, why in left.items() if c not in derived or why in ("computed", "mixed")]
     if strict and unknown:
         raise UnmappedColumns(f"no origin known for result columns {unknown}")
+    hidden = [c for c in unknown if left[c] != "unlisted"]
+    return apply_masks(df, contract, role, key, known, targeted, literal_dates, hidden)
+
+
+def apply_masks(
+    df: DataFrame,
+    contract: Contract,
+    role: str,
+    key: Column,
+    known: Lineage,
+    targeted: bool = False,
+    literal_dates: bool = False,
+    hidden: list[str] | tuple[str, ...] = (),
+) -> DataFrame:
+    """The projection behind ``mask_result``, for origins already judged; ``hidden`` columns are redacted."""
     out = []
     for f in df.schema.fields:
         value = F.col(f"`{f.name}`")
         origin = known.get(f.name)
         spec = contract.table(origin[0]).column(origin[1]) if origin else None
+        if f.name in hidden:
+            out.append(masked("REDACT", value, f.dataType, key, None).alias(f.name))
+            continue
         if not _decide(spec, contract, role, targeted):
             out.append(value)
             continue
@@ -160,7 +220,7 @@ def mask_report(
     targeted: bool = False,
 ) -> DataFrame:
     """(column, phi_type, strategy, action) for every sensitive result column."""
-    known = lineage if lineage is not None else lineage_of(df, contract)
+    known = lineage if lineage is not None else lineage_of(df, contract, role)
     cells = []
     for name in df.columns:
         origin = known.get(name)

@@ -48,17 +48,21 @@ def high_null_columns(profile: DataFrame, above: float = HIGH_NULL_PERCENT) -> D
     return profile.filter(F.col("null_pct") > above)
 
 
+def lost_counts(before: DataFrame, declared: dict[str, str]) -> dict[str, Column]:
+    """Per castable column the number of values its declared cast turns into NULL, as an aggregate over uncast rows."""
+    return {
+        c: F.count_if(F.col(f"`{c}`").isNotNull() & safe_cast(F.col(f"`{c}`"), declared[c]).isNull())
+        for c in before.columns
+        if declared.get(c, "string") != "string"
+    }
+
+
 def cast_loss(before: DataFrame, declared: dict[str, str]) -> DataFrame:
     """(column, row_count, lost, lost_share, warn): values the declared cast turns into NULL."""
     columns = [c for c in before.columns if declared.get(c, "string") != "string"]
     wide = before.agg(
         F.count(F.lit(1)).alias("row_count"),
-        *[
-            F.count_if(
-                F.col(f"`{c}`").isNotNull() & safe_cast(F.col(f"`{c}`"), declared[c]).isNull()
-            ).alias(f"lost_{i}")
-            for i, c in enumerate(columns)
-        ],
+        *[expr.alias(f"lost_{i}") for i, expr in enumerate(lost_counts(before, declared).values())],
         *[
             F.count_if(safe_cast(F.col(f"`{c}`"), declared[c]).isNull()).alias(f"null_{i}")
             for i, c in enumerate(columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -15,10 +14,11 @@ from lakewarden.operators.aggregates import DEFAULT_CAP, HARD_CAP
 from lakewarden.operators.mask import (
     TARGETED_ROWS,
     Lineage,
-    lineage_by_tag,
-    lineage_of,
+    PlanLineage,
+    UnmappedColumns,
+    apply_masks,
     mask_report,
-    mask_result,
+    plan_lineage,
     tagged,
 )
 from lakewarden.session import small_frame
@@ -86,7 +86,6 @@ def check_statement(spark: SparkSession, statement: str) -> None:
         .select(
             gates.blocked_word(F.col("s")),
             gates.starts_as_query(F.col("s")),
-            gates.combines_sets(F.col("s")),
         )
         .first()
     )
@@ -94,15 +93,38 @@ def check_statement(spark: SparkSession, statement: str) -> None:
         raise Blocked(f"blocked keyword: {verdict[0]}")
     if not verdict[1]:
         raise Blocked("only a single SELECT statement may run")
-    if verdict[2]:
-        raise Blocked("set operators hide where columns come from")
 
 
-def check_plan(df: DataFrame) -> None:
-    """Raise where the analysed plan holds a set operator, however the statement hid it."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if re.search(r"(?m)^[\s:+|-]*(Union|Intersect|Except)\b", plan):
-        raise Blocked("set operators hide where columns come from")
+def check_lineage(plan: PlanLineage, lineage: Lineage, derived: tuple[str, ...], strict: bool = True) -> list[str]:
+    """Raise for columns that show masked values past any mask; without ``strict``, the columns to redact instead.
+
+    Sums and means of masked columns, and columns of unlisted tables, pass with a voucher. Nothing that is computed from
+    masked columns in another way does. Columns that set operators bring together must be under one mask.
+    """
+    left = {c: why for c, why in plan.refused.items() if c not in lineage}
+    mixed = [c for c, why in left.items() if why == "mixed"]
+    vouched = [c for c, why in left.items() if why == "computed" and c in derived]
+    unknown = [c for c in left if c not in derived] + [c for c in sorted(plan.picked) if c not in derived and c not in lineage]
+    if strict and mixed:
+        raise Blocked(f"set operators bring columns of different protection together: {mixed}")
+    if strict and vouched:
+        raise Blocked(f"columns computed from masked ones can't be vouched for: {vouched}")
+    if strict and unknown:
+        raise UnmappedColumns(f"no origin known for result columns {unknown}")
+    return [c for c, why in left.items() if why != "unlisted" and (why != "summed" or c not in derived)]
+
+
+def bounded(df: DataFrame, cap: int) -> tuple[DataFrame, int, bool]:
+    """At most ``cap`` rows of ``df`` as a local relation, their number, and whether there are more.
+
+    Partitions are read one after the other until one row more than the cap is there. Rows stay in the JVM: none is made
+    a Python object.
+    """
+    spark = df.sparkSession
+    rows = df._jdf.toDF().takeAsList(cap + 1)
+    n = rows.size()
+    kept = spark._jsparkSession.createDataFrame(rows.subList(0, min(n, cap)), df._jdf.schema())
+    return DataFrame(kept, spark), min(n, cap), n > cap
 
 
 def check_derived(df: DataFrame, derived: tuple[str, ...]) -> None:
@@ -177,17 +199,14 @@ def govern(
     """
     spark = df.sparkSession
     cap = min(DEFAULT_CAP if limit is None else limit, HARD_CAP)
-    origins = lineage if lineage is not None else lineage_of(df, contract)
-    rows = df.take(cap + 1)
-    truncated = len(rows) > cap
-    n = min(len(rows), cap)
-    result = spark.createDataFrame(rows[:cap], df.schema)
+    plan = plan_lineage(df, contract, role)
+    hidden = check_lineage(plan, lineage or {}, derived, strict)
+    origins = {**plan.origins, **(lineage or {})}
+    result, n, truncated = bounded(df, cap)
     # a result that was cut says nothing about how many it speaks of
     targeted = contract.role(role).phi_access == "TARGETED_ONLY" and not truncated and n <= TARGETED_ROWS
     verdict = judge(result, is_count).first()
-    masked = mask_result(
-        result, contract, role, key, origins, targeted, strict, derived=derived
-    )
+    masked = apply_masks(result, contract, role, key, origins, targeted, hidden=hidden)
     if audit_path:
         entry = [
             (run_id, role, statement, n, truncated, targeted,
@@ -206,9 +225,10 @@ def govern(
 
 def fetch(df: DataFrame, limit: int | None = None):
     """Rows for the client as an Arrow table, never more than the hard cap, read from as few
-    partitions as hold them."""
-    rows = df.take(min(DEFAULT_CAP if limit is None else limit, HARD_CAP))
-    return df.sparkSession.createDataFrame(rows, df.schema).toArrow()
+    partitions as hold them. Its schema metadata tells under ``truncated`` whether there are more."""
+    rows, _, truncated = bounded(df, min(DEFAULT_CAP if limit is None else limit, HARD_CAP))
+    table = rows.toArrow()
+    return table.replace_schema_metadata({**(table.schema.metadata or {}), b"truncated": str(truncated).lower().encode()})
 
 
 def register_governed(frames: dict[str, DataFrame], prefix: str = "") -> None:
@@ -228,8 +248,8 @@ def governed_sql(
 ) -> GovernedResult:
     """A reading statement under governance.
 
-    Every result column must be traceable: by the origin it carries from a governed view, whatever
-    its name is now, or by an entry in ``lineage``; computed columns must be listed as ``derived``.
+    Every result column must be traceable: through the plan to columns of governed views, whatever its name is now, or by
+    an entry in ``lineage``. Counts, and what is computed from columns that ``role`` may see, pass as they are.
     """
     bare = (
         small_frame(spark, [(statement,)], "s string")
@@ -238,9 +258,5 @@ def governed_sql(
     )
     check_statement(spark, bare)
     df = spark.sql(bare.rstrip("; \n"))
-    check_plan(df)
     check_derived(df, tuple(options.get("derived", ())))
-    origins = {**(lineage or {}), **lineage_by_tag(df)}
-    return govern(
-        df, contract, role, key, lineage=origins, strict=True, statement=bare, **options
-    )
+    return govern(df, contract, role, key, lineage=lineage, strict=True, statement=bare, **options)

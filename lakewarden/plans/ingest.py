@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,11 +12,12 @@ from lakewarden.functions.casting import cast_summary, cast_to_contract, normali
 from lakewarden.functions.ddl import final_status
 from lakewarden.operators import drift as drift_ops
 from lakewarden.operators import policy, reports
-from lakewarden.operators.quality import null_counts
+from lakewarden.operators.quality import WARN_SHARE, lost_counts, null_counts
 from lakewarden.session import small_frame
 from lakewarden.sources import catalog, raw
 from lakewarden.sources.audit import first_per
-from lakewarden.sources.contract import DEFINITION, Contract, flag_missing, merge_definitions
+from lakewarden.sources.contract import Contract, flag_missing, merge_definitions
+from lakewarden.sources.contract import definitions as contract_definitions
 
 MANIFEST = T.StructType(
     [
@@ -45,6 +46,7 @@ WRITES = T.StructType(
         T.StructField("row_count", T.LongType()),
         T.StructField("n_columns", T.IntegerType()),
         T.StructField("null_pct", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("lost", T.MapType(T.StringType(), T.LongType())),
         T.StructField("note", T.StringType()),
         T.StructField("error", T.StringType()),
     ]
@@ -60,14 +62,20 @@ def new_run_id(prefix: str) -> str:
 
 
 def scan_table(
-    spark: SparkSession, table: str, paths: str | list[str], contract: Contract
+    spark: SparkSession, table: str, paths: str | list[str], contract: Contract, losses: Observation | None = None
 ) -> DataFrame:
-    """Normalised rows of a table's raw files, cast where a contract exists."""
+    """Normalised rows of a table's raw files, cast where a contract exists.
+
+    ``losses`` counts per column, in whatever pass reads the rows, the values that a cast turns into NULL.
+    """
     if table not in contract.tables:
         return normalize_names(raw.scan_inferred(spark, paths))
-    return cast_to_contract(
-        normalize_names(raw.scan_text(spark, paths)), contract.table(table).types()
-    )
+    declared = contract.table(table).types()
+    text = normalize_names(raw.scan_text(spark, paths))
+    lost = lost_counts(text, declared)
+    if losses is not None and lost:
+        text = text.observe(losses, *[expr.alias(c) for c, expr in lost.items()])
+    return cast_to_contract(text, declared)
 
 
 def drift_items(frames: dict[str, DataFrame], contract: Contract) -> DataFrame:
@@ -127,7 +135,7 @@ def preflight(
         pinned = (i["source"], i["n_files"], i["n_bytes"], i["fingerprint"])
         if isinstance(df, Exception):
             return (run_id, seq, table, reports.FAILED, "NONE", 0, [], *pinned, None, None,
-                    str(df)[:500])
+                    str(df))
         severity, payload = drifted.get(table, ("NONE", None))
         status, note = reports.READY, None
         if table not in contract.tables:
@@ -148,6 +156,16 @@ def handoff(manifest: DataFrame) -> DataFrame:
     return first_per(blocked.select("run_id", "seq", "table", "payload"), ["run_id"], ["seq"])
 
 
+def declared_types(contract: Contract, table: str) -> dict[str, str]:
+    return contract.table(table).types() if table in contract.tables else {}
+
+
+def noted(casts: str, lost: dict[str, int], n: int) -> str:
+    """Casts of a write, and the columns that lost more than the warning share of their rows to them."""
+    over = sorted(c for c, k in lost.items() if n and k / n > WARN_SHARE)
+    return casts + (f"; values lost in {', '.join(over)}" if over else "")
+
+
 def write_table(
     spark: SparkSession,
     entry,
@@ -164,18 +182,20 @@ def write_table(
         now = raw.inputs(spark, entry["source"]).first()
         if now is None or now["fingerprint"] != entry["fingerprint"]:
             raise InputChanged(f"{table}: raw files changed since the preflight")
-        df = scan_table(spark, table, entry["source"], contract)
+        losses = Observation()
+        df = scan_table(spark, table, entry["source"], contract, losses)
         casts = ", ".join(f"{c}:{t}" for c, t in cast_summary(df))
         if dry_run:
-            return (run_id, seq, table, "DRY_RUN", 0, len(df.columns), {}, casts, "")
+            return (run_id, seq, table, "DRY_RUN", 0, len(df.columns), {}, {}, casts, "")
         if keep_schema and catalog.table_exists(spark, full):
             df = catalog.conform(df, spark.table(full).schema)
         done = catalog.replace_table(df, full, base_dir, metrics=null_counts(df))
         n = done["written_rows"]
         shares = {c: round(100.0 * k / n, 2) if n else 0.0 for c, k in done["metrics"].items()}
-        return (run_id, seq, table, "OK", n, len(df.columns), shares, casts, "")
+        lost = dict(losses.get) if any(c in df.columns and t != "string" for c, t in declared_types(contract, table).items()) else {}
+        return (run_id, seq, table, "OK", n, len(df.columns), shares, lost, noted(casts, lost, n), "")
     except Exception as failure:  # one bad table must not stop the others
-        return (run_id, seq, table, "FAILED", 0, 0, {}, "", str(failure)[:500])
+        return (run_id, seq, table, "FAILED", 0, 0, {}, {}, "", str(failure))
 
 
 def write_ready(
@@ -197,7 +217,7 @@ def write_ready(
 
     def work(entry) -> tuple:
         if not entry["_go"]:
-            return (entry["run_id"], entry["seq"], entry["table"], "SKIPPED", 0, 0, {}, "",
+            return (entry["run_id"], entry["seq"], entry["table"], "SKIPPED", 0, 0, {}, {}, "",
                     f"preflight status {entry['status']}")
         return write_table(spark, entry, contract, base_dir, database, dry_run, keep_schema)
 
@@ -254,7 +274,11 @@ def handle_drift(
     for p in plan:
         executed = updated = False
         if p["execution_strategy"] == "AUTO_APPLY_DDL":
-            executed = catalog.add_columns(spark, p["full_table"], p["sql_fix"])["executed"]
+            try:
+                executed = catalog.add_columns(spark, p["full_table"], p["sql_fix"])["executed"]
+            except Exception as failure:  # one bad statement must not lose what the others did
+                outcomes.append((p["table"], p["execution_strategy"], False, False, str(failure)))
+                continue
             updated = True
             fixed.append((p["table"], p["new_json"]))
         if p["execution_strategy"] == "METADATA_ONLY":
@@ -272,11 +296,7 @@ def handle_drift(
         ).alias("f"),
     ).select("table", "strategy", "ddl_executed", "schema_updated", "reasoning", "f.status", "f.action")
     routed = done.withColumn("route", policy.ingest_route(F.col("status")))
-    definitions = (
-        small_frame(spark, fixed, "table string, new_json string")
-        .select("table", F.explode(F.from_json("new_json", T.MapType(T.StringType(), DEFINITION))).alias("column", "d"))
-        .select("table", "column", "d.*")
-    )
+    definitions = contract_definitions(spark, fixed)
     appended = merge_definitions(versions, definitions, version).unionByName(
         flag_missing(
             versions, small_frame(spark, gone, "table string, column string, reason string"),

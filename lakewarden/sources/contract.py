@@ -236,6 +236,15 @@ def current(versions: DataFrame) -> DataFrame:
     return versions.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(versions.columns)
 
 
+def definitions(spark: SparkSession, fixed: list[tuple[str, str]]) -> DataFrame:
+    """Rows (table, column, type, phi, phi_type, masking, description) of accepted (table, definitions as JSON)."""
+    return (
+        small_frame(spark, fixed, "table string, new_json string")
+        .select("table", F.explode(F.from_json("new_json", T.MapType(T.StringType(), DEFINITION))).alias("column", "d"))
+        .select("table", "column", "d.*")
+    )
+
+
 def merge_definitions(versions: DataFrame, updates: DataFrame, version: int) -> DataFrame:
     """Rows to append for new or changed definitions.
 

@@ -5,8 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, oracle_connection
 from conftest import plan_of
-
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from workloads.registry import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +25,7 @@ def test_query(spark, small, oracle, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -45,9 +45,43 @@ def test_derived_texts_are_refused_and_numbers_pass(spark, patients):
     assert sql(spark, "SELECT count(*) AS n FROM r_patients", derived=("n",)).rows.first()[0] == 30
 
 
-def test_renamed_columns_are_refused_by_default(spark, patients):
+def test_renamed_columns_are_masked_by_their_origin(spark, patients):
+    key = fm.secret(spark, "k")
+    result = governed.govern(patients.select(F.col("first").alias("who"), F.col("first").alias("county")), CONTRACT, "analyst", key)
+    assert {tuple(r) for r in result.rows.collect()} == {("***REDACTED***", "***REDACTED***")}
     with pytest.raises(UnmappedColumns):
-        governed.govern(patients.select(F.col("first").alias("who")), CONTRACT, "analyst", fm.secret(spark, "k"))
+        governed.govern(patients.select(F.upper("first").alias("who")), CONTRACT, "analyst", key)
+
+
+@pytest.mark.parametrize("shown", ["upper(first) AS county", "cast(regexp_extract(id, '[0-9]+', 0) AS BIGINT) AS n", "length(first) AS n", "first || 'x' AS gender"])
+def test_computed_from_masked_is_refused_whatever_its_name(spark, patients, shown):
+    for options in ({}, {"derived": ("n",)}):
+        with pytest.raises((UnmappedColumns, governed.Blocked)):
+            sql(spark, f"SELECT {shown} FROM r_patients", **options)
+
+
+@pytest.mark.parametrize(
+    "statement, clear",
+    [
+        ("SELECT first FROM r_patients UNION ALL SELECT first FROM r_patients WHERE id > 'x'", False),
+        ("WITH t AS (SELECT first AS a FROM r_patients) SELECT a AS gender FROM t", False),
+        ("SELECT count(*) AS first_visits, count(DISTINCT first) AS names FROM r_patients", True),
+        ("SELECT row_number() OVER (ORDER BY first) AS place FROM r_patients", True),
+        ("-- a comment ; with 'marks\nSELECT 'UPDATE' AS note, count(*) AS n FROM r_patients", True),
+        ("SELECT (SELECT count(*) FROM r_patients) AS n", True),
+    ],
+)
+def test_statements_get_the_verdict_of_their_plan(spark, patients, statement, clear):
+    values = {v for r in sql(spark, statement).rows.collect() for v in r}
+    assert ("***REDACTED***" in values) != clear and not any(str(v).startswith("first-") for v in values)
+
+
+def test_sums_of_masked_numbers_need_a_voucher(spark):
+    people = spark.range(20).select(F.col("id").cast("string").alias("id"), (F.col("id") * 1.5).alias("first"))
+    governed.register_governed({"patients": people}, prefix="s_")
+    with pytest.raises(UnmappedColumns):
+        sql(spark, "SELECT avg(first) AS mean FROM s_patients")
+    assert sql(spark, "SELECT avg(first) AS mean FROM s_patients", derived=("mean",)).rows.first()[0] == 14.25
 
 
 def test_a_cut_result_is_never_targeted(spark, patients):
