@@ -59,15 +59,22 @@ def size_is_at_most(df: DataFrame, n: int) -> bool:
     return len(df.select(F.lit(1)).take(n + 1)) <= n
 
 
+#: Rows that a first bound of value samples is taken from.
+FIRST_ROWS = 10_000
+
+
 def sampled_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The first ``k`` distinct values of each column, as rows (column, value).
 
-    One pass over the table: values are deduplicated per input partition before the shuffle, and
-    the rank filter keeps ``k`` rows per column and partition before rows of one column meet.
+    The ``k``-th value of any rows bounds the ``k``-th of all from above. So a few rows give a bound per column, all others
+    are cut by it where they are read, and only the values left are made distinct and ranked: few reach the shuffle.
     """
-    cells = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
-    )
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    least = [F.slice(F.sort_array(F.collect_set(c)), 1, k).alias(c) for c in columns]
+    first = texts.limit(FIRST_ROWS).agg(*least).first()
+    bounds = {c: first[c][k - 1] for c in columns if len(first[c]) == k}
+    cut = [F.when(F.col(c) <= F.lit(bounds[c]), F.col(c)).alias(c) if c in bounds else F.col(c) for c in columns]
+    cells = texts.select(*cut).unpivot([], columns, "column", "value")
     distinct = cells.filter(F.col("value").isNotNull()).distinct()
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     return distinct.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")

@@ -84,8 +84,10 @@ def join_path(
 ) -> DataFrame:
     """Inner joins along a path, returning the wanted columns under unambiguous names.
 
-    Every table is cut to its keys and wanted columns before it is shuffled. ``salted`` spreads hot
-    keys of each step's right table explicitly instead of leaving them to adaptive execution.
+    Every table is cut to its keys and wanted columns before it is shuffled. Of several facts of one entity only the
+    first wanted keeps its rows; every other is reduced to its distinct rows before it meets the entity, and one that
+    nothing is wanted from only restricts it, so repeated facts don't multiply each other. ``salted`` spreads hot keys of
+    each step's right table explicitly instead of leaving them to adaptive execution.
     """
     steps = JOIN_PATHS[path] if isinstance(path, str) else path
     keys: dict[str, list[str]] = {}
@@ -107,6 +109,14 @@ def join_path(
             *[F.col(c).alias(n) for c, n in zip(columns, names)],
         )
     joined = cut[steps[0].left]
+    whole: dict[tuple[str, str], str] = {}  # the fact of each entity that keeps its rows
+    rank = list(wanted)
+    for s in sorted(steps, key=lambda s: rank.index(s.right) if s.right in wanted else len(rank)):
+        whole.setdefault((s.left, s.left_key), s.right)
+    parents = {s.left for s in steps}
+    for s in steps:
+        if whole[s.left, s.left_key] != s.right and s.right not in parents:
+            cut[s.right] = cut[s.right].distinct()
     for s in steps:
         left_key, right_key = f"_{s.left}_{s.left_key}", f"_{s.right}_{s.right_key}"
         if salted:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions import text as gates
+from lakewarden.functions.masking import pseudonym
 from lakewarden.operators.aggregates import DEFAULT_CAP, HARD_CAP
 from lakewarden.operators.mask import (
     TARGETED_ROWS,
@@ -21,7 +22,7 @@ from lakewarden.operators.mask import (
     plan_lineage,
     tagged,
 )
-from lakewarden.session import small_frame
+from lakewarden.session import path_exists, small_frame
 from lakewarden.sources import audit
 from lakewarden.sources.contract import Contract
 
@@ -177,6 +178,44 @@ def chart_series(df: DataFrame, points: int = DEFAULT_CAP) -> DataFrame:
     return df.select(F.col(f"`{x}`").alias("x"), F.col(f"`{y}`").alias("y")).orderBy("x", "y").limit(points)
 
 
+def exposures_of(audit_path: str) -> str:
+    return audit_path.rstrip("/") + "-exposures"
+
+
+EXPOSURES = "role string, entity string, run_id string"
+
+
+def entities(result: DataFrame, contract: Contract, origins: Lineage, key: Column) -> DataFrame:
+    """Distinct pseudonyms of the entities a result speaks of: by its entity columns, else by all its identifiers."""
+    own = [c for c, (t, o) in origins.items() if contract.table(t).entity_column == o]
+    spec = {c: contract.table(t).column(o) for c, (t, o) in origins.items()}
+    named = own or [c for c in origins if spec[c] and spec[c].phi_type == "DIRECT_IDENTIFIER"]
+    if not named:
+        return result.select(F.lit("").alias("entity")).limit(0)
+    value = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(sorted(named))]))
+    return result.select(pseudonym(value, key).alias("entity")).distinct()
+
+
+def within_targets(
+    result: DataFrame, contract: Contract, role: str, origins: Lineage, key: Column, path: str, run_id: str
+) -> bool:
+    """Whether the entities of a result, with all that a role has seen in clear before, stay within the targeted number.
+
+    Those that do are entered in the log, so pages of one list add up however each is cut.
+    """
+    spark = result.sparkSession
+    fresh = entities(result, contract, origins, key)
+    seen = fresh.limit(0)
+    if path_exists(spark, path):
+        seen = spark.read.schema(EXPOSURES).parquet(path).filter(F.col("role") == role).select("entity")
+    added = [r["entity"] for r in fresh.join(seen, "entity", "left_anti").collect()]  # TARGETED_ROWS at most
+    if seen.distinct().count() + len(added) > TARGETED_ROWS:
+        return False
+    if added:
+        audit.append(small_frame(spark, [(role, e, run_id) for e in added], EXPOSURES), path)
+    return True
+
+
 def govern(
     df: DataFrame,
     contract: Contract,
@@ -193,6 +232,7 @@ def govern(
 ) -> GovernedResult:
     """Cap, mask and log one result.
 
+    With an ``audit_path``, results for a role that may see few entities count together: a further page is masked.
     At most the hard cap plus one row is taken, partition by partition until there are enough, and
     everything after that (size probe, credibility, masking) works on those rows: the query runs once
     and no further than it must, however expensive it is.
@@ -205,6 +245,8 @@ def govern(
     result, n, truncated = bounded(df, cap)
     # a result that was cut says nothing about how many it speaks of
     targeted = contract.role(role).phi_access == "TARGETED_ONLY" and not truncated and n <= TARGETED_ROWS
+    if targeted and audit_path:
+        targeted = within_targets(result, contract, role, origins, key, exposures_of(audit_path), run_id)
     verdict = judge(result, is_count).first()
     masked = apply_masks(result, contract, role, key, origins, targeted, hidden=hidden)
     if audit_path:

@@ -11,14 +11,13 @@ import datetime as dt
 import hashlib
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.operators import policy, reports
 from lakewarden.plans import ingest
-from lakewarden.session import small_frame
+from lakewarden.session import path_exists, small_frame
 from lakewarden.sources import audit, catalog
 from lakewarden.sources import contract as contracts
 from lakewarden.sources.contract import Contract
@@ -52,13 +51,10 @@ class Steps:
     def __init__(self, spark: SparkSession, path: str, run_id: str):
         self.spark, self.path, self.run_id = spark, path, run_id
         self.done: dict[tuple[str, str], dict] = {}
-        try:
+        if path_exists(spark, path):
             rows = spark.read.schema(audit.STEP_ROWS).parquet(path).filter(F.col("run_id") == run_id)
             for r in rows.collect():  # one small row per table and step of this run
                 self.done[r["table"], r["step"]] = json.loads(r["payload"])
-        except AnalysisException as failure:
-            if failure.getCondition() != "PATH_NOT_FOUND":
-                raise
 
     def key(self, table: str, step: str, given: object) -> str:
         return hashlib.sha256(json.dumps([self.run_id, table, step, given]).encode()).hexdigest()

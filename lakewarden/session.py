@@ -53,6 +53,11 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """A handful of driver-side rows as a local relation: no Python worker and no task to read it."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

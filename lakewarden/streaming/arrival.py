@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lakewarden.functions.casting import cast_to_contract, normalize_names
 from lakewarden.functions.types import SPARK_TYPES
 from lakewarden.operators import drift as drift_ops
-from lakewarden.session import small_frame
+from lakewarden.session import path_exists, small_frame
 from lakewarden.sources import catalog, raw
 from lakewarden.sources.contract import Contract
 
@@ -84,12 +83,9 @@ def ledger_dir(log_dir: str) -> str:
 
 def ledger(spark: SparkSession, log_dir: str) -> DataFrame:
     """The last word on every file; no rows before the first batch."""
-    try:
-        rows = spark.read.schema(LEDGER).parquet(ledger_dir(log_dir))
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, ledger_dir(log_dir)):
         return small_frame(spark, [], LEDGER)
+    rows = spark.read.schema(LEDGER).parquet(ledger_dir(log_dir))
     rank = F.when(F.col("status") == WRITTEN, 1).otherwise(0)  # nothing undoes a write
     last = F.max_by(F.struct("batch_id", "table", "header", "status", "reason"), F.struct(rank, F.abs("batch_id")))
     return rows.groupBy("path").agg(last.alias("last")).select("path", "last.*")

@@ -84,6 +84,23 @@ def test_sums_of_masked_numbers_need_a_voucher(spark):
     assert sql(spark, "SELECT avg(first) AS mean FROM s_patients", derived=("mean",)).rows.first()[0] == 14.25
 
 
+def test_pages_of_targeted_results_add_up(spark, patients, tmp_path):
+    role = next(r for r in CONTRACT.roles if CONTRACT.role(r).phi_access == "TARGETED_ONLY")
+    key, log = fm.secret(spark, "k"), f"{tmp_path}/log"
+
+    def page(limit, offset):
+        statement = f"SELECT id, first FROM r_patients ORDER BY id LIMIT {limit} OFFSET {offset}"
+        result = governed.governed_sql(spark, statement, CONTRACT, role, key, audit_path=log, run_id=f"{offset}")
+        return result.targeted, {r["first"] for r in result.rows.collect()} == {"***REDACTED***"}
+
+    assert page(6, 0) == (True, False)
+    assert page(6, 0) == (True, False)  # the same entities again
+    assert page(4, 6) == (True, False)  # ten in all
+    assert page(1, 10) == (False, True)
+    assert page(10, 10) == (False, True)
+    assert page(10, 0) == (True, False)
+
+
 def test_a_cut_result_is_never_targeted(spark, patients):
     for role in CONTRACT.roles:
         if CONTRACT.role(role).phi_access == "TARGETED_ONLY":

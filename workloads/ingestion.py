@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions import casting
 from lakewarden.operators import quality, reports
-from lakewarden.plans import ingest
+from lakewarden.plans import ingest, routes
 from lakewarden.plans.domain import clinical_contract
 from lakewarden.session import new_scratch, small_frame
 from lakewarden.sources import audit, catalog, raw
 from lakewarden.sources import contract as contracts
 from lakewarden.sources.contract import ColumnSpec, Contract, TableSpec
+from lakewarden.sources.versions import VersionedTable
 from lakewarden.streaming.arrival import start_arrivals
 from workloads.contract import CONTRACT
 from workloads.registry import dates_as_text, load, query
@@ -668,6 +669,107 @@ def file_arrival(spark, sf):
     return dates_as_text(spark.read.parquet(f"{target}/orders").drop("batch_id"))
 
 
+@query(
+    "file_arrival_late",
+    """SELECT o_orderkey, o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderstatus,
+      CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+)
+def file_arrival_late(spark, sf):
+    # files with a column that the contract lacks wait in the ledger, and come in once it has grown
+    folder = new_scratch(spark, "raw")
+    o = load(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    plain = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"]
+    late = F.col("o_orderkey") % 4 == 0
+    o.filter(~late).select(plain).write.option("header", True).csv(f"{folder}/orders.csv")
+    o.filter(late).select(*plain, "o_orderpriority").write.option("header", True).mode("append").csv(f"{folder}/orders.csv")
+    target, log, mark = (new_scratch(spark, x) for x in ("arrived", "arrival-log", "arrival-state"))
+    spec = RAW.table("orders")
+    grown = Contract({"orders": TableSpec("orders", (*spec.columns, ColumnSpec("o_orderpriority")), spec.entity_column)})
+    for contract in (RAW, RAW, grown, grown):
+        start_arrivals(spark, folder, contract, target, log, mark).awaitTermination()
+    rows = spark.read.option("mergeSchema", True).parquet(f"{target}/orders")
+    return dates_as_text(rows.select(*plain, "o_orderpriority"))
+
+
+@query(
+    "ingest_routes",
+    """SELECT 'customer' AS "table", 'write' AS route, 'OK' AS status, count(*) AS n_rows, 0::BIGINT AS lost FROM customer
+      UNION ALL SELECT 'orders', 'rerun', 'OK', count(*), count(*) FILTER (o_orderkey % 11 = 0) FROM orders
+      UNION ALL SELECT 'events', 'write_keeping_schema', 'OK', count(*), 0 FROM events
+      UNION ALL SELECT 'absent', 'skip', 'SKIPPED', 0, 0""",
+)
+def ingest_routes(spark, sf):
+    # a clean table, one with a new column, one that lost a column, one without a file; called twice, done once
+    folder, base, audit_dir = raw_folder(spark, sf, "customer", "events"), new_scratch(spark, "tables"), new_scratch(spark, "audit")
+    o = _exports(spark, sf)["orders"].withColumn("note", F.lit("n"))
+    o.write.option("header", True).csv(f"{folder}/orders.csv")
+    database = _table_name()
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{base}/catalog'")
+    try:
+        for _ in range(2):
+            out = routes.run(spark, folder, RAW, ["customer", "orders", "events", "absent"], base, audit_dir, database, "r1", dt.datetime(2024, 2, 1))
+        written = {t: spark.table(f"{database}.{t}").inputFiles()[0].rsplit("/", 1)[0] for t in ("customer", "orders", "events")}
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+    lost = F.aggregate(F.map_values("lost"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    counted = None
+    for t, path in written.items():
+        n = spark.read.parquet(path).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("t"), "n_rows")
+        counted = n if counted is None else counted.unionByName(n)
+    said = small_frame(spark, [(r["table"], r["route"], r["status"], r["l"]) for r in out.select("table", "route", "status", lost.alias("l")).collect()],
+                       "table string, route string, status string, lost long")
+    return said.join(counted, F.col("table") == F.col("t"), "left").select("table", "route", "status", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "lost")
+
+
+@query(
+    "mixed_headers",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS c_mktsegment FROM customer
+      UNION ALL SELECT 'c_custkey', 'c_name', NULL""",
+)
+def mixed_headers(spark, sf):
+    # parts with other columns, orders and cases of names come together by name; a data row like a header stays
+    path, c = new_scratch(spark, "raw") + "/customer.csv", load(spark, sf, "customer")
+    k = F.col("c_custkey") % 3
+    text = [F.col(x).cast("string").alias(x) for x in ("c_custkey", "c_name")]
+    like_header = small_frame(spark, [("c_custkey", "c_name")], "c_custkey string, c_name string")
+    c.filter(k == 0).select(text).unionByName(like_header).write.option("header", True).csv(path)
+    c.filter(k == 1).select(F.col("c_name").alias("C_Name"), F.col("c_custkey").alias("C_CUSTKEY")).write.option("header", True).mode("append").csv(path)
+    c.filter(k == 2).select("c_mktsegment", "c_custkey", "c_name").write.option("header", True).mode("append").csv(path)
+    rows = raw.scan_by_name(spark, path)
+    have = {n.lower(): n for n in rows.columns}
+    return rows.select(*[F.col(have[n]).alias(n) for n in ("c_custkey", "c_name", "c_mktsegment")])
+
+
+@query(
+    "scan_inferred_stray",
+    """SELECT CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'AB-777' ELSE CAST(o_custkey AS VARCHAR) END AS customer,
+      o_orderkey::BIGINT AS number, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders""",
+)
+def scan_inferred_stray(spark, sf):
+    # one value among all that no sample shows keeps its text, and its column with it
+    path, o = new_scratch(spark, "raw") + "/orders.csv", load(spark, sf, "orders")
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    stray = F.when(F.col("o_orderkey") == last, F.lit("AB-777")).otherwise(F.col("o_custkey").cast("string"))
+    o.select(stray.alias("customer"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").cast("date").alias("day")).write.option("header", True).csv(path)
+    df = raw.scan_inferred(spark, path, sample=0.01)
+    return dates_as_text(df.select("customer", F.col("number").cast("bigint").alias("number"), F.col("day").cast("date").alias("day")))
+
+
+@query(
+    "versioned_replace",
+    """SELECT o_orderkey, o_orderstatus AS state, 'new' AS load FROM orders
+      UNION ALL SELECT o_custkey, CAST(o_orderkey AS VARCHAR), 'old' FROM orders WHERE o_orderstatus = 'F'""",
+)
+def versioned_replace(spark, sf):
+    # a reader of the old version goes on with its columns after the new one is in place
+    o, table = load(spark, sf, "orders"), VersionedTable(spark, new_scratch(spark, "versioned"))
+    table.write(o.filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey"))
+    old = table.read()
+    table.write(o.select("o_orderkey", F.col("o_orderstatus").alias("state")))
+    kept = old.select(F.col("o_custkey").alias("o_orderkey"), F.col("o_orderkey").cast("string").alias("state"), F.lit("old").alias("load"))
+    return table.read().withColumn("load", F.lit("new")).unionByName(kept)
+
+
 # ---------------------------------------------------------------- manifests and audit rows over orders
 
 PRIORITY = "o_orderpriority"

@@ -252,7 +252,6 @@ def cohort_semi_join(spark, sf):
 )
 def join_path_resolver(spark, sf):
     frames = clinical.frames(spark, sf, "patients", "encounters", "allergies")
-    frames["allergies"] = frames["allergies"].select("patient", "description").distinct()
     steps = joins.resolve_path(["patients", "allergies", "encounters"])
     return joins.join_path(
         steps, frames,

@@ -8,10 +8,14 @@ from lakewarden.functions import masking as fm
 from lakewarden.functions import text as gates
 from lakewarden.operators import policy
 from lakewarden.plans import governed
+from lakewarden.sources.contract import ColumnSpec, Contract, TableSpec
 from workloads import masking as masking_queries
 from workloads.contract import CONTRACT
 from workloads.registry import dates_as_text, load, query
 
+#: The contract with the nations as an open table.
+OPEN = Contract({**CONTRACT.tables, "nation": TableSpec("nation", (ColumnSpec("n_nationkey", "int"), ColumnSpec("n_name")))}, CONTRACT.roles)
+
 
 def _pick(values, index):
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
@@ -325,3 +329,53 @@ def governed_sql_aliases(spark, sf):
         spark, statement, CONTRACT, "analyst", fm.secret(spark, masking_queries.KEY), derived=("n_orders",)
     )
     return result.rows
+
+
+@query(
+    "governed_union",
+    f"""SELECT {masking_queries.uuid_sql('c_custkey')} AS who, '***REDACTED***' AS c_nationkey FROM
+      (SELECT c_custkey FROM customer WHERE c_acctbal >= 5000 UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
+)
+def governed_union(spark, sf):
+    # branches of one origin are masked by it, under whatever name the first one gives
+    governed.register_governed({"customer": load(spark, sf, "customer")}, "governed_")
+    statement = """SELECT c_custkey AS who, c_name AS c_nationkey FROM governed_customer WHERE c_acctbal >= 5000
+    UNION ALL SELECT c_custkey, c_name FROM governed_customer WHERE c_acctbal < 0 -- ; one statement"""
+    result = governed.governed_sql(
+        spark, statement, CONTRACT, "analyst", fm.secret(spark, masking_queries.KEY), limit=governed.HARD_CAP
+    )
+    return result.rows
+
+
+@query(
+    "governed_derived",
+    """SELECT n_name AS nation, count(*) AS n, count(DISTINCT c_name) AS names, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS cents, 'UPDATE of ' || n_name AS note
+      FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+)
+def governed_derived(spark, sf):
+    # counts and what is made of open columns pass, sums of masked ones are vouched for
+    governed.register_governed({"customer": load(spark, sf, "customer")}, "governed_")
+    load(spark, sf, "nation").createOrReplaceTempView("open_nation")
+    statement = """/* counts ' */ SELECT n_name AS nation, count(*) AS n, count(DISTINCT c_name) AS names, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS cents,
+      concat('UPDATE of ', n_name) AS note
+    FROM governed_customer JOIN open_nation ON c_nationkey = n_nationkey GROUP BY n_name"""
+    result = governed.governed_sql(
+        spark, statement, OPEN, "analyst", fm.secret(spark, masking_queries.KEY), derived=("cents",)
+    )
+    return result.rows
+
+
+@query(
+    "governed_renamed",
+    f"""SELECT {masking_queries.uuid_sql('o_custkey')} AS o_orderstatus, {masking_queries.shifted_sql('last', 'o_custkey')} AS o_orderpriority
+      FROM (SELECT o_custkey, o_orderdate AS last FROM orders WHERE o_orderkey % 50 = 0 ORDER BY o_orderkey LIMIT 10000)""",
+)
+def governed_renamed(spark, sf):
+    # origins follow columns through names, subqueries and windows
+    governed.register_governed({"orders": load(spark, sf, "orders")}, "governed_")
+    statement = """WITH t AS (SELECT o_custkey AS a, o_orderdate AS b, o_orderkey AS k FROM governed_orders WHERE o_orderkey % 50 = 0)
+    SELECT x.a AS o_orderstatus, x.b AS o_orderpriority FROM (SELECT a, b, k FROM t) x ORDER BY x.k"""
+    result = governed.governed_sql(
+        spark, statement, CONTRACT, "analyst", fm.secret(spark, masking_queries.KEY), limit=governed.HARD_CAP
+    )
+    return dates_as_text(result.rows)
