@@ -81,7 +81,8 @@ def added_columns(sql: Column) -> Column:
         ),
     )
     found = F.filter(names, lambda n: n != "")
-    return F.coalesce(found, F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.when(sql.rlike(r"(?i)ADD\s+COLUMN"), F.coalesce(found, none)).otherwise(none)  # most texts have no clause to take apart
 
 
 def definition_map(new_json: Column) -> Column:

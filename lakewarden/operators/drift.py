@@ -66,6 +66,14 @@ def schema_diff(contract: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
+def common_columns(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """(table, column) that both sides have; grouped like the diff, so duplicates melt before the shuffle."""
+    sides = stacked(contract, observed).groupBy("table", "column").agg(
+        F.count("expected_type").alias("_declared"), F.count("incoming_type").alias("_arrived")
+    )
+    return sides.filter("_declared > 0 and _arrived > 0").select("table", "column")
+
+
 def item_severity(drift: Column, is_phi: Column) -> Column:
     return (
         F.when(drift == "new", F.lit("WARNING"))

@@ -26,15 +26,15 @@ def salted_join(
 ) -> DataFrame:
     """Inner equi-join that spreads each hot key of ``big`` over ``salts`` buckets.
 
-    Only hot keys are salted: their ``big`` rows by a hash of the whole row (stable when a task is
-    run again), their ``other`` rows once per salt. The hot list has under ``shares`` rows, which is
-    what makes broadcasting it safe at any data size. ``other`` must not be hot itself.
+    Only hot keys are salted: their ``big`` rows by a hash of the whole row and its place in the scan (stable when a task
+    is run again, and equal rows part too), their ``other`` rows once per salt. The hot list has under ``shares`` rows,
+    which is what makes broadcasting it safe at any data size. ``other`` must not be hot itself.
     """
     hot = hot_keys(big.filter(F.col(big_key).isNotNull()), big_key, shares)
     big_hot = hot.select(F.col(big_key).alias("_hot"))
     left = big.join(F.broadcast(big_hot), F.col(big_key) == F.col("_hot"), "left").withColumn(
         "_salt",
-        F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+        F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*big.columns, F.monotonically_increasing_id()), F.lit(salts)))
         .otherwise(F.lit(0))
         .cast("int"),
     )

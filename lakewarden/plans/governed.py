@@ -273,6 +273,24 @@ def fetch(df: DataFrame, limit: int | None = None):
     return table.replace_schema_metadata({**(table.schema.metadata or {}), b"truncated": str(truncated).lower().encode()})
 
 
+def ask(
+    spark: SparkSession, question: str, statement: str, contract: Contract, role: str, key: Column, **options
+) -> tuple[GovernedResult, bool]:
+    """A question and the statement that answers it: (result, whether rows rather than a figure are asked for).
+
+    A destructive question is refused before its statement is looked at. The number of rows that the question names is the
+    result's limit, below the hard cap.
+    """
+    q = F.col("q")
+    said = small_frame(spark, [(question,)], "q string").select(
+        gates.is_destructive_question(q), gates.requested_limit(q), gates.asks_for_table(q)
+    ).first()
+    if said[0]:
+        raise Blocked("the question asks for a change")
+    result = governed_sql(spark, statement, contract, role, key, limit=options.pop("limit", None) or said[1], **options)
+    return result, bool(said[2])
+
+
 def register_governed(frames: dict[str, DataFrame], prefix: str = "") -> None:
     """Temporary views of the contract's tables whose columns carry their origin."""
     for table, df in frames.items():

@@ -127,27 +127,28 @@ def preflight(
     }
     drifted = drift_by_table(spark, checked, contract)
 
-    def row(seq: int, table: str) -> tuple:
-        if table not in inputs:
-            return (run_id, seq, table, reports.SKIPPED, "NONE", 0, [], None, 0, 0, None, None, None,
-                    f"no file {table}.csv in {raw_dir}")
-        i, df = inputs[table], opened[table]
-        pinned = (i["source"], i["n_files"], i["n_bytes"], i["fingerprint"])
-        if isinstance(df, Exception):
-            return (run_id, seq, table, reports.FAILED, "NONE", 0, [], *pinned, None, None,
-                    str(df))
-        severity, payload = drifted.get(table, ("NONE", None))
-        status, note = reports.READY, None
-        if table not in contract.tables:
-            note = "no contract; drift not checked"
-        elif severity == "CRITICAL" and on_critical == "halt":
-            status, note = reports.BLOCKED, "needs remediation before writing"
-        elif severity == "CRITICAL":
-            note = "critical drift let through by fallback mode"
-        return (run_id, seq, table, status, severity, len(df.columns), df.columns, *pinned,
-                payload, note, None)
-
-    return small_frame(spark, [row(n, t) for n, t in enumerate(tables)], MANIFEST)
+    def facts(seq: int, table: str) -> tuple:
+        i, df = inputs.get(table), opened.get(table)
+        pinned = (i["source"], i["n_files"], i["n_bytes"], i["fingerprint"]) if i else (None, 0, 0, None)
+        failed = str(df) if isinstance(df, Exception) else None if i else f"no file {table}.csv in {raw_dir}"
+        severity, payload = ("NONE", None) if failed else drifted.get(table, ("NONE", None))
+        columns = [] if failed else df.columns
+        return (run_id, seq, table, i is not None, severity, len(columns), columns, *pinned, payload, failed, table in contract.tables)
+
+    fields = [f for f in MANIFEST if f.name not in ("status", "note")]
+    fields.insert(3, T.StructField("_found", T.BooleanType()))
+    known = T.StructField("_known", T.BooleanType())
+    rows = small_frame(spark, [facts(n, t) for n, t in enumerate(tables)], T.StructType([*fields, known]))
+    # one rule for the status of a table, here and wherever manifests are made
+    error = F.when(F.col("_found"), F.col("error"))
+    status = reports.preflight_status(F.col("_found"), error, F.col("severity"), F.lit(on_critical))
+    note = (
+        F.when(status == reports.BLOCKED, F.lit("needs remediation before writing"))
+        .when(F.col("error").isNotNull(), F.lit(None).cast("string"))
+        .when(~F.col("_known"), F.lit("no contract; drift not checked"))
+        .when(F.col("severity") == "CRITICAL", F.lit("critical drift let through by fallback mode"))
+    )
+    return rows.select(*[{"status": status, "note": note}.get(f.name, F.col(f.name)).alias(f.name) for f in MANIFEST])
 
 
 def handoff(manifest: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ class Steps:
             return before["result"]
         kept = {"key": key, "result": work()}
         row = (self.run_id, step, table, dt.datetime.now(dt.timezone.utc), json.dumps(kept))
-        small_frame(self.spark, [row], audit.STEP_ROWS).write.mode("append").parquet(self.path)
+        # a folder per step: writers of several tables don't share one output folder
+        small_frame(self.spark, [row], audit.STEP_ROWS).write.mode("overwrite").parquet(f"{self.path}/key={key}")
         self.done[table, step] = kept
         return kept["result"]
 

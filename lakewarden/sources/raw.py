@@ -62,6 +62,18 @@ def wanted_tables(request: DataFrame, column: str, known: DataFrame) -> DataFram
     return items.filter(F.col("table") != "all").unionByName(everything).distinct()
 
 
+def with_kind(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` (table) with ``kind``: known where ``known`` (table) has the name, else unknown."""
+    names = known.select(F.lower("table").alias("_known")).distinct()
+    kind = F.when(F.col("_known").isNotNull(), F.lit("known")).otherwise(F.lit("unknown"))
+    return found.join(names, F.lower("table") == F.col("_known"), "left").withColumn("kind", kind).drop("_known")
+
+
+def without_source(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Wanted tables (table) that have no raw source."""
+    return with_kind(wanted, found).filter("kind = 'unknown'").drop("kind")
+
+
 def parse_table_filter(text: str, every: list[str]) -> list[str]:
     """The same rule for the single parameter of a job."""
     named = [t.strip().lower() for t in text.split(",") if t.strip()]

@@ -12,6 +12,7 @@ from lakewarden.functions.types import types_compatible
 from lakewarden.operators import drift, policy
 from lakewarden.operators.mask import sensitive_columns
 from lakewarden.sources import contract as contracts
+from lakewarden.sources import raw
 from workloads import feeds
 from workloads.registry import load, query
 
@@ -105,9 +106,7 @@ def missing_columns(spark, sf):
 )
 def common_columns(spark, sf):
     lines = feeds.observations(spark, sf)
-    return feeds.declared(lines).select("table", "column").intersect(
-        feeds.observed(lines).select("table", "column")
-    )
+    return drift.common_columns(feeds.declared(lines), feeds.observed(lines))
 
 
 @query(
@@ -118,14 +117,8 @@ def common_columns(spark, sf):
 )
 def known_unknown_tables(spark, sf):
     found = load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("table"))
-    known = (
-        load(spark, sf, "orders").filter("o_orderstatus = 'F'")
-        .select(F.col("o_custkey").cast("string").alias("k")).distinct()
-    )
-    on = F.col("table") == F.col("k")
-    return found.join(known, on, "left_semi").withColumn("kind", F.lit("known")).unionByName(
-        found.join(known, on, "left_anti").withColumn("kind", F.lit("unknown"))
-    )
+    known = load(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("table"))
+    return raw.with_kind(found, known)
 
 
 @query(

@@ -157,10 +157,7 @@ def table_list_filter(spark, sf):
 def requested_missing(spark, sf):
     known = raw.discover(spark, raw_folder(spark, sf)).select("table").distinct()
     wanted = raw.wanted_tables(_requests(spark, sf), "wanted", known)
-    have = known.select(F.col("table").alias("t"))
-    return wanted.join(have, F.col("table") == F.col("t"), "left_anti").withColumn(
-        "status", F.lit(reports.SKIPPED)
-    )
+    return raw.without_source(wanted, known).withColumn("status", F.lit(reports.SKIPPED))
 
 
 @query(

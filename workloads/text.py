@@ -379,3 +379,19 @@ def governed_renamed(spark, sf):
         spark, statement, CONTRACT, "analyst", fm.secret(spark, masking_queries.KEY), limit=governed.HARD_CAP
     )
     return dates_as_text(result.rows)
+
+
+@query(
+    "governed_question",
+    f"""SELECT {masking_queries.uuid_sql('c_custkey')} AS c_custkey, n_orders, true AS wants_table FROM (SELECT c_custkey, count(*) AS n_orders
+      FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1 ORDER BY n_orders DESC, c_custkey LIMIT 7)""",
+)
+def governed_question(spark, sf):
+    # the limit comes from the question, the gate stands in front of both
+    governed.register_governed({t: load(spark, sf, t) for t in ("customer", "orders")}, "governed_")
+    statement = """SELECT c_custkey, count(*) AS n_orders FROM governed_customer JOIN governed_orders ON c_custkey = o_custkey
+    GROUP BY c_custkey ORDER BY n_orders DESC, c_custkey"""
+    result, table = governed.ask(
+        spark, "Show the top 7 customers by orders", statement, CONTRACT, "analyst", fm.secret(spark, masking_queries.KEY)
+    )
+    return result.rows.withColumn("wants_table", F.lit(table))
