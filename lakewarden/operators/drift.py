@@ -54,7 +54,11 @@ def _on_both_sides() -> Column:
 
 def schema_diff(contract: DataFrame, observed: DataFrame) -> DataFrame:
     """One row per drifted column of the tables that have both a contract and arrivals."""
-    both = stacked(contract, observed)
+    return stacked_diff(stacked(contract, observed))
+
+
+def stacked_diff(both: DataFrame) -> DataFrame:
+    """``schema_diff`` of a stacked frame, for sides that come from one pass."""
     # per table only two counters are kept, combined before the shuffle
     comparable = (
         both.groupBy(F.col("table").alias("_t")).agg(_on_both_sides().alias("_both")).filter("_both")
@@ -108,7 +112,12 @@ def drift_counts(contract: DataFrame, observed: DataFrame) -> DataFrame:
 
     Two aggregations and no join.
     """
-    pairs = column_pairs(stacked(contract, observed)).withColumn("drift", pair_drift())
+    return stacked_counts(stacked(contract, observed))
+
+
+def stacked_counts(both: DataFrame) -> DataFrame:
+    """``drift_counts`` of a stacked frame."""
+    pairs = column_pairs(both).withColumn("drift", pair_drift())
     counted = pairs.groupBy("table").agg(
         F.count_if(F.col("drift") == "new").alias("n_new"),
         F.count_if(F.col("drift") == "missing").alias("n_missing"),

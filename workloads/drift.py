@@ -66,12 +66,11 @@ def _items_of(lines):
 
 
 def _items(spark, sf):
-    return _items_of(feeds.observations(spark, sf))
+    return drift.stacked_diff(feeds.sides(spark, sf))
 
 
 def _counts(spark, sf):
-    lines = feeds.observations(spark, sf)
-    return drift.drift_counts(feeds.declared(lines), feeds.observed(lines))
+    return drift.stacked_counts(feeds.sides(spark, sf))
 
 
 @query(

@@ -60,6 +60,16 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(lines.schema).parquet(path)
 
 
+def sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides below each other, as ``drift.stacked`` makes them, from one pass over the lines and without a write."""
+    none = F.lit(None).cast("string")
+    incoming = F.when(F.col("most") == 50, F.lit("binary")).otherwise(_of_kind(1))
+    old = F.struct(_of_kind(0).alias("expected_type"), F.col("kind").isin(*SENSITIVE).alias("is_phi"), none.alias("incoming_type"))
+    new = F.struct(none.alias("expected_type"), F.lit(None).cast("boolean").alias("is_phi"), incoming.alias("incoming_type"))
+    rows = F.filter(F.array(F.when(F.col("n_declared") > 0, old), F.when(F.col("n_observed") > 0, new)), lambda r: r.isNotNull())
+    return _lines(spark, sf).select("table", "column", F.inline(rows))
+
+
 def declared(lines: DataFrame) -> DataFrame:
     return lines.filter("n_declared > 0").select(
         "table", "column", _of_kind(0).alias("type"), F.col("kind").isin(*SENSITIVE).alias("phi")

@@ -276,7 +276,7 @@ def mask_renamed_columns(spark, sf):
     ),
 )
 def mask_clinical_patients(spark, sf):
-    people = clinical.patients(spark, sf)
+    people = mask.tagged(clinical.patients(spark, sf), "patients")
     return dates_as_text(
         mask.mask_result(people, clinical_contract(), "analyst", fm.secret(spark, KEY))
     )
