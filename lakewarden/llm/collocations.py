@@ -19,6 +19,7 @@ with the phrase itself, which is unique. Empty tables, and tables without a freq
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +58,26 @@ def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def packed(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers as bytes, first bytes first, which lie close to each other and compress well."""
+    return zlib.compress(np.ascontiguousarray(numbers, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def _longs(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<i8")
+    return unpacked(blob, "<i8")
 
 
-def _gaps(places: np.ndarray) -> bytes:
-    return np.diff(places, prepend=0).astype("<u4").tobytes()
+def _steps(ascending: np.ndarray, kind: str = "<u4") -> bytes:
+    """Ascending numbers by their differences."""
+    return packed(np.diff(ascending, prepend=0), kind)
 
 
-def _places(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, "<u4").astype(np.int64))
+def _stepped(blob: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.cumsum(unpacked(blob, kind).astype(np.int64))
 
 
 BLOCK = "block long, lang string, n_all long, groups long, gaps binary, local binary, counts binary"
@@ -83,8 +94,8 @@ def occurrences(spark: SparkSession, docs: DataFrame) -> DataFrame:
         places = np.flatnonzero(local)
         local = local[places] - 1  # number 0 is the break
         words = list(vocabulary)[1:]
-        counts = np.bincount(local, minlength=len(words)).astype("<i8")
-        row = (number, lang, int(places.size), len(words), _gaps(places), local.astype("<u4").tobytes(), counts.tobytes(), b"\n".join(words))
+        counts = np.bincount(local, minlength=len(words))
+        row = (number, lang, int(places.size), len(words), _steps(places), packed(local, "<u4"), packed(counts, "<i8"), zlib.compress(b"\n".join(words), 1))
         return pd.DataFrame([row], columns=["block", "lang", "n_all", "groups", "gaps", "local", "counts", "words"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +141,7 @@ _NAMES = ["block", "lang", "local", "gid", "f", "a", "b", "words"]
 def _answers(blocks: np.ndarray, local: np.ndarray, gid: np.ndarray) -> list[tuple]:
     """Rows that tell every block the numbers of its frequent groups."""
     return [
-        (int(blocks[rows[0]]), None, local[rows].astype("<u4").tobytes(), gid[rows].tobytes(), None, None, None, None)
+        (int(blocks[rows[0]]), None, packed(local[rows], "<u4"), packed(gid[rows], "<i8"), None, None, None, None)
         for _, rows in _by_range(np.unique(blocks, return_inverse=True)[1])
     ]
 
@@ -142,11 +153,13 @@ def frequent_words(spark: SparkSession, blocks: DataFrame, least: int) -> DataFr
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, lang, counts, words in zip(batch["block"], batch["lang"], batch["counts"], batch["words"]):
-                words, counts = words.split(b"\n") if words else [], _longs(counts)
+                words, counts = zlib.decompress(words).split(b"\n"), _longs(counts)
+                if not counts.size:
+                    continue
                 which = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in words), np.int64, len(words))
                 yield pd.DataFrame(
                     [
-                        (r, number, lang, b"\n".join([words[i] for i in rows]), rows.astype("<u4").tobytes(), counts[rows].tobytes())
+                        (r, number, lang, zlib.compress(b"\n".join([words[i] for i in rows]), 1), _steps(rows), packed(counts[rows], "<i8"))
                         for r, rows in _by_range(which)
                     ],
                     columns=["range", "block", "lang", "words", "local", "counts"],
@@ -156,7 +169,7 @@ def frequent_words(spark: SparkSession, blocks: DataFrame, least: int) -> DataFr
         out, base = [], key[0] << 32
         for lang, mine in group.groupby("lang"):
             total = Numbering()
-            lists = [w.split(b"\n") for w in mine["words"]]
+            lists = [zlib.decompress(w).split(b"\n") for w in mine["words"]]
             ids = np.concatenate([np.fromiter(map(total.__getitem__, w), np.int64, len(w)) for w in lists])
             f = np.bincount(ids, weights=np.concatenate([_longs(c) for c in mine["counts"]]).astype(np.float64)).astype("<i8")
             names = list(total)
@@ -166,9 +179,9 @@ def frequent_words(spark: SparkSession, blocks: DataFrame, least: int) -> DataFr
             base += len(chosen)
             if not chosen:
                 continue
-            out.append((-1, lang, None, gid[chosen].tobytes(), f[chosen].tobytes(), None, None, b"\n".join(names[i] for i in chosen)))
+            out.append((-1, lang, None, packed(gid[chosen], "<i8"), packed(f[chosen], "<i8"), None, None, zlib.compress(b"\n".join(names[i] for i in chosen), 1)))
             blocks_ = np.repeat(mine["block"].to_numpy(np.int64), [len(w) for w in lists])
-            local = np.concatenate([np.frombuffer(x, "<u4") for x in mine["local"]])
+            local = np.concatenate([_stepped(x) for x in mine["local"]])
             hit = gid[ids] >= 0
             out += _answers(blocks_[hit], local[hit], gid[ids][hit])
         return pd.DataFrame(out, columns=_NAMES)
@@ -186,16 +199,17 @@ def _range_of(a: np.ndarray, b: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def frequent_pairs(spark: SparkSession, blocks: DataFrame, least: int, label: str) -> DataFrame:
-    """As ``frequent_words``, of groups that are pairs of numbers (``a``, ``b``)."""
+    """As ``frequent_words``, of groups that are pairs of frequent ones: ``pairs`` of places in the block's ``gids``."""
     ranges = _ranges(blocks)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, lang, counts, a, b in zip(batch["block"], batch["lang"], batch["counts"], batch["a"], batch["b"]):
-                counts, a, b = _longs(counts), _longs(a), _longs(b)
+            for number, lang, counts, pairs, gids in zip(*[batch[c] for c in ("block", "lang", "counts", "pairs", "gids")]):
+                counts, pairs, gids = _longs(counts), _stepped(pairs, "<i8"), _longs(gids)
+                a, b = gids[pairs // max(1, gids.size)], gids[pairs % max(1, gids.size)]
                 yield pd.DataFrame(
                     [
-                        (r, number, lang, a[rows].tobytes(), b[rows].tobytes(), rows.astype("<u4").tobytes(), counts[rows].tobytes())
+                        (r, number, lang, packed(a[rows], "<i8"), packed(b[rows], "<i8"), _steps(rows), packed(counts[rows], "<i8"))
                         for r, rows in _by_range(_range_of(a, b, ranges))
                     ],
                     columns=["range", "block", "lang", "a", "b", "local", "counts"],
@@ -204,7 +218,8 @@ def frequent_pairs(spark: SparkSession, blocks: DataFrame, least: int, label: st
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out, base = [], key[0] << 32
         for lang, mine in group.groupby("lang"):
-            a, b, n = (np.concatenate([_longs(x) for x in mine[c]]) for c in ("a", "b", "counts"))
+            lists = [_longs(x) for x in mine["a"]]
+            a, (b, n) = np.concatenate(lists), (np.concatenate([_longs(x) for x in mine[c]]) for c in ("b", "counts"))
             order = np.lexsort((b, a))
             new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
             starts = np.flatnonzero(new)
@@ -216,16 +231,16 @@ def frequent_pairs(spark: SparkSession, blocks: DataFrame, least: int, label: st
             gid[chosen] = base + np.arange(chosen.size)
             base += chosen.size
             head = order[starts[chosen]]
-            out.append((-1, lang, None, gid[chosen].tobytes(), f[chosen].tobytes(), a[head].tobytes(), b[head].tobytes(), None))
+            out.append((-1, lang, None, packed(gid[chosen], "<i8"), packed(f[chosen], "<i8"), packed(a[head], "<i8"), packed(b[head], "<i8"), None))
             of_row = np.empty(a.size, np.int64)
             of_row[order] = gid[np.cumsum(new) - 1]
             hit = np.flatnonzero(of_row >= 0)
-            blocks_ = np.repeat(mine["block"].to_numpy(np.int64), [len(x) // 8 for x in mine["a"]])
-            local = np.concatenate([np.frombuffer(x, "<u4") for x in mine["local"]])
+            blocks_ = np.repeat(mine["block"].to_numpy(np.int64), [x.size for x in lists])
+            local = np.concatenate([_stepped(x) for x in mine["local"]])
             out += _answers(blocks_[hit], local[hit], of_row[hit])
         return pd.DataFrame(out, columns=_NAMES)
 
-    dealt = blocks.select("block", "lang", "counts", "a", "b").mapInPandas(
+    dealt = blocks.select("block", "lang", "counts", "pairs", "gids").mapInPandas(
         deal, "range long, block long, lang string, a binary, b binary, local binary, counts binary"
     )
     return _kept(spark, dealt.groupBy("range").applyInPandas(add, FOUND), label)
@@ -241,30 +256,32 @@ def extended(spark: SparkSession, blocks: DataFrame, found: DataFrame, label: st
             for number, lang, groups, gaps, local, answers in zip(*[batch[c] for c in ("block", "lang", "groups", "gaps", "local", "answers")]):
                 gid = np.full(groups, -1, np.int64)
                 for one in answers:
-                    gid[np.frombuffer(one["local"], "<u4")] = _longs(one["gid"])
-                places, local = _places(gaps), np.frombuffer(local, "<u4").astype(np.int64)
-                kept = gid[local] >= 0
-                places, local = places[kept], local[kept]
+                    gid[unpacked(one["local"], "<u4")] = _longs(one["gid"])
+                here = gid >= 0
+                dense, gid = np.cumsum(here) - 1, gid[here]
+                places, local = _stepped(gaps), unpacked(local, "<u4").astype(np.int64)
+                kept = here[local]
+                places, local = places[kept], dense[local[kept]]
                 next_ = np.flatnonzero(places[1:] == places[:-1] + 1)
-                pairs, back, counts = np.unique(local[next_] * groups + local[next_ + 1], return_inverse=True, return_counts=True)
+                pairs, back, counts = np.unique(local[next_] * gid.size + local[next_ + 1], return_inverse=True, return_counts=True)
                 yield pd.DataFrame(
                     [
                         (
-                            number, lang, int(next_.size), int(pairs.size), _gaps(places[next_]), back.astype("<u4").tobytes(),
-                            counts.astype("<i8").tobytes(), gid[pairs // groups].tobytes(), gid[pairs % groups].tobytes(),
+                            number, lang, int(next_.size), int(pairs.size), _steps(places[next_]), packed(back, "<u4"),
+                            packed(counts, "<i8"), _steps(pairs, "<i8"), packed(gid, "<i8"),
                         )
                     ],
-                    columns=["block", "lang", "n_all", "groups", "gaps", "local", "counts", "a", "b"],
+                    columns=["block", "lang", "n_all", "groups", "gaps", "local", "counts", "pairs", "gids"],
                 )
 
     rows = blocks.select("block", "lang", "groups", "gaps", "local").join(answers, "block")
-    return _kept(spark, rows.mapInPandas(extend, BLOCK + ", a binary, b binary"), label)
+    return _kept(spark, rows.mapInPandas(extend, BLOCK + ", pairs binary, gids binary"), label)
 
 
 def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, gid, f, words in zip(batch["lang"], batch["gid"], batch["f"], batch["words"]):
-            yield pd.DataFrame({"gid": _longs(gid), "lang": lang, "f": _longs(f), "word": words.decode().split("\n")})
+            yield pd.DataFrame({"gid": _longs(gid), "lang": lang, "f": _longs(f), "word": zlib.decompress(words).decode().split("\n")})
 
 
 def _pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
