@@ -4,8 +4,9 @@ Every match of the split pattern is a piece. A piece starts as single bytes; lea
 the token that starts at byte ``i`` joined with its right neighbour, and every inner node the smaller rank of its two
 children. The root names the next merge, a walk that prefers the left child finds its leftmost place, and a merge
 changes three leaves: the merged pair, its left neighbour and the byte position that dies. Each change climbs to the
-root in logarithmic time. The trees of many pieces of similar length are rows of one numpy matrix and step together;
-a worker merges equal pieces once and remembers their ids from slice to slice, up to a bound.
+root in logarithmic time, and stops where a node keeps its minimum. The trees of many pieces of similar length are rows of
+one numpy matrix and step together; a very long piece has a tree of its own, which steps without waiting for others. A
+worker merges equal pieces once and remembers their ids from slice to slice, up to a bound.
 
 Work is local to a row, so it needs no shuffle and a lost task is simply run again.
 """
@@ -30,6 +31,8 @@ SHIFT = 21
 #: Characters of text whose pieces are held at once, and tree leaves that step together.
 SLICE_CHARS = 4_000_000
 BLOCK_LEAVES = 1 << 18
+#: Bytes from which a piece is merged alone.
+LONG_PIECE = 2048
 #: Documents whose ids and bytes a task holds before it gives them out.
 SLICE_DOCS = 2000
 #: Bytes of pieces after which a worker forgets all; those of the slice at hand come on top.
@@ -67,6 +70,7 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.int64))
         self.pair_keys = np.append(np.array(keys, np.int64)[order], np.int64(2**62))
         self.pair_made = np.append(np.array(made, np.int32)[order], NONE)
+        self._pairs: dict[int, int] | None = None
         self.forget()
 
     def forget(self) -> None:
@@ -134,6 +138,59 @@ class Vocabulary:
             rows = rows[tree[rows, 1] != NONE]
         return token[:, :width][alive], alive.sum(axis=1)
 
+    def merge_alone(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: the same tree, held in lists."""
+        n, width = len(piece), 1 << (len(piece) - 1).bit_length()
+        none = int(NONE)
+        token = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        leaves = np.full(width, NONE, np.int32)
+        ids = np.array(token, np.int32)
+        leaves[: n - 1] = self.joined(ids[:-1], ids[1:])
+        levels = [leaves]
+        while levels[-1].size > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [none] + [x for level in reversed(levels) for x in level.tolist()]
+        alive = bytearray(b"\1") * n
+        made = self.pairs_made().get
+
+        def put(place: int, rank: int) -> None:
+            node = place + width
+            tree[node] = rank
+            while node > 1:
+                other = tree[node ^ 1]
+                node >>= 1
+                least = rank if rank < other else other
+                if tree[node] == least:
+                    return
+                tree[node] = rank = least
+
+        while (best := tree[1]) != none:
+            node = 1
+            while node < width:
+                node *= 2
+                if tree[node] != best:
+                    node += 1
+            here = node - width
+            dies = after[here]
+            then = after[here] = after[dies]
+            token[here], alive[dies] = best, 0
+            put(dies, none)
+            if then < n:
+                before[then] = here
+                put(here, made(best << SHIFT | token[then], none))
+            else:
+                put(here, none)
+            if (left := before[here]) >= 0:
+                put(left, made(token[left] << SHIFT | best, none))
+        return np.array(token, np.int32)[np.frombuffer(alive, np.uint8) == 1]
+
+    def pairs_made(self) -> dict[int, int]:
+        """The joinable pairs as a dictionary; made when the first long piece comes."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.pair_keys[:-1].tolist(), self.pair_made[:-1].tolist()))
+        return self._pairs
+
     @staticmethod
     def _climb(tree: np.ndarray, rows: np.ndarray, node: np.ndarray) -> None:
         node = node >> 1
@@ -148,6 +205,12 @@ class Vocabulary:
         flat, places, counts = [whole[done].astype(np.int32)], [done], [np.ones(done.size, np.int64)]
         by_width: dict[int, list[int]] = {}
         for i in np.flatnonzero(whole < 0).tolist():
+            if len(pieces[i]) >= LONG_PIECE:
+                ids = self.merge_alone(pieces[i])
+                flat.append(ids)
+                places.append(np.array([i]))
+                counts.append(np.array([ids.size]))
+                continue
             by_width.setdefault((len(pieces[i]) - 1).bit_length(), []).append(i)
         for bits, members in by_width.items():
             step = max(1, BLOCK_LEAVES >> bits)
