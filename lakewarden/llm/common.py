@@ -57,14 +57,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: Matches whose places are worked out together.
+SPAN_BLOCK = 256
+
+
 def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """``start``, ``end`` (code points, end exclusive) and ``found`` of the leftmost non-overlapping matches.
 
     The pieces between matches and the matches themselves come from the same search, so their lengths add up to places.
-    Matches that ``keep`` refuses only move the place on. Empty for null texts and texts without a match.
+    Matches that ``keep`` refuses only move the place on. Lengths are summed by blocks of ``SPAN_BLOCK`` matches first, so
+    that a text of very many matches is not copied at every match. Empty for null texts and texts without a match.
     """
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    wide = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["found"]), F.lit(0))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
@@ -73,16 +79,34 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None =
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
         return F.struct(end.alias("at"), F.when(wanted, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def cut(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / SPAN_BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(all_, k * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)))
+
+    def walk(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + wide(x)))
+        upto = F.aggregate(sizes, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+        def placed(starts: Column) -> Column:
+            first = lambda i: F.struct(F.get(starts, i).alias("at"), none.alias("out"))
+            return F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, first(i), step, lambda state: state["out"])))
+
+        return let(upto, placed)
+
+    return F.when(text.rlike(pattern), let(let(zipped, cut), walk)).otherwise(none)
 
 
-def bit_words(positions: Iterable[int], bits: int) -> list[int]:
-    """A set of bit positions as ``bits`` / 64 longs."""
+def bit_filter(values: DataFrame, column: str, most: int) -> list[int]:
+    """A filter of the strings of a column as longs: 16 bits a value, ``most`` bits at most, so that ``most`` / 64 rows come
+    to the driver. A full filter lets more through and never loses a value."""
+    bits = min(most, max(1024, 1 << (16 * max(1, values.count()) - 1).bit_length()))
+    place = bit_of(F.col(column), bits)
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    held = values.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
     out = [0] * (bits // 64)
-    for p in positions:
-        out[p >> 6] |= 1 << (p & 63)
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
+    for row in held.collect():
+        out[row["at"]] = row["bits"]
+    return out
 
 
 def bit_of(value: Column, bits: int) -> Column:
@@ -93,7 +117,7 @@ def bit_of(value: Column, bits: int) -> Column:
 def in_bits(value: Column, words: list[int]) -> Column:
     """Whether a string's bit is set: false for sure if the string was never put in."""
     place = bit_of(value, len(words) * 64)
-    held = F.get(F.array(*[F.lit(w).cast("long") for w in words]), F.shiftright(place, 6))
+    held = F.get(F.from_json(F.lit(str(words)), "array<bigint>"), F.shiftright(place, 6))  # folded to one literal
     return F.getbit(held, place.bitwiseAND(F.lit(63))) == 1
 
 

@@ -1,16 +1,17 @@
 """Personal data, and the terms that give it away.
 
 Base patterns find protected values (email, ip, card, phone). What else in a text points to such a value is estimated
-from the corpus: over all lines, ``PMI(value; term) = log2(N * n(value, term) / (n(value) * n(term)))`` bits of the
+from the corpus: over all distinct lines, ``PMI(value; term) = log2(N * n(value, term) / (n(value) * n(term)))`` bits of the
 ``IC(value) = -log2(n(value) / N)`` bits that naming the value would give. A term discloses the share ``PMI / IC``. Terms
 at ``REMOVE`` or above are removed, terms at ``GENERALISE`` or above are generalised, wherever they stand.
 
-Every line counts as often as it stands, however alike the lines of a value are. A pair needs ``SUPPORT`` lines, so a
-value on fewer lines has no disclosing term. Equal lines are counted together before their terms are spread.
+Copies of one document prove nothing about its words, also where they differ by a few: lines of one value are one *source*
+if they are equal or follow or precede an equal line, through any number of copies. ``n(value)`` and ``n(value, term)``
+count sources, ``n(term)`` and ``N`` distinct lines, and a term needs ``SUPPORT`` sources beside its value.
 
 Rows are lines, pairs and terms, each counted with partial sums. A line gives values times terms rows, and values of a
-line are few; no list grows with the corpus. Word counts over the whole corpus pass a fixed filter of candidate terms
-first; a full filter lets more words through to the exact join, never fewer.
+line are few; no list grows with the corpus. Words of the whole corpus pass a filter first that is sized by the number of
+candidate terms; a full filter lets more words through to the exact join, never fewer.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import bit_of, bit_words, documents, in_bits, only, query, spans
+from lakewarden.llm.common import bit_filter, documents, in_bits, let, only, query, spans
+from lakewarden.llm.components import components
 from lakewarden.session import new_scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,12 +30,14 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}++"
-LEAST_LETTERS = 3
+TERM, NO_TERM = r"\p{L}++", r"\P{L}++"
 REMOVE, GENERALISE = 0.95, 0.8
-#: Least lines of a pair of value and term.
+#: Least sources of a pair of value and term.
 SUPPORT = 2
-FILTER_BITS = 1 << 16
+#: Least characters of a neighbouring line that tells copies.
+NEIGHBOUR_CHARS = 20
+#: Most bits of the filter of terms.
+FILTER_BITS = 1 << 20
 
 
 def _digits(value: Column) -> Column:
@@ -75,19 +79,18 @@ def _suspect(text: Column) -> Column:
     return text.rlike(r"@|[0-9][0-9.\x20()-]{5}")
 
 
-def _bits(spark: SparkSession, terms: DataFrame) -> list[int]:
-    """A fixed filter of the terms; at most ``FILTER_BITS`` positions come to the driver."""
-    held = terms.select(bit_of(F.col("term"), FILTER_BITS).alias("place")).distinct().collect()
-    return bit_words([r.place for r in held], FILTER_BITS)
+def protected_lines(docs: DataFrame) -> DataFrame:
+    """``line_hash``, hashes of the lines around it (``before``, ``behind``; null where they are short), ``values``, ``terms`` of
+    every line that holds a protected value, copies included."""
 
+    def around(lines: Column) -> Column:
+        long = lambda l: F.when(F.length(F.trim(l)) >= NEIGHBOUR_CHARS, F.xxhash64(l))
+        row = lambda l, i: F.struct(l.alias("line"), long(F.get(lines, i - 1)).alias("before"), long(F.get(lines, i + 1)).alias("behind"))
+        return F.filter(F.transform(lines, row), lambda r: _suspect(r["line"]))
 
-def protected_lines(docs: DataFrame) -> DataFrame:
-    """``line_hash``, ``values``, ``terms`` of every line that holds a protected value."""
-    lines = docs.filter(_suspect(F.col("text"))).select(F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(_suspect(F.col("line")))
+    lines = docs.filter(_suspect(F.col("text"))).select(F.inline(let(F.split("text", "\n"), around)))
     found = base_spans(F.col("line"))
 
-
     def value_of(kind: str) -> Column:
         plain = F.lower if kind in ("email", "ip") else _digits
         return F.transform(found[kind], lambda s: F.concat(F.lit(kind + "="), plain(s["found"])))
@@ -97,40 +100,64 @@ def protected_lines(docs: DataFrame) -> DataFrame:
     for pattern in (EMAIL, IP, CARD, PHONE):
         rest = F.regexp_replace(rest, pattern, " ")
     terms = F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), F.lower))
-    return (
-        lines.select(F.xxhash64("line").alias("line_hash"), values.alias("values"), terms.alias("terms"))
-        .filter(F.size("values") > 0)
-        .withColumn("terms", F.filter("terms", lambda t: F.length(t) >= LEAST_LETTERS))
-    )
+    return lines.select(
+        F.xxhash64("line").alias("line_hash"), "before", "behind", values.alias("values"), terms.alias("terms")
+    ).filter(F.size("values") > 0)
+
+
+def sources(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """``value``, ``source``, ``terms`` of the distinct lines of every value, as a written table."""
+    distinct = lines.dropDuplicates(["line_hash", "before", "behind"]).select(F.explode("values").alias("value"), "line_hash", "before", "behind", "terms")
+    path = new_scratch(spark, "value-lines")
+    distinct.withColumn("node", F.xxhash64("value", "line_hash", "before", "behind")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    marks = F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64("value", F.lit(c), c)) for c in ("line_hash", "before", "behind")])
+    marked = rows.select("node", F.explode(marks).alias("mark")).filter("mark is not null")
+    hubs = marked.groupBy("mark").agg(F.min("node").alias("v"))
+    found = components(spark, marked.join(hubs, "mark").select(F.col("node").alias("u"), "v"))
+    out = new_scratch(spark, "value-sources")
+    of_node = found.select("node", F.col("component").alias("source"))
+    rows.join(of_node, "node", "left").select("value", F.coalesce("source", "node").alias("source"), "terms").write.parquet(out)
+    return spark.read.parquet(out)
+
+
+def all_lines(docs: DataFrame) -> DataFrame:
+    """``line`` and ``line_hash`` of every line; a null text is one empty line."""
+    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return lines.select("line", F.xxhash64("line").alias("line_hash"))
 
 
 def disclosing_terms(spark: SparkSession, docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """``term``, ``share`` and ``action`` of every term that gives a protected value away, as a written table."""
     path = new_scratch(spark, "protected-lines")
     protected_lines(docs).write.parquet(path)
-    lines = spark.read.parquet(path)
-    distinct = lines.groupBy("line_hash", "values", "terms").agg(F.count("*").alias("copies"))
-    by_value = distinct.select("terms", "copies", F.explode("values").alias("value"))
-    n_value = by_value.groupBy("value").agg(F.sum("copies").alias("n_value"))
+    by_value = sources(spark, spark.read.parquet(path))
+    n_value = by_value.groupBy("value").agg(F.countDistinct("source").alias("n_value"))
     pairs_path = new_scratch(spark, "disclosure-pairs")
     (
-        by_value.select("value", "copies", F.explode("terms").alias("term"))
+        by_value.select("value", "source", F.explode("terms").alias("term"))
+        .distinct()
         .groupBy("value", "term")
-        .agg(F.sum("copies").alias("n_pair"))
+        .agg(F.count("*").alias("n_pair"))
         .filter(F.col("n_pair") >= SUPPORT)
         .join(n_value, "value")
-        .select("value", "n_value", "term", "n_pair")
+        .groupBy("term", "n_value", "n_pair")  # however many values a term stands beside, their counts are few
+        .agg(F.count("*").alias("n_values"))
         .write.parquet(pairs_path)
     )
     pairs = spark.read.parquet(pairs_path)
-    wanted = pairs.select("term").distinct()
-    words = _bits(spark, wanted)  # no candidates, no count: the filter below lets nothing through
-    total = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))).first()[0] or 0
+    words = bit_filter(pairs.select("term").distinct(), "term", FILTER_BITS)
     out_path = new_scratch(spark, "disclosing-terms")
-    of_line = F.transform(F.regexp_extract_all("line", F.lit(TERM), F.lit(0)), F.lower)
+    if not any(words):
+        pairs.select("term", F.lit(0.0).alias("share"), F.lit("").alias("action")).limit(0).write.parquet(out_path)
+        return spark.read.parquet(out_path)
+    total = all_lines(docs).select("line_hash").distinct().count()
     n_term = (
-        docs.select(F.explode(F.split("text", "\n")).alias("line"))
-        .select(F.explode(F.array_distinct(F.filter(of_line, lambda t: in_bits(t, words)))).alias("term"))
+        all_lines(docs)
+        .select("line_hash", F.explode(F.array_distinct(F.split("line", NO_TERM))).alias("term"))
+        .select("line_hash", F.lower("term").alias("term"))
+        .filter(in_bits(F.col("term"), words))
+        .distinct()
         .groupBy("term")
         .agg(F.count("*").alias("n_term"))
     )
@@ -165,9 +192,9 @@ def sanitised_spans(spark: SparkSession, docs: DataFrame, **thresholds) -> DataF
     apart by a hash of the text.
     """
     terms = disclosing_terms(spark, docs, **thresholds)
-    words = _bits(spark, terms)
+    words = bit_filter(terms, "term", FILTER_BITS)
     text = F.coalesce(F.col("text"), F.lit(""))
-    hit = lambda t: (F.length(t) >= LEAST_LETTERS) & in_bits(F.lower(t), words)
+    hit = lambda t: in_bits(F.lower(t), words)
     lists = base_spans(text)
     base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), *[lists[k].alias(k) for k in KINDS])
     if not any(words):
