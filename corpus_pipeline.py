@@ -17,21 +17,39 @@ from lakewarden.session import new_scratch
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
+#: Bytes of rows that a Python worker gets at a time; texts of any length then need little memory beside a full heap.
+BATCH_BYTES = "8m"
+#: Settings of the allocators in Python workers: what one stage freed goes back to the system before the next one.
+ALLOCATORS = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def ready(spark: SparkSession) -> None:
+    """Workers find this package, take rows in small batches, and give memory back."""
+    visible_to_workers(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, value in ALLOCATORS.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, without their failing lines. Null and empty texts go."""
-    visible_to_workers(spark)
+    ready(spark)
     return quality.cleaned(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that enough others repeat."""
-    visible_to_workers(spark)
+    """All documents, without lines that enough others repeat.
+
+    Null and empty texts have one empty line, which is no key and stays. Of rows with the largest id that hold a repeated
+    line, all keep it. An empty table gives none; other columns stay as they are.
+    """
+    ready(spark)
     return linededup.cleaned(spark, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies. Rows with one id, or without, stay or go together."""
-    visible_to_workers(spark)
+    ready(spark)
     groups = ngramjoin.linked(spark, only(docs), NEAR_PERCENT, NEAR_WORDS)
     gone = free_name(docs.columns, "gone")
     others = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
@@ -39,14 +57,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the schedule takes its words."""
-    visible_to_workers(spark)
+    """Every document as often as the schedule takes its words.
+
+    Null and empty texts have no words and are taken never; sources without a name are one source, the last. Repeated rows
+    are a document each. An empty table gives an empty mix.
+    """
+    ready(spark)
     return mixing.repeated(spark, docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of ids and digests of ids and decoded bytes, per row."""
-    visible_to_workers(spark)
+    """Number of ids and digests of ids and decoded bytes, per row: a null text is an empty one and has no ids, repeated rows
+    give the same digests, and an empty table gives no rows."""
+    ready(spark)
     return bpe.digests(docs, bpe.public_codec(spark))
 
 
