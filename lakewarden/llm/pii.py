@@ -37,7 +37,9 @@ SUPPORT = 2
 #: Least characters of a neighbouring line that tells copies.
 NEIGHBOUR_CHARS = 20
 #: Most bits of the filter of terms.
-FILTER_BITS = 1 << 20
+FILTER_BITS = 1 << 22
+#: Hash parts of the lines, of which one gives the first bounds of ``n(term)``.
+PARTS = 16
 
 
 def _digits(value: Column) -> Column:
@@ -127,6 +129,18 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return lines.select("line", F.xxhash64("line").alias("line_hash"))
 
 
+def term_counts(lines: DataFrame, words: list[list[int]]) -> DataFrame:
+    """``term`` and ``n_term``, its distinct lines, of every term that the filter lets through."""
+    return (
+        lines.select("line_hash", F.explode(F.array_distinct(F.split("line", NO_TERM))).alias("term"))
+        .select("line_hash", F.lower("term").alias("term"))
+        .filter(in_bits(F.col("term"), words))
+        .distinct()
+        .groupBy("term")
+        .agg(F.count("*").alias("n_term"))
+    )
+
+
 def disclosing_terms(spark: SparkSession, docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """``term``, ``share`` and ``action`` of every term that gives a protected value away, as a written table."""
     path = new_scratch(spark, "protected-lines")
@@ -146,29 +160,23 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, remove: float = REMOV
         .write.parquet(pairs_path)
     )
     pairs = spark.read.parquet(pairs_path)
-    words = bit_filter(pairs.select("term").distinct(), "term", FILTER_BITS)
-    out_path = new_scratch(spark, "disclosing-terms")
-    if not any(words):
-        pairs.select("term", F.lit(0.0).alias("share"), F.lit("").alias("action")).limit(0).write.parquet(out_path)
-        return spark.read.parquet(out_path)
     total = all_lines(docs).select("line_hash").distinct().count()
-    n_term = (
-        all_lines(docs)
-        .select("line_hash", F.explode(F.array_distinct(F.split("line", NO_TERM))).alias("term"))
-        .select("line_hash", F.lower("term").alias("term"))
-        .filter(in_bits(F.col("term"), words))
-        .distinct()
-        .groupBy("term")
-        .agg(F.count("*").alias("n_term"))
-    )
-    pmi = F.log2(F.lit(float(total)) * F.col("n_pair") / (F.col("n_value") * F.col("n_term")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_value"))
-    share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
+
+    def disclosing(rows: DataFrame, n_term: Column) -> DataFrame:
+        """``term`` and ``share`` of the terms that disclose if they stand in ``n_term`` lines."""
+        pmi = F.log2(F.lit(float(total)) * F.col("n_pair") / (F.col("n_value") * n_term))
+        ic = F.log2(F.lit(float(total)) / F.col("n_value"))
+        share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
+        return rows.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= generalise)
+
+    part = all_lines(docs).filter(F.pmod("line_hash", F.lit(PARTS)) == 0)
+    at_least = term_counts(part, bit_filter(pairs.select("term").distinct(), "term", FILTER_BITS))
+    left_path = new_scratch(spark, "terms-left")
+    disclosing(pairs.join(at_least, "term", "left"), F.coalesce("n_term", F.lit(1))).write.parquet(left_path)
+    n_term = term_counts(all_lines(docs), bit_filter(spark.read.parquet(left_path), "term", FILTER_BITS))
+    out_path = new_scratch(spark, "disclosing-terms")
     (
-        pairs.join(n_term, "term")
-        .groupBy("term")
-        .agg(F.max(share).alias("share"))
-        .filter(F.col("share") >= generalise)
+        disclosing(pairs.join(n_term, "term"), F.col("n_term"))
         .withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
         .write.parquet(out_path)
     )
@@ -197,16 +205,16 @@ def sanitised_spans(spark: SparkSession, docs: DataFrame, **thresholds) -> DataF
     hit = lambda t: in_bits(F.lower(t), words)
     lists = base_spans(text)
     base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), *[lists[k].alias(k) for k in KINDS])
-    if not any(words):
+    if not any(words[0]):
         hits = None
     else:
         some = F.exists(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), hit)  # places are only worked out where there are any
-        hits = docs.filter(some).select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(spans(text, TERM, hit)).alias("span")).distinct()
+        hits = docs.filter(some).select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(spans(text, TERM, hit)).alias("span"))
         hits = (
             hits.withColumn("term", F.lower("span.found"))
-            .join(terms.select("term", "action"), "term")
+            .join(terms.select("term", "action"), "term")  # before any shuffle of words, where the terms are few
             .groupBy("doc_id", "text_hash")
-            .agg(F.sort_array(F.collect_list(F.struct("span.start", "span.end", "span.found", "action"))).alias("hits"))
+            .agg(F.sort_array(F.collect_set(F.struct("span.start", "span.end", "span.found", "action"))).alias("hits"))
         )  # a list of words of one text
     none = F.array().cast("array<struct<start:int,end:int,found:string,action:string>>")
     if hits is None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.llm import bpe, fingerprints, linededup, lm, mixing, pii, quality, secrets, sharding
-from lakewarden.llm.common import visible_to_workers
+from lakewarden.llm.common import bit_filter, in_bits, visible_to_workers
 
 LINE = "this line is long enough to count as a key of its own"
 ROWS = [
@@ -155,6 +155,58 @@ def test_disclosing_terms_count_distinct_lines(spark):
     assert got == pytest.approx(best) and set(got) >= {"zoltan", "quill", "vexley", "ext"} and not {"common", "seldom", "jane", "doe"} & set(got)
 
 
+@pytest.mark.parametrize("generalise", [pii.GENERALISE, 0.3])
+def test_common_words_are_ruled_out_before_all_lines_are_counted(spark, monkeypatch, generalise):
+    import re
+    from collections import Counter
+
+    lines = [f"common words of line number {i}" for i in range(400)] + [f"some words w{'abcdefgh'[i % 8]} {i}" for i in range(80)]
+    lines += [f"common words by {w} of {w}@y.org {i}" for w in ("zoltan", "quill", "wa") for i in range(3)] + ["common words of line number 7"] * 50
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    mail, word = r"[\w.]+@[\w.]+", r"[^\W\d_]+"
+    value, term, pair = Counter(), Counter(), Counter()
+    distinct = set(lines)
+    for line in distinct:
+        term.update(set(re.findall(word, line)))
+        value.update(re.findall(mail, line))
+        pair.update((v, t) for v in re.findall(mail, line) for t in set(re.findall(word, re.sub(mail, " ", line))))
+    best = {}
+    for (v, t), n in pair.items():
+        share = math.log2(len(distinct) * n / (value[v] * term[t])) / math.log2(len(distinct) / value[v])
+        if n >= pii.SUPPORT and share >= generalise:
+            best[t] = max(share, best.get(t, 0))
+    asked, plain = [], pii.bit_filter
+
+    def spied(values, column, most):
+        asked.append({r[0] for r in values.select(column).collect()})
+        return plain(values, column, most)
+
+    monkeypatch.setattr(pii, "bit_filter", spied)
+    got = {r.term: r.share for r in pii.disclosing_terms(spark, docs, generalise=generalise).collect()}
+    assert got == pytest.approx(best) and {"zoltan", "quill"} <= set(got)
+    assert {"common", "words"} <= asked[0] and set(best) <= asked[-1]
+    assert generalise < pii.GENERALISE or not {"common", "words"} & asked[-1]
+
+
+def test_filter_loses_no_value_and_lets_few_others_through(spark):
+    values, others = (spark.range(n).selectExpr(f"concat('{w}', id) as term") for w, n in (("value", 1000), ("other", 20000)))
+    passed = lambda rows, held: rows.filter(in_bits(rows["term"], held)).count()
+    held, full = bit_filter(values, "term", 1 << 22), bit_filter(values, "term", 1024)
+    assert passed(values, held) == passed(values, full) == 1000
+    assert passed(others, held) < 40
+    assert passed(others, bit_filter(values.limit(0), "term", 1 << 22)) == 0
+
+
+def test_rows_of_one_id_keep_their_own_terms(spark):
+    lines = [f"plain line number {i} of many" for i in range(300)] + [f"Zoltan wrote zz@y.org {i}" for i in range(3)]
+    rows = [*enumerate(lines), (1000, "ask Zoltan, Zoltan"), (1000, "ask Zoltan, Zoltan"), (1000, "or ask Zoltan"), (None, "Zoltan"), (1001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, [s.start for s in sorted([*r.generalise, *r.remove])]) for r in pii.sanitised_spans(spark, docs).collect()]
+    assert len(got) == len(rows)
+    assert sorted(x for i, x in got if i == 1000) == [[4, 12], [4, 12], [7]]
+    assert [x for i, x in got if i is None] == [[0]] and [x for i, x in got if i == 1001] == [[]]
+
+
 def test_language_model(spark, docs, none):
     got = lm.language_model(spark, docs.select("doc_id", "text")).collect()
     assert len(got) == len(ROWS) and all(r.score <= 1e-9 and r.n_known <= r.n_tokens for r in got)
