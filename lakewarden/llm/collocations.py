@@ -1,9 +1,12 @@
 """Phrase collocations by SETM relational mining.
 
 1. *Occurrences.* Texts become pieces and words once. The relation of occurrences lies in blocks of one language: places
-   ascend, a break between pieces takes a place of its own, and words are numbers of the block.
+   ascend, a break between pieces takes a place of its own, and words are numbers of the block, the most frequent first.
+   A language fills its block apart from others, so that a block meets most of its groups more than once.
 2. *Group and count.* What a block holds is counted there first. Its distinct groups go to key ranges, where the counts
-   of all blocks add up; every group of ``LEAST`` or more gets a number for good, which goes back to the blocks.
+   of all blocks add up; every group of ``LEAST`` or more gets a number for good, which goes back to the blocks. Frequent
+   groups have small numbers, and a block's pairs are numbered range by range in the order of their parts, so that they
+   travel as small differences and their own numbers need not.
 3. *Semi-join.* A block keeps the occurrences of groups that came back. Nothing is broadcast: a block hears of its own
    groups only, so the traffic follows the occurrences and not blocks times groups.
 4. *Merge-join.* Phrases of ``k`` words at neighbouring places of a piece overlap in all but one word each, and make the
@@ -34,8 +37,9 @@ from lakewarden.session import new_scratch
 
 LEAST, INSIDE, TOP, LONGEST = 30, 80, 2000, 4
 SCALE = 2_000_000
-#: Words of the blocks that a task fills at a time, and groups of a key range.
-BLOCK_WORDS, RANGE_GROUPS = 1_500_000, 500_000
+#: Words of a block, blocks of words that a task holds at a time (a distinct word counts as ``DISTINCT`` words), and groups of
+#: a key range.
+BLOCK_WORDS, HELD_BLOCKS, DISTINCT, RANGE_GROUPS = 1_500_000, 4, 4, 500_000
 #: Parts of a language whose best phrases are found apart.
 TOP_PARTS = 64
 NO_LANG = "und"
@@ -58,29 +62,59 @@ def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def packed(numbers: np.ndarray, kind: str) -> bytes:
-    """Numbers as bytes, first bytes first, which lie close to each other and compress well."""
-    return zlib.compress(np.ascontiguousarray(numbers, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes(), 1)
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as bytes, as many a number as the largest takes; first bytes first, which lie close to each other and
+    compress well."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
 
 
-def unpacked(blob: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, : blob[0]] = planes.T
+    return numbers.view("<i8").reshape(-1)
 
 
-def _longs(blob: bytes) -> np.ndarray:
-    return unpacked(blob, "<i8")
+def _steps(ascending: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return packed(np.diff(ascending, prepend=0))
 
 
-def _steps(ascending: np.ndarray, kind: str = "<u4") -> bytes:
-    """Ascending numbers by their differences."""
-    return packed(np.diff(ascending, prepend=0), kind)
+def _stepped(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob))
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs in ascending order by their differences: those of the first numbers, and of the second where the first stay."""
+    same = np.append(False, a[1:] == a[:-1])
+    return _steps(a), packed(b - np.where(same, np.append(0, b[:-1]), 0))
+
+
+def unpaired(first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a, steps = _stepped(first), unpacked(second)
+    sums = np.cumsum(steps)
+    start = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if a.size else np.empty(0, np.int64)
+    return a, sums - np.repeat(sums[start] - steps[start], np.diff(np.append(start, a.size)))
 
 
-def _stepped(blob: bytes, kind: str = "<u4") -> np.ndarray:
-    return np.cumsum(unpacked(blob, kind).astype(np.int64))
+class Filling:
+    """A block that is being filled: its words by number, and what it weighs in memory."""
 
+    def __init__(self) -> None:
+        self.vocabulary, self.parts, self.words, self.weight = Numbering({BREAK: 0}), [], 0, 0
 
-BLOCK = "block long, lang string, n_all long, groups long, gaps binary, local binary, counts binary"
+    def add(self, words: list[bytes], end: np.ndarray) -> int:
+        known = len(self.vocabulary)
+        self.parts += [np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words)), end]
+        more = len(words) + 1 + (DISTINCT - 1) * (len(self.vocabulary) - known)
+        self.words += len(words) + 1
+        self.weight += more
+        return more
+
+
+BLOCK = "block long, lang string, n_all long, groups long, gaps binary, local binary"
 
 
 def occurrences(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -89,38 +123,38 @@ def occurrences(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ``gaps`` and ``local`` are the places and word numbers of all occurrences, ``words`` and ``counts`` those of the numbers.
     """
 
-    def block(number: int, lang: str, vocabulary: Numbering, parts: list[np.ndarray]) -> pd.DataFrame:
-        local = np.concatenate(parts)
+    def block(number: int, lang: str, mine: Filling) -> pd.DataFrame:
+        local = np.concatenate(mine.parts)
         places = np.flatnonzero(local)
         local = local[places] - 1  # number 0 is the break
-        words = list(vocabulary)[1:]
+        words = list(mine.vocabulary)[1:]
         counts = np.bincount(local, minlength=len(words))
-        row = (number, lang, int(places.size), len(words), _steps(places), packed(local, "<u4"), packed(counts, "<i8"), zlib.compress(b"\n".join(words), 1))
+        order = np.argsort(-counts, kind="stable")
+        local, words = np.argsort(order)[local], [words[i] for i in order]
+        row = (number, lang, int(places.size), len(words), _steps(places), packed(local), packed(counts[order]), zlib.compress(b"\n".join(words), 1))
         return pd.DataFrame([row], columns=["block", "lang", "n_all", "groups", "gaps", "local", "counts", "words"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, end = TaskContext.get().partitionId() << 32, np.zeros(1, np.int32)
-        open_: dict[str, tuple[Numbering, list[np.ndarray]]] = {}
+        open_: dict[str, Filling] = {}
         held = 0
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
                 if lang not in open_:
-                    open_[lang] = (Numbering({BREAK: 0}), [])
-                vocabulary, parts = open_[lang]
-                words = tokens(text)
-                parts += [np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)), end]
-                held += len(words) + 1
-                if held >= BLOCK_WORDS:
-                    for one, (vocabulary, parts) in open_.items():
-                        yield block(number, one, vocabulary, parts)
-                        number += 1
-                    open_, held = {}, 0
-        for one, (vocabulary, parts) in open_.items():
-            yield block(number, one, vocabulary, parts)
+                    open_[lang] = Filling()
+                held += open_[lang].add(tokens(text), end)
+                while held >= HELD_BLOCKS * BLOCK_WORDS or (lang in open_ and open_[lang].words >= BLOCK_WORDS):
+                    full = lang if lang in open_ and open_[lang].words >= BLOCK_WORDS else max(open_, key=lambda one: open_[one].weight)
+                    mine = open_.pop(full)
+                    held -= mine.weight
+                    yield block(number, full, mine)
+                    number += 1
+        for one, mine in open_.items():
+            yield block(number, one, mine)
             number += 1
 
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    return _kept(spark, rows.mapInPandas(scan, BLOCK + ", words binary"), "occurrences-1")
+    return _kept(spark, rows.mapInPandas(scan, BLOCK + ", counts binary, words binary"), "occurrences-1")
 
 
 def _ranges(blocks: DataFrame) -> int:
@@ -134,52 +168,53 @@ def _by_range(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(which[order[a]]), order[a:b]
 
 
-FOUND = "block long, lang string, local binary, gid binary, f binary, a binary, b binary, words binary"
-_NAMES = ["block", "lang", "local", "gid", "f", "a", "b", "words"]
+FOUND = "block long, lang string, n long, local binary, gid binary, f binary, a binary, b binary, words binary"
+_NAMES = ["block", "lang", "n", "local", "gid", "f", "a", "b", "words"]
 
 
 def _answers(blocks: np.ndarray, local: np.ndarray, gid: np.ndarray) -> list[tuple]:
-    """Rows that tell every block the numbers of its frequent groups."""
+    """Rows that tell every block the numbers of its frequent groups; ``local`` ascends within a block."""
     return [
-        (int(blocks[rows[0]]), None, packed(local[rows], "<u4"), packed(gid[rows], "<i8"), None, None, None, None)
+        (int(blocks[rows[0]]), None, 0, _steps(local[rows]), packed(gid[rows]), None, None, None, None)
         for _, rows in _by_range(np.unique(blocks, return_inverse=True)[1])
     ]
 
 
 def frequent_words(spark: SparkSession, blocks: DataFrame, least: int) -> DataFrame:
-    """Counts of all words over all blocks: rows of frequent words per key range (no block) and answers to blocks."""
+    """Counts of all words over all blocks: rows of frequent words per key range (no block; ``n`` occurrences) and answers to
+    blocks."""
     ranges = _ranges(blocks)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, lang, counts, words in zip(batch["block"], batch["lang"], batch["counts"], batch["words"]):
-                words, counts = zlib.decompress(words).split(b"\n"), _longs(counts)
+                words, counts = zlib.decompress(words).split(b"\n"), unpacked(counts)
                 if not counts.size:
                     continue
                 which = np.fromiter((xxhash.xxh64_intdigest(w) % ranges for w in words), np.int64, len(words))
                 yield pd.DataFrame(
                     [
-                        (r, number, lang, zlib.compress(b"\n".join([words[i] for i in rows]), 1), _steps(rows), packed(counts[rows], "<i8"))
+                        (r, number, lang, zlib.compress(b"\n".join([words[i] for i in rows]), 1), _steps(rows), packed(counts[rows]))
                         for r, rows in _by_range(which)
                     ],
                     columns=["range", "block", "lang", "words", "local", "counts"],
                 )
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out, base = [], key[0] << 32
+        out, base = [], 0
         for lang, mine in group.groupby("lang"):
             total = Numbering()
             lists = [zlib.decompress(w).split(b"\n") for w in mine["words"]]
             ids = np.concatenate([np.fromiter(map(total.__getitem__, w), np.int64, len(w)) for w in lists])
-            f = np.bincount(ids, weights=np.concatenate([_longs(c) for c in mine["counts"]]).astype(np.float64)).astype("<i8")
+            f = np.bincount(ids, weights=np.concatenate([unpacked(c) for c in mine["counts"]]).astype(np.float64)).astype("<i8")
             names = list(total)
-            chosen = sorted(np.flatnonzero(f >= least).tolist(), key=names.__getitem__)  # the same numbers in every attempt
+            chosen = sorted(np.flatnonzero(f >= least).tolist(), key=lambda i: (-f[i], names[i]))  # the same numbers in every attempt
             gid = np.full(f.size, -1, np.int64)
-            gid[chosen] = base + np.arange(len(chosen))
+            gid[chosen] = (base + np.arange(len(chosen))) * ranges + key[0]
             base += len(chosen)
             if not chosen:
                 continue
-            out.append((-1, lang, None, packed(gid[chosen], "<i8"), packed(f[chosen], "<i8"), None, None, zlib.compress(b"\n".join(names[i] for i in chosen), 1)))
+            out.append((-1, lang, int(f[chosen].sum()), None, packed(gid[chosen]), packed(f[chosen]), None, None, zlib.compress(b"\n".join(names[i] for i in chosen), 1)))
             blocks_ = np.repeat(mine["block"].to_numpy(np.int64), [len(w) for w in lists])
             local = np.concatenate([_stepped(x) for x in mine["local"]])
             hit = gid[ids] >= 0
@@ -198,28 +233,14 @@ def _range_of(a: np.ndarray, b: np.ndarray, ranges: int) -> np.ndarray:
     return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int64) % ranges
 
 
-def frequent_pairs(spark: SparkSession, blocks: DataFrame, least: int, label: str) -> DataFrame:
-    """As ``frequent_words``, of groups that are pairs of frequent ones: ``pairs`` of places in the block's ``gids``."""
-    ranges = _ranges(blocks)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for number, lang, counts, pairs, gids in zip(*[batch[c] for c in ("block", "lang", "counts", "pairs", "gids")]):
-                counts, pairs, gids = _longs(counts), _stepped(pairs, "<i8"), _longs(gids)
-                a, b = gids[pairs // max(1, gids.size)], gids[pairs % max(1, gids.size)]
-                yield pd.DataFrame(
-                    [
-                        (r, number, lang, packed(a[rows], "<i8"), packed(b[rows], "<i8"), _steps(rows), packed(counts[rows], "<i8"))
-                        for r, rows in _by_range(_range_of(a, b, ranges))
-                    ],
-                    columns=["range", "block", "lang", "a", "b", "local", "counts"],
-                )
+def frequent_pairs(spark: SparkSession, blocks: DataFrame, least: int, ranges: int, label: str) -> DataFrame:
+    """As ``frequent_words``, of groups that are pairs of frequent ones, as the blocks have dealt them."""
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out, base = [], key[0] << 32
+        out, base = [], 0
         for lang, mine in group.groupby("lang"):
-            lists = [_longs(x) for x in mine["a"]]
-            a, (b, n) = np.concatenate(lists), (np.concatenate([_longs(x) for x in mine[c]]) for c in ("b", "counts"))
+            lists = [unpaired(*ab) for ab in zip(mine["a"], mine["b"])]
+            (a, b), n = map(np.concatenate, zip(*lists)), np.concatenate([unpacked(x) for x in mine["counts"]])
             order = np.lexsort((b, a))
             new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
             starts = np.flatnonzero(new)
@@ -227,28 +248,37 @@ def frequent_pairs(spark: SparkSession, blocks: DataFrame, least: int, label: st
             chosen = np.flatnonzero(f >= least)
             if not chosen.size:
                 continue
+            chosen = chosen[np.argsort(-f[chosen], kind="stable")]
             gid = np.full(f.size, -1, np.int64)
-            gid[chosen] = base + np.arange(chosen.size)
+            gid[chosen] = (base + np.arange(chosen.size)) * ranges + key[0]
             base += chosen.size
             head = order[starts[chosen]]
-            out.append((-1, lang, None, packed(gid[chosen], "<i8"), packed(f[chosen], "<i8"), packed(a[head], "<i8"), packed(b[head], "<i8"), None))
+            out.append((-1, lang, int(f[chosen].sum()), None, packed(gid[chosen]), packed(f[chosen]), packed(a[head]), packed(b[head]), None))
             of_row = np.empty(a.size, np.int64)
             of_row[order] = gid[np.cumsum(new) - 1]
             hit = np.flatnonzero(of_row >= 0)
-            blocks_ = np.repeat(mine["block"].to_numpy(np.int64), [x.size for x in lists])
-            local = np.concatenate([_stepped(x) for x in mine["local"]])
+            sizes = [x.size for x, _ in lists]
+            blocks_ = np.repeat(mine["block"].to_numpy(np.int64), sizes)
+            local = np.concatenate([np.arange(x, x + size) for x, size in zip(mine["start"], sizes)])
             out += _answers(blocks_[hit], local[hit], of_row[hit])
         return pd.DataFrame(out, columns=_NAMES)
 
-    dealt = blocks.select("block", "lang", "counts", "pairs", "gids").mapInPandas(
-        deal, "range long, block long, lang string, a binary, b binary, local binary, counts binary"
-    )
+    dealt = blocks.select("block", "lang", F.inline("dealt"))
     return _kept(spark, dealt.groupBy("range").applyInPandas(add, FOUND), label)
 
 
-def extended(spark: SparkSession, blocks: DataFrame, found: DataFrame, label: str) -> DataFrame:
+def _pair_ranges(found: DataFrame) -> int:
+    """Key ranges of pairs of frequent groups: there are no more pairs than occurrences, and two make a group at best."""
+    return max(1, -(-(found.filter("block < 0").agg(F.sum("n")).first()[0] or 0) // (2 * RANGE_GROUPS)))
+
+
+DEALT = "array<struct<range: long, start: long, a: binary, b: binary, counts: binary>>"
+
+
+def extended(spark: SparkSession, blocks: DataFrame, found: DataFrame, ranges: int, label: str) -> DataFrame:
     """Semi-join of the blocks with their frequent groups, then the merge-join by neighbouring places: blocks of phrases
-    one word longer, whose groups are pairs of frequent ones."""
+    one word longer, whose groups are pairs of frequent ones, numbered by key range and then by the numbers of the pair.
+    ``dealt`` has the pairs of every range and the number of the first."""
     answers = found.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("answers"))  # groups of a block
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,38 +286,43 @@ def extended(spark: SparkSession, blocks: DataFrame, found: DataFrame, label: st
             for number, lang, groups, gaps, local, answers in zip(*[batch[c] for c in ("block", "lang", "groups", "gaps", "local", "answers")]):
                 gid = np.full(groups, -1, np.int64)
                 for one in answers:
-                    gid[unpacked(one["local"], "<u4")] = _longs(one["gid"])
+                    gid[_stepped(one["local"])] = unpacked(one["gid"])
                 here = gid >= 0
-                dense, gid = np.cumsum(here) - 1, gid[here]
-                places, local = _stepped(gaps), unpacked(local, "<u4").astype(np.int64)
-                kept = here[local]
-                places, local = places[kept], dense[local[kept]]
+                gids, dense = np.unique(gid[here], return_inverse=True)
+                dense = np.where(here, dense[np.cumsum(here) - 1], -1)
+                places, local = _stepped(gaps), dense[unpacked(local)]
+                kept = local >= 0
+                places, local = places[kept], local[kept]
                 next_ = np.flatnonzero(places[1:] == places[:-1] + 1)
-                pairs, back, counts = np.unique(local[next_] * gid.size + local[next_ + 1], return_inverse=True, return_counts=True)
+                pairs, back, counts = np.unique(local[next_] * gids.size + local[next_ + 1], return_inverse=True, return_counts=True)
+                a, b = gids[pairs // gids.size], gids[pairs % gids.size]
+                dealt = list(_by_range(_range_of(a, b, ranges)))
+                order = np.concatenate([rows for _, rows in dealt] or [np.empty(0, np.int64)])
+                starts = np.cumsum([0] + [rows.size for _, rows in dealt])
                 yield pd.DataFrame(
                     [
                         (
-                            number, lang, int(next_.size), int(pairs.size), _steps(places[next_]), packed(back, "<u4"),
-                            packed(counts, "<i8"), _steps(pairs, "<i8"), packed(gid, "<i8"),
+                            number, lang, int(next_.size), int(pairs.size), _steps(places[next_]), packed(np.argsort(order)[back]),
+                            [(r, int(start), *paired(a[rows], b[rows]), packed(counts[rows])) for (r, rows), start in zip(dealt, starts)],
                         )
                     ],
-                    columns=["block", "lang", "n_all", "groups", "gaps", "local", "counts", "pairs", "gids"],
+                    columns=["block", "lang", "n_all", "groups", "gaps", "local", "dealt"],
                 )
 
     rows = blocks.select("block", "lang", "groups", "gaps", "local").join(answers, "block")
-    return _kept(spark, rows.mapInPandas(extend, BLOCK + ", pairs binary, gids binary"), label)
+    return _kept(spark, rows.mapInPandas(extend, f"{BLOCK}, dealt {DEALT}"), label)
 
 
 def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, gid, f, words in zip(batch["lang"], batch["gid"], batch["f"], batch["words"]):
-            yield pd.DataFrame({"gid": _longs(gid), "lang": lang, "f": _longs(f), "word": zlib.decompress(words).decode().split("\n")})
+            yield pd.DataFrame({"gid": unpacked(gid), "lang": lang, "f": unpacked(f), "word": zlib.decompress(words).decode().split("\n")})
 
 
 def _pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, gid, f, a, b in zip(batch["lang"], batch["gid"], batch["f"], batch["a"], batch["b"]):
-            yield pd.DataFrame({"gid": _longs(gid), "lang": lang, "f": _longs(f), "a": _longs(a), "b": _longs(b)})
+            yield pd.DataFrame({"gid": unpacked(gid), "lang": lang, "f": unpacked(f), "a": unpacked(a), "b": unpacked(b)})
 
 
 def _side(table: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
@@ -309,8 +344,9 @@ def phrase_tables(spark: SparkSession, docs: DataFrame, least: int = LEAST, long
     shorter = _kept(spark, words.select("gid", "lang", "f", F.array("word").alias("words"), F.col("f").alias("fw"), F.col("f").alias("fz"), F.col("f").alias("fa"), F.col("f").alias("fb")), "phrases-1")
     tables = []
     for k in range(2, longest + 1):
-        blocks = extended(spark, blocks, found, f"occurrences-{k}")
-        found = frequent_pairs(spark, blocks, least, f"frequent-{k}")
+        ranges = _pair_ranges(found)
+        blocks = extended(spark, blocks, found, ranges, f"occurrences-{k}")
+        found = frequent_pairs(spark, blocks, least, ranges, f"frequent-{k}")
         pairs = found.filter("block < 0").select("lang", "gid", "f", "a", "b").mapInPandas(_pair_rows, "gid long, lang string, f long, a long, b long")
         left = _side(shorter, "a", {"words": "head", "f": "fa", "fw": "fw", "fa": "fm"})
         right = _side(shorter, "b", {"words": "tail", "f": "fb", "fz": "fz", "fb": "fn"})

@@ -94,3 +94,53 @@ def test_whole_table(spark, small):
     want = plain([tuple(r) for r in docs.collect()])
     got = sorted(tuple(r) for r in collocations.op13_setm_collocations(spark, small).collect())
     assert want and got == want
+
+
+def of_languages(spark, texts, words, langs):
+    rng = random.Random(5)
+    rows = [(langs[i % len(langs)], " ".join(f"w{int(3000 ** rng.random())}" for _ in range(words))) for i in range(texts)]
+    return rows, spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+
+
+def test_a_language_fills_its_blocks_apart(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 1000)
+    monkeypatch.setattr(collocations, "HELD_BLOCKS", 100)
+    rows, docs = of_languages(spark, 160, 50, ["en", "de", "fr", "es"])
+    sizes = {}
+    for r in collocations.occurrences(spark, docs).orderBy("block").collect():
+        sizes.setdefault(r.lang, []).append(r.n_all)
+    assert all(n >= 1000 - 1000 // 50 for mine in sizes.values() for n in mine[:-1])
+    assert {lang: sum(mine) for lang, mine in sizes.items()} == {lang: 2000 for lang in ("en", "de", "fr", "es")}
+
+
+def test_the_heaviest_language_goes_when_many_are_open(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 300)
+    rows, docs = of_languages(spark, 200, 20, ["a", "b", "c", "d", "e", "f", "a", "a"])
+    blocks = collocations.occurrences(spark, docs).collect()
+    assert sum(r.n_all for r in blocks) == 4000 and max(r.n_all for r in blocks) <= 300
+    assert len({r.block for r in blocks}) == len(blocks) < 4000 / 100
+    assert found(spark, rows, least=8) == plain(rows, least=8)
+
+
+def test_pairs_travel_in_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "RANGE_GROUPS", 2000)
+    rows, docs = of_languages(spark, 200, 300, ["en"])
+    blocks = collocations.occurrences(spark, docs)
+    words = collocations.frequent_words(spark, blocks, 5)
+    ranges = collocations._pair_ranges(words)
+    [block] = collocations.extended(spark, blocks, words, ranges, "occurrences-2").collect()
+    assert len(block.dealt) == ranges > 10 and block.groups > 10000
+    assert [r.start for r in block.dealt[1:]] == [sum(collocations.unpacked(x.counts).size for x in block.dealt[: i + 1]) for i in range(ranges - 1)]
+    assert sum(len(r.a) + len(r.b) + len(r.counts) for r in block.dealt) < 4 * block.groups
+
+
+def test_pairs_and_numbers_come_back():
+    import numpy as np
+
+    for top in (1, 200, 70_000, 2**40):
+        pairs = np.unique(np.random.default_rng(3).integers(0, top, (500, 2)), axis=0)
+        back = collocations.unpaired(*collocations.paired(pairs[:, 0], pairs[:, 1]))
+        assert (np.stack(back, 1) == pairs).all()
+        assert (collocations.unpacked(collocations.packed(pairs[:, 1])) == pairs[:, 1]).all()
+    none = np.empty(0, np.int64)
+    assert [x.size for x in collocations.unpaired(*collocations.paired(none, none))] == [0, 0]
