@@ -2,7 +2,7 @@
 
 1. *Occurrences.* Texts become pieces and words once. The relation of occurrences lies in blocks of one language: places
    ascend, a break between pieces takes a place of its own, and words are numbers of the block, the most frequent first.
-   A language fills its block apart from others, so that a block meets most of its groups more than once.
+   A language fills its block apart from others, so that fewer blocks tell of the same group.
 2. *Group and count.* What a block holds is counted there first. Its distinct groups go to key ranges, where the counts
    of all blocks add up; every group of ``LEAST`` or more gets a number for good, which goes back to the blocks. Frequent
    groups have small numbers, and a block's pairs are numbered range by range in the order of their parts, so that they
